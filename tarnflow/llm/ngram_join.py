@@ -23,8 +23,7 @@ SAMPLE, COMMON_HITS, COLUMNS = 2_000, 8, 16_384
 #: Words whose hash a worker remembers.
 REMEMBERED = 300_000
 
-_ODD = [np.uint64(0x9E3779B97F4A7C15 * (2 * i + 1) & (2**64 - 1) | 1) for i in range(64)]
-_ONE, _MIX = np.uint64(29), np.uint64(0xBF58476D1CE4E5B9)
+_SHIFT, _MIX = np.uint64(29), np.uint64(0xBF58476D1CE4E5B9)
 
 
 class _Hashes(dict):
@@ -46,9 +45,9 @@ def shingles(text: str | None, known: dict, words: int = WORDS) -> np.ndarray:
     n = max(1, len(h) - words + 1)
     out = np.full(n, len(h) if len(h) < words else words, np.uint64)
     for i in range(min(words, len(h))):
-        out += h[i : i + n] * _ODD[i]
-    out = (out ^ (out >> _ONE)) * _MIX
-    return np.unique(out ^ (out >> _ONE))
+        out = (out ^ (out >> _SHIFT)) * _MIX + h[i : i + n]
+    out = (out ^ (out >> _SHIFT)) * _MIX
+    return np.unique(out ^ (out >> _SHIFT))
 
 
 def need(n: np.ndarray | int, percent: int = PERCENT):
