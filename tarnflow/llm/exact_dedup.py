@@ -138,7 +138,7 @@ def exact_dedup(incoming: DataFrame, snapshot: DataFrame, id_col: str = "doc_id"
 
     reps = hits.select("digest", F.explode(F.array("old_id", "new_id")).alias("rep_id")).distinct()
     bodies = both.mapInArrow(_digested(True), columns + ", body binary").withColumnRenamed("digest", "d")
-    checked = bodies.join(reps, (bodies["d"] == reps["digest"]) & bodies["doc_id"].eqNullSafe(reps["rep_id"]), "inner").groupBy("digest", "size").agg((F.min("body") == F.max("body")).alias("same")).where("same").drop("same")
+    checked = bodies.join(reps.hint("merge"), (bodies["d"] == reps["digest"]) & bodies["doc_id"].eqNullSafe(reps["rep_id"]), "inner").groupBy("digest", "size").agg((F.min("body") == F.max("body")).alias("same")).where("same").drop("same")
 
     same = checked.withColumn("in_old", F.lit(True))
     merged = groups.join(same, ["digest", "size"], "left").withColumn("apart", F.col("new") & F.col("in_old").isNull())
