@@ -9,8 +9,8 @@ from tarnflow.llm.shared import narrowed, save
 
 #: Sentences of a span, and characters that it has at least (short stock sentences alone don't make a passage).
 SPAN, LEAST_CHARS = 3, 60
-#: A sentence with the white space after it; together they are the text.
-SENTENCE = r"[^.!?\n]*[.!?\n]+[ \t\r\n]*|[^.!?\n]+"
+#: A sentence, or the clause of one up to a comma, with the white space after it; together they are the text.
+SENTENCE = r"[^.!?,;\n]*[.!?,;\n]+[ \t\r\n]*|[^.!?,;\n]+"
 
 
 def sentences(text: Column) -> Column:
@@ -27,7 +27,8 @@ def _spans(span: int, least_chars: int) -> Column:
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, least_chars: int = LEAST_CHARS) -> DataFrame:
     """Each text without the sentences that a repeated span covers, except where the span comes first.
 
-    Every run of `span` consecutive sentences (blanks made alike) of at
+    Long sentences are cut at commas, so that a passage of some 50 words holds
+    several whole parts. Every run of `span` consecutive ones (blanks made alike) of at
     least `least_chars` characters is hashed. Its first place, by id and then
     position, is found over all documents with partial aggregates, and only
     hashes with several places meet the spans again. Sentences of any other place are removed.
@@ -38,7 +39,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     was read first keeps it. An empty table gives no rows.
     """
     rows = narrowed(docs, doc_id=id_col, text=text_col).withColumn("row", F.monotonically_increasing_id())
-    parted = rows.withColumn("parts", F.coalesce(sentences(F.col("text")), F.array().cast("array<string>")))
+    parts = F.coalesce(sentences(F.col("text")), F.array().cast("array<string>"))
+    parted = rows.withColumn("parts", parts)
     trimmed, runs = _spans(span, least_chars)
     spans = parted.withColumn("trim", trimmed).select("doc_id", "row", F.explode(runs).alias("s")).select(F.xxhash64("s.run").alias("hash"), F.struct("doc_id", "row", "s.at").alias("place"))
     spans = save(spans, "spans")
@@ -47,6 +49,6 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     covered = later.groupBy("row").agg(F.collect_set("at").alias("starts"))
     covered = covered.select("row", F.array_sort(F.array_distinct(F.flatten(F.transform("starts", lambda i: F.sequence(i, i + span - 1))))).alias("removed"))
     none = F.array().cast("array<int>")
-    out = parted.join(covered, "row", "left").withColumn("removed", F.coalesce("removed", none))
+    out = rows.join(covered, "row", "left").withColumn("parts", parts).withColumn("removed", F.coalesce("removed", none))
     kept = F.when(F.size("removed") == 0, F.col("text")).otherwise(F.array_join(F.filter("parts", lambda s, i: ~F.array_contains("removed", i)), ""))
     return out.select("doc_id", F.size("parts").alias("n_sentences"), F.size("removed").alias("n_removed"), "removed", kept.alias("kept_text"))
