@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -17,8 +18,8 @@ from tarnflow.llm.shared import narrowed, unit
 SAMPLE, LANGUAGES, GRAMS = 2_500, 200, 60_000
 #: Longest n-gram; n-grams of a word overlap, so its likelihood is taken to this power; cost of a language in the set, times half a log of the words.
 ORDER, POWER, PENALTY = 3, 0.4, 2.0
-#: Languages that a document's mixture starts with, of the highest likelihood alone; rounds of a fit; words that a worker remembers.
-START, ROUNDS, REMEMBERED = 6, 12, 200_000
+#: Languages that a document's mixture starts with, of the highest likelihood alone; rounds of a fit; share that settles a document at once; words that a worker remembers.
+START, ROUNDS, SURE, REMEMBERED = 6, 10, 0.99, 300_000
 UNKNOWN = "und"
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -72,58 +73,69 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 class Words(dict):
-    """word -> log likelihood in each language. Bounded: cleared when it is full."""
+    """word -> log likelihood in each language. Bounded: predict() empties it when it is full."""
 
     def __init__(self, grams: dict[str, np.ndarray], languages: int):
         super().__init__()
-        self._grams, self._none = grams, np.zeros(languages)
-
-    def __missing__(self, word: str) -> np.ndarray:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        known = [v for g in grams_of(word) if (v := self._grams.get(g)) is not None]
-        out = np.sum(known, axis=0) * POWER if known else self._none
-        if len(word) <= 32:
-            self[word] = out
-        return out
+        self._at = {g: i for i, g in enumerate(grams)}
+        self._logs = np.stack([*grams.values(), np.zeros(languages)]) if grams else np.zeros((1, languages))
+
+    def learn(self, new: set[str]) -> None:
+        """Sum the n-grams of many words at once; unknown n-grams favour no language."""
+        words, none = [*new], len(self._at)
+        at = [[self._at.get(g, none) for g in grams_of(w)] or [none] for w in words]
+        if words:
+            first = np.concatenate([[0], np.cumsum([len(a) for a in at])[:-1]])
+            logs = np.add.reduceat(self._logs[np.fromiter(chain.from_iterable(at), np.int64)], first) * POWER
+            self.update(zip(words, logs, strict=True))
+
+
+def _fit(c: np.ndarray, like: np.ndarray, doc: np.ndarray, first: np.ndarray, shares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shares after ROUNDS of expectation-maximisation, and their log likelihood less what the words' scale adds."""
+    n = np.add.reduceat(c, first)
+    for _ in range(ROUNDS):
+        joint = like * shares[doc]
+        joint *= (c / np.maximum(joint.sum(axis=1), 1e-300))[:, None]
+        shares = np.add.reduceat(joint, first) / n[:, None]
+    return shares, np.add.reduceat(c * np.log(np.maximum((like * shares[doc]).sum(axis=1), 1e-300)), first)
 
 
 def mixtures(counts: list[np.ndarray], logs: list[np.ndarray]) -> np.ndarray:
     """For each document (counts of its words, their log likelihoods) the proportions of the languages; all at once.
 
-    Starts from the languages that are likeliest alone, and drops the one of
-    the least share as long as the likelihood less PENALTY / 2 * log(words) for
-    each language gets better.
+    Starts from the languages that are likeliest alone. A document that one of
+    them fills to SURE has that language. From the others the one of the least share is
+    dropped, as long as the likelihood less PENALTY / 2 * log(words) for each language gets better.
     """
     sizes = np.array([len(c) for c in counts])
     first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    c, ll = np.concatenate(counts).astype(float), np.concatenate(logs)
+    c, ll = np.concatenate(counts), np.concatenate(logs)
     doc = np.repeat(np.arange(len(sizes)), sizes)
-    n = np.add.reduceat(c, first)
-    peak = ll.max(axis=1, keepdims=True)
-    like = np.exp(np.maximum(ll - peak, -50))
+    like = np.exp(np.maximum(ll - ll.max(axis=1, keepdims=True), -50))
     alone = np.add.reduceat(c[:, None] * ll, first)
-    ranks = np.argsort(np.argsort(-alone, axis=1, kind="stable"), axis=1, kind="stable")
-    on = ranks < START
-    best = np.full(len(sizes), -np.inf)
-    out = np.zeros(on.shape)
-    shares = on / on.sum(axis=1, keepdims=True)
-    for _ in range(min(START, ll.shape[1])):
-        for _ in range(ROUNDS):
-            joint = like * shares[doc]
-            joint *= (c / np.maximum(joint.sum(axis=1), 1e-300))[:, None]
-            shares = np.add.reduceat(joint, first) / n[:, None]
-        fit = np.add.reduceat(c * np.log(np.maximum((like * shares[doc]).sum(axis=1), 1e-300)), first)
-        score = fit - PENALTY / 2 * np.log(n + 1) * (on.sum(axis=1) - 1)
-        better = score > best
-        best[better], out[better] = score[better], shares[better]
+    on = np.argsort(np.argsort(-alone, axis=1, kind="stable"), axis=1, kind="stable") < START
+    shares, fit = _fit(c, like, doc, first, on / on.sum(axis=1, keepdims=True))
+    out = np.where(shares == shares.max(axis=1, keepdims=True), 1.0, 0.0)
+    open_ = np.flatnonzero(shares.max(axis=1) < SURE)
+    if not len(open_):
+        return out
+    mine = np.isin(doc, open_)
+    c, like, sizes, on, shares, fit = c[mine], like[mine], sizes[open_], on[open_], shares[open_], fit[open_]
+    first, doc = np.concatenate([[0], np.cumsum(sizes)[:-1]]), np.repeat(np.arange(len(sizes)), sizes)
+    words = np.log(np.add.reduceat(c, first) + 1)
+    best, chosen = np.full(len(sizes), -np.inf), shares
+    while True:
+        score = fit - PENALTY / 2 * words * (on.sum(axis=1) - 1)
+        chosen = np.where((score > best)[:, None], shares, chosen)
+        best = np.maximum(best, score)
         more = on.sum(axis=1) > 1
         if not more.any():
             break
         least = np.where(on, shares, np.inf).argmin(axis=1)
         on[more, least[more]] = False
-        shares = np.where(on, shares, 0) + on * 1e-6
-        shares /= shares.sum(axis=1, keepdims=True)
+        shares = np.where(on, shares + 1e-6, 0)
+        shares, fit = _fit(c, like, doc, first, shares / shares.sum(axis=1, keepdims=True))
+    out[open_] = chosen
     return out
 
 
@@ -148,6 +160,9 @@ def predict(docs: DataFrame, model: tuple[list[str], dict[str, np.ndarray]], id_
                 pred, score, mix = [UNKNOWN] * len(part), [0.0] * len(part), [None] * len(part)
                 own = [k for k, w in enumerate(found) if w]
                 if own:
+                    if len(known) > REMEMBERED:
+                        known.clear()
+                    known.learn(set().union(*(found[k] for k in own)) - known.keys())
                     counts = [np.fromiter(found[k].values(), float, len(found[k])) for k in own]
                     shares = mixtures(counts, [np.stack([known[w] for w in found[k]]) for k in own])
                     for k, s in zip(own, shares, strict=True):
