@@ -80,9 +80,9 @@ class Words(dict):
         self._at = {g: i for i, g in enumerate(grams)}
         self._logs = np.stack([*grams.values(), np.zeros(languages)]) if grams else np.zeros((1, languages))
 
-    def learn(self, new: set[str]) -> None:
+    def learn(self, words: list[str]) -> None:
         """Sum the n-grams of many words at once; unknown n-grams favour no language."""
-        words, none = [*new], len(self._at)
+        none = len(self._at)
         at = [[self._at.get(g, none) for g in grams_of(w)] or [none] for w in words]
         if words:
             first = np.concatenate([[0], np.cumsum([len(a) for a in at])[:-1]])
@@ -162,7 +162,7 @@ def predict(docs: DataFrame, model: tuple[list[str], dict[str, np.ndarray]], id_
                 if own:
                     if len(known) > REMEMBERED:
                         known.clear()
-                    known.learn(set().union(*(found[k] for k in own)) - known.keys())
+                    known.learn([w for w in set().union(*(found[k] for k in own)) if w not in known])
                     counts = [np.fromiter(found[k].values(), float, len(found[k])) for k in own]
                     shares = mixtures(counts, [np.stack([known[w] for w in found[k]]) for k in own])
                     for k, s in zip(own, shares, strict=True):

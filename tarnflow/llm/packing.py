@@ -64,11 +64,10 @@ def _pieces(path: str, tokens: int, end_id: int, groups: int, with_ids: bool):
                 part = batch.slice(low, 512)
                 out: list[tuple] = []
                 whose = []
-                for k, text in enumerate(part.column(1)):
-                    ids = ids_of(text.as_py(), known)
-                    ids.append(end_id)
-                    for piece, start in enumerate(range(0, len(ids), tokens)):
-                        own = np.frombuffer(ids, np.uint32)[start : start + tokens].astype("<u4").tobytes()
+                for k, ids in enumerate(ids_of(part.column(1).to_pylist(), known)):
+                    ids += end_id.to_bytes(4, "little")
+                    for piece, start in enumerate(range(0, len(ids) // 4, tokens)):
+                        own = ids[4 * start : 4 * (start + tokens)]
                         whose.append(k)
                         out.append((piece, start, len(own) // 4, zlib.crc32(own), row, own))
                         row += 1

@@ -85,18 +85,20 @@ def edited(text: str, tree: Tree, start: int, stop: int, new: str, count) -> tup
     parts = leaves(region)
     text = text[:low] + region + text[high:]
     if len(parts) <= last - first + 1 and tree.n:
+        sizes = [*zip(map(len, parts), count(parts), strict=True)]
         for k, leaf in enumerate(range(first, last + 1)):
-            tree.put(leaf, *((len(parts[k]), count(parts[k])) if k < len(parts) else (0, 0)))
+            tree.put(leaf, *(sizes[k] if k < len(parts) else (0, 0)))
         return text, tree, len(region)
     before, after = tree.sums[tree.width : tree.width + first], tree.sums[tree.width + last + 1 : tree.width + tree.n]
     chars = [*before[:, 0].tolist(), *map(len, parts), *after[:, 0].tolist()]
-    tokens = [*before[:, 1].tolist(), *map(count, parts), *after[:, 1].tolist()]
+    tokens = [*before[:, 1].tolist(), *count(parts), *after[:, 1].tolist()]
     return text, Tree(chars, tokens), len(region)
 
 
 def _count(path: str):
+    """Tokens of each of some parts of a text."""
     known = runs(path)
-    return lambda part: len(ids_of(part, known))
+    return lambda parts: [len(ids) // 4 for ids in ids_of(parts, known)]
 
 
 def token_trees(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
@@ -111,7 +113,7 @@ def token_trees(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         count = _count(path)
         for b in batches:
             parts = [leaves(t or "") for t in b.column(1).to_pylist()]
-            tokens = [[count(p) for p in own] for own in parts]
+            tokens = [count(own) for own in parts]
             yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "n_tokens": pa.array([sum(t) for t in tokens], pa.int64()), "leaf_chars": pa.array([[len(p) for p in own] for own in parts], pa.list_(pa.int32())), "leaf_tokens": pa.array(tokens, pa.list_(pa.int32()))})
 
     return narrowed(docs, doc_id=id_col, text=text_col).mapInArrow(run, f"doc_id {kind}, n_tokens bigint, leaf_chars array<int>, leaf_tokens array<int>")
@@ -144,7 +146,7 @@ def apply_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                         tree = Tree(b.column(3)[k].as_py() or [], b.column(4)[k].as_py() or [])
                     else:
                         parts = leaves(text)
-                        tree = Tree([len(p) for p in parts], [count(p) for p in parts])
+                        tree = Tree([len(p) for p in parts], count(parts))
                     again, before = 0, tree.total
                     for e in edits or []:
                         if e:

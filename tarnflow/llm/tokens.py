@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import os
-from array import array
+import string
 from functools import lru_cache
 
+import numpy as np
+
 #: File of the tokenizer that the queries use; its pre-tokens never span white space, so texts can be cut there.
 TOKENIZER = "word_bpe_49k.json"
 #: Runs whose ids a worker remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 2_000_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -19,22 +21,58 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class Runs(dict):
-    """white-space run -> its ids as an array of unsigned 32-bit numbers. Bounded: cleared when it is full."""
+    """white-space run -> its ids as little-endian unsigned 32-bit numbers. Bounded: ids_of() empties it when it is full.
+
+    Runs that differ by A-Z in upper case or by punctuation at the end share
+    the work of their word, and new words are encoded many at a time.
+    """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         super().__init__()
-        self._encode = Tokenizer.from_file(path).encode
-
-    def __missing__(self, run: str) -> array:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        ids = array("I", self._encode(run, add_special_tokens=False).ids)
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallel unit
+        tokenizer = Tokenizer.from_file(path)
+        self._encode = tokenizer.encode_batch_fast
+        plain = Tokenizer.from_file(path)  # for lower-case ASCII words, which nothing but white space has to part
+        plain.normalizer = normalizers.Sequence([])
+        plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self._encode_plain = plain.encode_batch_fast
+        self._ends = np.zeros(tokenizer.get_vocab_size() + 1, bool)
+        for token, i in tokenizer.get_vocab().items():
+            self._ends[i] = token.endswith("</w>")
+
+    def _ids(self, text: str, plain: bool = False) -> np.ndarray:
+        return np.array((self._encode_plain if plain else self._encode)([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def __missing__(self, run: str) -> bytes:
+        if "<|" not in run:
+            word = run.rstrip(string.punctuation)
+            if word != run and word[-1:].isalnum():
+                return self._kept(run, self[word] + self[run[len(word) :]])
+            low = run.encode().lower().decode()
+            if low != run:
+                return self._kept(run, self[low])
+        return self._kept(run, self._ids(run).tobytes())
+
+    def _kept(self, run: str, ids: bytes) -> bytes:
         if len(run) <= 64:
             self[run] = ids
         return ids
 
+    def learn(self, new: list[str]) -> None:
+        """Encode the words behind new runs, those of letters only many in one go: each ends with its first token that ends a word."""
+        words = {w for r in new if (w := r.rstrip(string.punctuation).encode().lower().decode()).isalpha() and len(w) <= 64 and w not in self}
+        ascii_ = [w for w in words if w.isascii()]
+        for plain, own in ((True, ascii_), (False, [*words.difference(ascii_)])):
+            for low in range(0, len(own), 1000):
+                part = own[low : low + 1000]
+                ids = self._ids(" ".join(part), plain)
+                cuts = (4 * np.flatnonzero(self._ends[ids]) + 4).tolist()
+                if len(cuts) == len(part):
+                    raw = ids.tobytes()
+                    self.update(zip(part, map(raw.__getitem__, map(slice, [0, *cuts], cuts)), strict=True))
+
 
 @lru_cache(maxsize=2)
 def runs(path: str) -> Runs:
@@ -42,13 +80,15 @@ def runs(path: str) -> Runs:
     return Runs(path)
 
 
-_SPACES = str.maketrans("\t\n\r", "   ")
-
-
-def ids_of(text: str | None, known: Runs) -> array:
-    """Ids of a text: those of its runs between blanks, tabs and line ends, one after the other."""
-    out = array("I")
-    for run in (text or "").translate(_SPACES).split(" "):
-        if run:
-            out += known[run]
-    return out
+def ids_of(texts: list[str | None], known: Runs) -> list[bytes]:
+    """Ids of each text: those of its runs between blanks, tabs and line ends, one after the other."""
+    parts = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+    if len(known) > REMEMBERED:
+        known.clear()
+    known[""] = b""
+    found = [[*map(known.get, own)] for own in parts]
+    gaps = [(own, ids, i) for own, ids in zip(parts, found, strict=True) if None in ids for i, x in enumerate(ids) if x is None]
+    known.learn([*{own[i] for own, _, i in gaps}])
+    for own, ids, i in gaps:
+        ids[i] = known[own[i]]
+    return [b"".join(ids) for ids in found]
