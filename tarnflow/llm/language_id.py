@@ -9,6 +9,7 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ SAMPLE, LANGUAGES, GRAMS = 2_500, 200, 60_000
 #: Longest n-gram; n-grams of a word overlap, so its likelihood is taken to this power; cost of a language in the set, times half a log of the words.
 ORDER, POWER, PENALTY = 3, 0.4, 2.0
 #: Languages that a document's mixture starts with, of the highest likelihood alone; rounds of a fit; share that settles a document at once; words that a worker remembers.
-START, ROUNDS, SURE, REMEMBERED = 6, 10, 0.99, 300_000
+START, ROUNDS, SURE, REMEMBERED = 6, 10, 0.99, 150_000
 UNKNOWN = "und"
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -149,14 +150,13 @@ def predict(docs: DataFrame, model: tuple[list[str], dict[str, np.ndarray]], id_
     """
     names, grams = model
     rows = docs.select(docs[text_col].alias("text"), *([docs[c].alias(f"kept_{c}") for c in keep] if keep else [docs[id_col].alias("doc_id")]))
-    own_columns = rows.columns[1:]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words(grams, len(names))
-        for pdf in frames:
-            for low in range(0, len(pdf), 256):
-                part = pdf.iloc[low : low + 256]
-                found = [words_of(t) if names and t and any(map(str.isalpha, t)) else None for t in part["text"]]
+        for batch in batches:
+            for low in range(0, len(batch), 256):
+                part = batch.slice(low, 256)
+                found = [words_of(t) if names and t and any(map(str.isalpha, t)) else None for t in part.column(0).to_pylist()]
                 pred, score, mix = [UNKNOWN] * len(part), [0.0] * len(part), [None] * len(part)
                 own = [k for k, w in enumerate(found) if w]
                 if own:
@@ -169,10 +169,11 @@ def predict(docs: DataFrame, model: tuple[list[str], dict[str, np.ndarray]], id_
                         top = int(s.argmax())
                         pred[k], score[k] = names[top], float(min(1.0, s[top]))
                         mix[k] = " ".join(f"{names[j]}:{s[j]:.2f}" for j in np.argsort(-s, kind="stable") if s[j] >= 0.005)
-                yield part[own_columns].assign(lang_pred=pred, score=score, languages=mix)
+                new = {"lang_pred": pa.array(pred, pa.string()), "score": pa.array(score, pa.float64()), "languages": pa.array(mix, pa.string())}
+                yield pa.RecordBatch.from_pydict({f.name: part.column(f.name) for f in list(part.schema)[1:]} | new)
 
     types = rows.drop("text").schema.add("lang_pred", "string").add("score", "double").add("languages", "string")
-    out = rows.mapInPandas(run, types)
+    out = rows.mapInArrow(run, types)
     return out.withColumnsRenamed({f"kept_{c}": c for c in keep}) if keep else out
 
 

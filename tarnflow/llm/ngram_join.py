@@ -17,11 +17,11 @@ from tarnflow.llm.shared import components, narrowed, save
 #: Words of an n-gram; links need 100 * common >= PERCENT * union.
 WORDS, PERCENT = 5, 80
 #: n-grams of a chunk of documents, and of a hash range, at about; documents of a block; rows of a product task.
-CHUNK, RANGE, BLOCK, TASK_ROWS = 1_000_000, 2_000_000, 128, 4_096
+CHUNK, RANGE, BLOCK, TASK_ROWS = 400_000, 1_000_000, 128, 4_096
 #: Documents in the sample that finds very common n-grams, and the hits that make one; columns of a dense product at once.
 SAMPLE, COMMON_HITS, COLUMNS = 2_000, 8, 16_384
 #: Words whose hash a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 _SHIFT, _MIX = np.uint64(29), np.uint64(0xBF58476D1CE4E5B9)
 

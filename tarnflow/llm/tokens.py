@@ -11,7 +11,7 @@ import numpy as np
 #: File of the tokenizer that the queries use; its pre-tokens never span white space, so texts can be cut there.
 TOKENIZER = "word_bpe_49k.json"
 #: Runs whose ids a worker remembers before it starts anew.
-REMEMBERED = 2_000_000
+REMEMBERED = 250_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
