@@ -25,7 +25,7 @@ def periods_of(y: np.ndarray, longest: int = 365, top: int = 3) -> list[int]:
     freq = np.fft.rfftfreq(n)
     with np.errstate(divide="ignore"):
         period = 1 / freq
-    power[(period < 2) | (period > longest)] = 0
+    power[(period < 2) | (period > longest) | (power < 1e-9 * power.max())] = 0  # rounding leaves no peak
     inner = power[1:-1]
     peaks = np.flatnonzero((inner > power[:-2]) & (inner >= power[2:])) + 1
     if len(pos := power[power > 0]):
