@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnflow.llm.shared import narrowed, save
+from tarnflow.llm.shared import narrowed, save, tidy
 
 #: Digests in one filter.
 FILTER_KEYS = 100_000
@@ -93,7 +93,7 @@ def _digested(with_text: bool):
             rows = {"doc_id": ids, "new": new, "text_key": key, "digest": pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary()), "size": pa.array([len(t) for t in texts], pa.int64())}
             yield pa.RecordBatch.from_pydict(rows | ({"body": pa.array(texts, pa.binary())} if with_text else {}))
 
-    return run
+    return tidy(run)
 
 
 def exact_dedup(incoming: DataFrame, snapshot: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnflow.llm.shared import narrowed, unit
+from tarnflow.llm.shared import narrowed, tidy, unit
 
 #: The classifier is fitted on about so many labelled documents of each language, at most so many languages and n-grams.
 SAMPLE, LANGUAGES, GRAMS = 2_500, 200, 60_000
@@ -62,7 +62,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                     grams[g] += n
             yield pd.DataFrame({"lang": lang, "gram": list(grams), "n": list(grams.values())})
 
-    counts = drawn.mapInPandas(count, "lang string, gram string, n bigint").groupBy("gram").pivot("lang", sorted(langs)).sum("n")
+    counts = drawn.mapInPandas(tidy(count), "lang string, gram string, n bigint").groupBy("gram").pivot("lang", sorted(langs)).sum("n")
     total = sum((F.coalesce(F.col(f"`{lang}`"), F.lit(0)) for lang in sorted(langs)), F.lit(0))
     top = counts.withColumn("total", total).orderBy(F.desc("total"), "gram").limit(GRAMS).toPandas()
     names = sorted(langs)
@@ -173,7 +173,7 @@ def predict(docs: DataFrame, model: tuple[list[str], dict[str, np.ndarray]], id_
                 yield pa.RecordBatch.from_pydict({f.name: part.column(f.name) for f in list(part.schema)[1:]} | new)
 
     types = rows.drop("text").schema.add("lang_pred", "string").add("score", "double").add("languages", "string")
-    out = rows.mapInArrow(run, types)
+    out = rows.mapInArrow(tidy(run), types)
     return out.withColumnsRenamed({f"kept_{c}": c for c in keep}) if keep else out
 
 

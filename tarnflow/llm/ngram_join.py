@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnflow.llm.shared import components, narrowed, save
+from tarnflow.llm.shared import components, give_back, save, tidy
 
 #: Words of an n-gram; links need 100 * common >= PERCENT * union.
 WORDS, PERCENT = 5, 80
@@ -68,7 +68,7 @@ def _common(docs: DataFrame, words: int) -> np.ndarray:
                 yield pd.DataFrame({"hash": h.view(np.int64), "n": n})
 
     drawn = docs.select("text").sample(min(1.0, SAMPLE / many), seed=8)
-    found = drawn.mapInPandas(run, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_HITS)
+    found = drawn.mapInPandas(tidy(run), "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_HITS)
     return np.sort(found.select("hash").toPandas()["hash"].to_numpy(np.int64).view(np.uint64))
 
 
@@ -116,6 +116,7 @@ _CHUNK = "chunk bigint, range bigint, meta boolean, a array<bigint>, b binary, c
 
 def _repeated(pdf: pd.DataFrame) -> pd.DataFrame:
     """Of the n-grams of one hash range, those that several documents hold, with how many do; in the order they came in."""
+    give_back()
     meta, pdf = pdf[pdf["meta"]], pdf[~pdf["meta"]]
     if pdf.empty:
         return meta
@@ -140,6 +141,7 @@ def _assembled(bits: int, percent: int):
     drop = np.uint64((1 << 64) - (1 << max(0, 24 - bits)))  # bits that a hash range's rows don't carry
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         head = pdf[pdf["meta"]].iloc[0]
         n, cls = np.frombuffer(head["b"], np.int64), np.frombuffer(head["c"], np.int64)
         hashes, owners, dfs = [np.frombuffer(head["e"], np.uint64) & drop], [np.repeat(np.arange(len(n)), np.frombuffer(head["d"], np.uint32))], []
@@ -188,6 +190,7 @@ def _product(percent: int):
         return out
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         links = []
         for _, group in pdf.groupby("pair", sort=False):
             a = group[group["side"] == 0]
@@ -238,7 +241,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(16, max(6, int(np.ceil(np.log2(max(1, size / 6 / RANGE))))))
-    chunks = rows.mapInArrow(_chunks(bits, _common(rows, words), words), _CHUNK)
+    chunks = rows.mapInArrow(tidy(_chunks(bits, _common(rows, words), words)), _CHUNK)
     again = chunks.groupBy("range").applyInPandas(_repeated, _CHUNK)
     whole = save(again.groupBy("chunk").applyInPandas(_assembled(bits, percent), "doc_id bigint, n bigint, cls bigint, grams array<bigint>, prefix array<bigint>, weight double"), "sets")
     cls = F.when(F.col("n") > 0, F.col("cls"))

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnflow.llm.shared import narrowed
+from tarnflow.llm.shared import give_back, narrowed, tidy
 from tarnflow.llm.tokens import TOKENIZER, ids_of, runs, tokenizer_path
 
 #: Bytes of text whose pieces are packed together, in one task.
@@ -77,7 +77,7 @@ def _pieces(path: str, tokens: int, end_id: int, groups: int, with_ids: bool):
                     rows = {"doc_id": part.column(0).take(pa.array(whose)), "piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64()), "pack": pa.array((spread % groups).astype(np.int64)), "row": pa.array(number, pa.int64())}
                     yield pa.RecordBatch.from_pydict(rows | ({"ids": pa.array(raw, pa.binary())} if with_ids else {}))
 
-    return run
+    return tidy(run, keeps=True)
 
 
 def pack(docs: DataFrame, tokens: int = 2048, documents: int | None = None, attention: int | None = None, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, end_id: int = 0, weights=WEIGHTS, by: str = "norm", with_ids: bool = False) -> DataFrame:
@@ -102,6 +102,7 @@ def pack(docs: DataFrame, tokens: int = 2048, documents: int | None = None, atte
     pieces = rows.mapInArrow(_pieces(tokenizer_path(tokenizer), tokens, end_id, groups, with_ids), f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, pack bigint, row bigint{extra}")
 
     def packed(pdf: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         pdf = pdf.sort_values("row", kind="stable")
         bins, offsets = best_fit(pdf["length"].to_numpy(), tokens, documents, attention, weights, by)
         return pdf.assign(sequence_id=(pdf["pack"].to_numpy() << 32) + bins, offset=offsets).drop(columns=["pack", "row"])

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +36,42 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_KEPT: dict[Hashable, Any] = {}
+
+
+def kept(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps from task to task; one thing at a time."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def forget() -> None:
+    _KEPT.clear()
+
+
+def give_back() -> None:
+    """Hand freed memory back to the system. Workers live on between tasks, and allocators hold what a task has freed."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+def tidy(run: Callable[[Iterator], Iterator], keeps: bool = False) -> Callable[[Iterator], Iterator]:
+    """A map over batches that starts without what other operators kept in the worker (unless it keeps) and ends by giving memory back."""
+
+    def task(batches: Iterator) -> Iterator:
+        if not keeps:
+            forget()
+        yield from run(batches)
+        give_back()
+
+    return task
+
+
 def narrowed(docs: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under an operator's own names: narrowed(docs, doc_id="id"). Others can't clash."""
     return docs.select(*(docs[theirs].alias(ours) for ours, theirs in columns.items()))

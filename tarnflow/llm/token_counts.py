@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnflow.llm.shared import narrowed
+from tarnflow.llm.shared import narrowed, tidy
 from tarnflow.llm.tokens import TOKENIZER, ids_of, runs, tokenizer_path
 
 #: Characters of a leaf, at least; a leaf begins before white space, where no token can span.
@@ -116,7 +116,7 @@ def token_trees(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             tokens = [count(own) for own in parts]
             yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "n_tokens": pa.array([sum(t) for t in tokens], pa.int64()), "leaf_chars": pa.array([[len(p) for p in own] for own in parts], pa.list_(pa.int32())), "leaf_tokens": pa.array(tokens, pa.list_(pa.int32()))})
 
-    return narrowed(docs, doc_id=id_col, text=text_col).mapInArrow(run, f"doc_id {kind}, n_tokens bigint, leaf_chars array<int>, leaf_tokens array<int>")
+    return narrowed(docs, doc_id=id_col, text=text_col).mapInArrow(tidy(run, keeps=True), f"doc_id {kind}, n_tokens bigint, leaf_chars array<int>, leaf_tokens array<int>")
 
 
 def apply_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits_col: str = "edits", trees: tuple[str, str] | None = None, tokenizer: str = TOKENIZER, with_text: bool = False) -> DataFrame:
@@ -157,7 +157,7 @@ def apply_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 types = [pa.int64()] * 4 + [pa.list_(pa.int32())] * 2 + [pa.string()]
                 yield pa.RecordBatch.from_pydict({"doc_id": b.column(0)} | {k: pa.array(v, t) for (k, v), t in zip(out.items(), types, strict=True) if k != "text" or with_text})
 
-    return rows.mapInArrow(run, f"doc_id {kind}, tokens_before bigint, tokens_after bigint, encoded_chars bigint, text_crc32 bigint, leaf_chars array<int>, leaf_tokens array<int>" + ", text string" * with_text)
+    return rows.mapInArrow(tidy(run, keeps=True), f"doc_id {kind}, tokens_before bigint, tokens_after bigint, encoded_chars bigint, text_crc32 bigint, leaf_chars array<int>, leaf_tokens array<int>" + ", text string" * with_text)
 
 
 def with_edits(docs: DataFrame, edits: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import string
-from functools import lru_cache
 
 import numpy as np
 
+from tarnflow.llm.shared import kept
+
 #: File of the tokenizer that the queries use; its pre-tokens never span white space, so texts can be cut there.
 TOKENIZER = "word_bpe_49k.json"
 #: Runs whose ids a worker remembers before it starts anew.
@@ -74,10 +75,9 @@ class Runs(dict):
                     self.update(zip(part, map(raw.__getitem__, map(slice, [0, *cuts], cuts)), strict=True))
 
 
-@lru_cache(maxsize=2)
 def runs(path: str) -> Runs:
-    """One per Python worker and tokenizer."""
-    return Runs(path)
+    """One per Python worker."""
+    return kept(("runs", path), lambda: Runs(path))
 
 
 def ids_of(texts: list[str | None], known: Runs) -> list[bytes]:
