@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tarnflow.llm.shared import narrowed, save, tidy
 
-#: Digests in one filter.
+#: Digests of the snapshot, and of the batch, in one bucket at most, at about.
 FILTER_KEYS = 100_000
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -117,7 +117,8 @@ def exact_dedup(incoming: DataFrame, snapshot: DataFrame, id_col: str = "doc_id"
     groups = save(rows.groupBy("digest", "size", "new").agg(F.max(F.struct("doc_id", "row")).alias("last"), F.count("*").alias("n")), "groups")
 
     old = groups.where("not new")
-    buckets = max(16, -(-old.count() // FILTER_KEYS))
+    most = groups.groupBy("new").count().agg(F.max("count")).first()[0] or 0  # the batch may be far larger than the snapshot
+    buckets = max(16, -(-most // FILTER_KEYS))
     bucket = F.pmod(F.xxhash64("digest"), F.lit(buckets)).alias("bucket")
 
     def build(key, pdf: pd.DataFrame) -> pd.DataFrame:

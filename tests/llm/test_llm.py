@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tarnflow.llm import exact_dedup, language_id, mixing, ngram_join, packing, sharding, substring_dedup, token_counts, url_filter, vector_dedup
+from tarnflow.llm import exact_dedup, language_id, mixing, ngram_join, packing, sharding, shared, substring_dedup, token_counts, url_filter, vector_dedup
 
 COLUMNS = "doc_id long, text string, lang string, source string, size long, row long"
 
@@ -53,6 +53,14 @@ def test_fuse_filter():
     assert exact_dedup.fuse_has(keys + np.uint64(1), *f).mean() < 0.01
 
 
+def test_workers_keep_one_thing():
+    made = []
+    make = lambda x: shared.kept(x, lambda: made.append(x) or x)
+    assert [make("a"), make("a"), make("b"), make("a")] == ["a", "a", "b", "a"] and made == ["a", "b", "a"]
+    assert list(shared.tidy(iter, keeps=True)([1, 2])) == [1, 2] and make("a") == "a" and len(made) == 3
+    assert list(shared.tidy(iter)([1, 2])) == [1, 2] and make("a") == "a" and len(made) == 4
+
+
 def test_sharding(docs, empty):
     rows = sharding.shard(docs, 3).toPandas()
     assert len(rows) == docs.count() and set(rows["law"]) == {"bytes"}
