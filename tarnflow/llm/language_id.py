@@ -19,8 +19,8 @@ from tarnflow.llm.shared import narrowed, tidy, unit
 SAMPLE, LANGUAGES, GRAMS = 2_500, 200, 60_000
 #: Longest n-gram; n-grams of a word overlap, so its likelihood is taken to this power; cost of a language in the set, times half a log of the words.
 ORDER, POWER, PENALTY = 3, 0.4, 2.0
-#: Languages that a document's mixture starts with, of the highest likelihood alone; rounds of a fit; share that settles a document at once; words that a worker remembers.
-START, ROUNDS, SURE, REMEMBERED = 6, 10, 0.99, 150_000
+#: Languages that a document's mixture starts with, of the highest likelihood alone; rounds of a fit; share that settles a document at once; words that a worker remembers; characters of new words summed at once.
+START, ROUNDS, SURE, REMEMBERED, CHARACTERS = 6, 10, 0.99, 150_000, 100_000
 UNKNOWN = "und"
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -74,21 +74,73 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 class Words(dict):
-    """word -> log likelihood in each language. Bounded: predict() empties it when it is full."""
+    """word -> row of logs, its log likelihood in each language. Bounded: predict() empties it when it is full."""
 
     def __init__(self, grams: dict[str, np.ndarray], languages: int):
         super().__init__()
-        self._at = {g: i for i, g in enumerate(grams)}
-        self._logs = np.stack([*grams.values(), np.zeros(languages)]) if grams else np.zeros((1, languages))
+        self._chars = np.unique(_codes("".join(grams)))
+        self._sums = np.stack([*grams.values(), np.zeros(languages)]) if grams else np.zeros((1, languages))
+        self._keys = []  # for each length, the n-grams as numbers in order, and their rows in _sums
+        for n in range(1, ORDER + 1):
+            own = np.array([i for i, g in enumerate(grams) if len(g) == n], np.int64)
+            text = "".join(g for g in grams if len(g) == n)
+            keys = self._numbers(self._letters(_codes(text)), n)[::n] if text else np.zeros(0, np.int64)
+            order = np.argsort(keys)
+            self._keys.append((keys[order], own[order]))
+        self.logs = np.zeros((1024, languages))
+
+    def _letters(self, codes: np.ndarray) -> np.ndarray:
+        """Numbers of characters from 1 on; 0 for one that no n-gram has."""
+        at = np.minimum(np.searchsorted(self._chars, codes), max(len(self._chars) - 1, 0))
+        return np.where(self._chars[at] == codes, at + 1, 0) if len(self._chars) else np.zeros(len(codes), np.int64)
+
+    def _numbers(self, letters: np.ndarray, n: int) -> np.ndarray:
+        """The n-gram that starts at each place, but for the last n - 1, as a number; -1 with an unknown character."""
+        size = len(letters) - n + 1
+        out, known = np.zeros(size, np.int64), np.ones(size, bool)
+        for i in range(n):
+            own = letters[i : i + size]
+            out = out * (len(self._chars) + 1) + own
+            known &= own > 0
+        return np.where(known, out, -1)
 
     def learn(self, words: list[str]) -> None:
-        """Sum the n-grams of many words at once; unknown n-grams favour no language."""
-        none = len(self._at)
-        at = [[self._at.get(g, none) for g in grams_of(w)] or [none] for w in words]
-        if words:
-            first = np.concatenate([[0], np.cumsum([len(a) for a in at])[:-1]])
-            logs = np.add.reduceat(self._logs[np.fromiter(chain.from_iterable(at), np.int64)], first) * POWER
-            self.update(zip(words, logs, strict=True))
+        """Sum the n-grams of new words, about CHARACTERS at once; unknown n-grams favour no language."""
+        part, held = [], 0
+        for word in words:
+            part.append(word)
+            held += len(word)
+            if held >= CHARACTERS:
+                self._learn(part)
+                part, held = [], 0
+        if part:
+            self._learn(part)
+
+    def _learn(self, words: list[str]) -> None:
+        text = f"^{'$^'.join(words)}$"
+        letters = self._letters(_codes(text))
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+        first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        left = np.repeat(first + sizes, sizes) - np.arange(len(letters))  # characters of the word from here on
+        total = np.zeros((len(letters), self._sums.shape[1]))
+        for n, (keys, rows) in enumerate(self._keys, 1):
+            if len(keys):
+                own = self._numbers(letters, n)
+                at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+                inside = (keys[at] == own) & (left[: len(own)] >= n)
+                if n == 1:
+                    inside &= left > 1
+                    inside[first] = False
+                total[: len(own)] += self._sums[np.where(inside, rows[at], len(self._sums) - 1)]
+        low, high = len(self), len(self) + len(words)
+        if high > len(self.logs):
+            self.logs = np.concatenate([self.logs, np.zeros((max(high, 2 * len(self.logs)) - len(self.logs), self.logs.shape[1]))])
+        self.logs[low:high] = np.add.reduceat(total, first) * POWER
+        self.update(zip(words, range(low, high), strict=True))
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
 
 
 def _fit(c: np.ndarray, like: np.ndarray, doc: np.ndarray, first: np.ndarray, shares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,16 +153,14 @@ def _fit(c: np.ndarray, like: np.ndarray, doc: np.ndarray, first: np.ndarray, sh
     return shares, np.add.reduceat(c * np.log(np.maximum((like * shares[doc]).sum(axis=1), 1e-300)), first)
 
 
-def mixtures(counts: list[np.ndarray], logs: list[np.ndarray]) -> np.ndarray:
-    """For each document (counts of its words, their log likelihoods) the proportions of the languages; all at once.
+def mixtures(sizes: np.ndarray, c: np.ndarray, ll: np.ndarray) -> np.ndarray:
+    """For each document (of so many distinct words; their counts; their log likelihoods) the proportions of the languages; all at once.
 
     Starts from the languages that are likeliest alone. A document that one of
     them fills to SURE has that language. From the others the one of the least share is
     dropped, as long as the likelihood less PENALTY / 2 * log(words) for each language gets better.
     """
-    sizes = np.array([len(c) for c in counts])
     first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    c, ll = np.concatenate(counts), np.concatenate(logs)
     doc = np.repeat(np.arange(len(sizes)), sizes)
     like = np.exp(np.maximum(ll - ll.max(axis=1, keepdims=True), -50))
     alone = np.add.reduceat(c[:, None] * ll, first)
@@ -163,8 +213,10 @@ def predict(docs: DataFrame, model: tuple[list[str], dict[str, np.ndarray]], id_
                     if len(known) > REMEMBERED:
                         known.clear()
                     known.learn([w for w in set().union(*(found[k] for k in own)) if w not in known])
-                    counts = [np.fromiter(found[k].values(), float, len(found[k])) for k in own]
-                    shares = mixtures(counts, [np.stack([known[w] for w in found[k]]) for k in own])
+                    sizes = np.array([len(found[k]) for k in own])
+                    counts = np.fromiter(chain.from_iterable(found[k].values() for k in own), float, sizes.sum())
+                    rows_ = np.fromiter(map(known.__getitem__, chain.from_iterable(found[k] for k in own)), np.int64, len(counts))
+                    shares = mixtures(sizes, counts, known.logs[rows_])
                     for k, s in zip(own, shares, strict=True):
                         top = int(s.argmax())
                         pred[k], score[k] = names[top], float(min(1.0, s[top]))

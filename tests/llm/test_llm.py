@@ -111,6 +111,20 @@ def test_language(spark, empty):
     assert language_id.predict(docs, language_id.fit(empty)).where("lang_pred <> 'und'").count() == 0
 
 
+def test_word_likelihoods(monkeypatch):
+    rng = np.random.default_rng(4)
+    words = [*dict.fromkeys("".join(rng.choice(list("abñ中"), n)) for n in rng.integers(1, 9, 400))]
+    grams = {g: rng.normal(size=3) for g in sorted({g for w in words[:50] for g in language_id.grams_of(w)}) if "中" not in g or len(g) < 3}
+    monkeypatch.setattr(language_id, "CHARACTERS", 100)
+    known = language_id.Words(grams, 3)
+    known.learn(words[:200])
+    known.learn([*words[200:], "other", "x" * 500])
+    for w, row in known.items():
+        want = language_id.POWER * sum((grams.get(g, np.zeros(3)) for g in language_id.grams_of(w)), np.zeros(3))
+        assert np.allclose(known.logs[row], want)
+    assert len(known) == len(words) + 2
+
+
 def test_near_duplicates(docs, empty):
     rows = ngram_join.near_duplicates(docs).toPandas()
     sets = {}
