@@ -329,6 +329,56 @@ def mann_whitney(spark, sf_dir):
     return evaluation.mann_whitney_less(tables.read(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("g"), F.round("c_acctbal", 0).alias("v")), "g", "v")
 
 
+_LONG = SUMMARY + ", l AS (SELECT series_id, model, unnest(['mae', 'rmse', 'smape']) AS metric, unnest([mae, rmse, smape]) AS value FROM v)"
+
+
+def _scores(spark, sf_dir):
+    return _summary(spark, sf_dir).unpivot(["series_id", "model"], ["mae", "rmse", "smape"], "metric", "value")
+
+
+@query(_LONG + f" SELECT series_id, model, metric, {_r('value')} FROM l")
+def score_melt(spark, sf_dir):
+    return _scores(spark, sf_dir)
+
+
+@query(SUMMARY + " SELECT series_id, " + ", ".join(f"round(avg(CASE WHEN model = '{m}' THEN rmse END), 6) AS {m}" for m in ("mean", "naive", "seasonal_naive")) + " FROM v GROUP BY 1")
+def score_matrix(spark, sf_dir):
+    return _summary(spark, sf_dir).groupBy("series_id").pivot("model", ["mean", "naive", "seasonal_naive"]).agg(F.avg("rmse"))
+
+
+@query(_LONG + " SELECT metric, round(quantile_cont(value, 0.995), 6) AS p995 FROM l GROUP BY 1")
+def score_p995(spark, sf_dir):
+    return _scores(spark, sf_dir).groupBy("metric").agg(F.percentile("value", 0.995).alias("p995"))
+
+
+@query(_SWEEP + " SELECT model, drop_rate, round(avg(mae), 6) AS mae, round(avg(rmse), 6) AS rmse, round(avg(smape), 6) AS smape FROM sw GROUP BY ALL")
+def sparsity_summary(spark, sf_dir):
+    return evaluation.sparsity_sweep(tables.hourly_count(spark, sf_dir)).groupBy("model", "drop_rate").agg(*(F.avg(c).alias(c) for c in ("mae", "rmse", "smape")))
+
+
+@query(ORACLE_SQL["one_step_skill"].rsplit(" SELECT", 1)[0] + " SELECT model, round(median(skill), 6) AS median_skill, round(100 * avg(CAST(skill > 1 AS INT)), 6) AS share_real, max(skill) > 1 AS real_skill FROM v GROUP BY 1")
+def skill_verdict(spark, sf_dir):
+    """Median skill of each model over all series, and the share of series where it is real (above 1 %)."""
+    skill = evaluation.one_step_skill(tables.hourly_count(spark, sf_dir))
+    real = F.col("skill") > 1
+    return skill.groupBy("model").agg(F.median("skill").alias("median_skill"), (100 * F.avg(real.cast("int"))).alias("share_real"), F.bool_or(real).alias("real_skill"))
+
+
+@query(HOURLY + MEAN_F + f" SELECT series_id, idx, y, {_r('y_hat')}" + _TEST)
+def align_inner(spark, sf_dir):
+    """Truth and forecast where both have a row."""
+    df = _split(spark, sf_dir)
+    return df.select("series_id", "idx", "y").join(baselines.mean(df).select("series_id", "idx", "y_hat"), ["series_id", "idx"])
+
+
+@query(HOURLY + f", a AS (SELECT series_id, idx, y - lag(y) {_W}) AS day FROM h), b AS (SELECT series_id, idx + 12 AS idx, y AS shifted FROM h) SELECT series_id, idx, day, shifted FROM (SELECT * FROM a WHERE day IS NOT NULL) FULL JOIN b USING (series_id, idx)")
+def wide_outer(spark, sf_dir):
+    """Two series side by side over all places that either has."""
+    h = tables.hourly_count(spark, sf_dir)
+    shifted = h.select("series_id", (F.col("idx") + 12).alias("idx"), F.col("y").alias("shifted"))
+    return series.difference(h).select("series_id", "idx", F.col("dy").alias("day")).join(shifted, ["series_id", "idx"], "full")
+
+
 # stations
 
 
@@ -361,6 +411,18 @@ def knn_edges(spark, sf_dir):
     return spatial.knn_edges(_full(spark, sf_dir)).select("t", "src", "dst", "dist", "cost")
 
 
+@query(MEDIAN + f" SELECT t, src, dst, {_r('dist')} FROM cost")
+def pair_distance_norm(spark, sf_dir):
+    return spatial.cost_edges(_full(spark, sf_dir)).select("t", "src", "dst", "dist")
+
+
+@query(MEDIAN + " SELECT t, zsid, round(cnt, 6) AS cnt, CAST(0 AS DOUBLE) AS low, round(max(cnt) OVER (PARTITION BY t), 6) AS high FROM full_")
+def frame_scale(spark, sf_dir):
+    """Stations with the colour scale of their snapshot: from 0 to its largest count."""
+    full = _full(spark, sf_dir)
+    return full.join(full.groupBy("t").agg(F.max("cnt").alias("high")), "t").select("t", "zsid", "cnt", F.lit(0.0).alias("low"), "high")
+
+
 _GRID = ", bx AS (SELECT t, min(e) AS e0, max(e) AS e1, min(n) AS n0, max(n) AS n1 FROM full_ GROUP BY t), gr AS (SELECT t, p, e0 + (p % {s}) * (e1 - e0) / ({s} - 1) AS e, n0 + (p // {s}) * (n1 - n0) / ({s} - 1) AS n FROM bx, (SELECT unnest(range({s} * {s})) AS p))"
 
 
@@ -411,6 +473,11 @@ def hub_assignment(spark, sf_dir):
     return _assigned(spark, sf_dir)[1]
 
 
+@query(ORACLE_SQL["hub_assignment"].rsplit(" SELECT", 1)[0] + " SELECT t, hub, count(*) AS stations, round(avg(cost), 6) AS mean_cost FROM it WHERE i = 30 GROUP BY ALL")
+def hub_counts(spark, sf_dir):
+    return _assigned(spark, sf_dir)[1].groupBy("t", "hub").agg(F.count("*").alias("stations"), F.avg("cost").alias("mean_cost"))
+
+
 @query()
 def hub_share_exact(spark, sf_dir):
     """Share of all cells of the raster whose nearest station goes to each hub."""

@@ -7,7 +7,7 @@ from tarnflow.operators import models
 from tarnflow.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-SOME = ["series_split", "lag_features", "interpolate_linear", "calendar_fill_group", "forecast_moving_average", "metrics_all", "wf_summary", "sparsity_pivot", "bh_fdr", "mann_whitney", "knn_impute_median", "hub_assignment", "acf", "lomb_scargle"]
+SOME = ["series_split", "lag_features", "interpolate_linear", "calendar_fill_group", "forecast_moving_average", "metrics_all", "wf_summary", "sparsity_pivot", "bh_fdr", "mann_whitney", "knn_impute_median", "hub_assignment", "wide_outer", "skill_verdict", "score_p995", "hub_counts", "acf", "lomb_scargle"]
 
 
 @pytest.mark.parametrize("name", SOME)
