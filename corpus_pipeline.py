@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnflow.llm import exact_dedup, language_id, mixing, ngram_join, packing
-from tarnflow.llm.queries import TOPIC
+from tarnflow.llm.queries import topic
 from tarnflow.llm.shared import save
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -38,7 +38,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Draws documents that hold nine tenths of the words, at rates that move sources, languages and topics towards tempered shares."""
-    rows = docs.withColumn("topic", TOPIC)
+    rows = docs.withColumn("topic", topic())
     return mixing.mix(rows, ["source", "lang", "topic"], mixing.word_count(F.col("text")), keep=0.9).where("mix_keep").select(*COLUMNS)
 
 

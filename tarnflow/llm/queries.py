@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnflow.llm import exact_dedup, language_id, mixing, ngram_join, packing, sharding, substring_dedup, token_counts, url_filter, vector_dedup
@@ -40,12 +40,13 @@ def op5_fuse_filter_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-#: Topic of a document, read off its form.
-TOPIC = F.when(F.col("text").contains(" | "), "table").when(F.col("text").contains("!!"), "loud").otherwise("prose")
+def topic() -> Column:
+    """Topic of a document, read off its form."""
+    return F.when(F.col("text").contains(" | "), "table").when(F.col("text").contains("!!"), "loud").otherwise("prose")
 
 
 def op6_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").withColumn("topic", TOPIC)
+    docs = _table(spark, sf_dir, "documents").withColumn("topic", topic())
     out = mixing.mix(docs, ["source", "lang", "topic"], mixing.word_count(F.col("text")), keep=0.5)
     return out.select("doc_id", "source", "lang", "topic", F.col("mix_tokens").alias("tokens"), F.col("mix_weight").alias("weight"), F.col("mix_prob").alias("prob"), F.col("mix_keep").alias("kept"))
 
@@ -67,7 +68,7 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
-def edits(doc_id, text) -> F.Column:
+def edits(doc_id, text) -> Column:
     """Three edits of a document: a word put in, a stretch taken out, one replaced; at places drawn by its id."""
     at = lambda k: F.pmod(F.xxhash64(doc_id, F.lit(k)), F.coalesce(F.length(text), F.lit(0)) + 1)
     one = lambda k, n, new: F.struct(at(k).alias("start"), (at(k) + n).alias("stop"), F.lit(new).alias("text"))
