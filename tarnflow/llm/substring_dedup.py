@@ -2,36 +2,162 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from itertools import pairwise
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnflow.llm.shared import narrowed, save
+from tarnflow.llm.shared import narrowed, save, tidy
 
-#: Sentences of a span, and characters that it has at least (short stock sentences alone don't make a passage).
+#: Parts of a span, and characters that it has; both at least (short stock sentences alone don't make a passage).
 SPAN, LEAST_CHARS = 3, 60
-#: A sentence, or the clause of one up to a comma, with the white space after it; together they are the text.
-SENTENCE = r"[^.!?,;\n]*[.!?,;\n]+[ \t\r\n]*|[^.!?,;\n]+"
+#: Words in a row without a sentence end of which the one with the least hash ends a part; characters cut at once.
+WINDOW, CHARACTERS = 8, 300_000
+#: Bits of a hash that a sketch of repeated ones goes by (8 MB at any size of the input).
+SKETCH = 26
+#: Blanks; what ends a sentence or clause; characters of scripts without blanks between words, each taken as a word.
+BLANKS, ENDS = " \t\r\n\x0b\x0c\x85\xa0  　", ".!?,;\n。！？，、；．｡؟،؛۔।॥።፣…"
+SOLO = ((0x0E00, 0x0EFF), (0x0F00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9D), (0x20000, 0x3FFFF))
+
+_BLANK, _END, _SOLO = 1, 2, 4
+_KIND = np.zeros(0x110000, np.uint8)
+for _low, _high in SOLO:
+    _KIND[_low : _high + 1] = _SOLO
+for _c in ENDS:
+    _KIND[ord(_c)] = _END
+for _c in BLANKS:
+    _KIND[ord(_c)] |= _BLANK
+_BASE, _STEP = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+_BACK = pow(_STEP, -1, 1 << 64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n + 1, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+class Parts:
+    """Texts cut into parts: `doc` (of each part), `low` (its first character in its text), `first` (part of each text, and their number last).
+
+    A part ends with a sentence or clause, and also with the word of the least
+    hash of any WINDOW words that no sentence end divides. Both are read off the
+    words around, so a passage is cut alike wherever it stands, and no part has more
+    than WINDOW words. Blanks go with the word before; the parts are the text.
+    """
 
-def sentences(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0))
+    def __init__(self, texts: list[str]):
+        codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        begin = np.cumsum(sizes) - sizes
+        kind = _KIND[codes]
+        before = np.concatenate([[_BLANK], kind[:-1]]).astype(np.uint8)[: len(kind)]
+        before[begin[sizes > 0]] = _BLANK
+        word = (kind & _BLANK) == 0
+        at = np.flatnonzero(word & ((before & _BLANK > 0) | (kind & _SOLO > 0) | ((before & (_END | _SOLO) > 0) & (kind & _END == 0))))
+        self.words = n = len(at)
+        if not n:
+            self.doc = np.flatnonzero(sizes)
+            self.low, self.first = np.zeros(len(self.doc), np.int64), np.concatenate([[0], np.cumsum(sizes > 0)])
+            return
+        place = np.arange(len(codes))
+        place[: at[0]] = 0
+        place[at[0] :] -= np.repeat(at, np.diff(at, append=len(codes)))
+        h = np.where(word, codes.astype(np.uint64) + np.uint64(1), np.uint64(0)) * _powers(_BASE, int(place.max()))[place]
+        self._hash = h = _mixed(np.add.reduceat(h, at))
+        doc = np.searchsorted(begin, at, side="right") - 1
+        ends = np.maximum.reduceat(kind & _END, at) > 0
+        ends[:-1] |= doc[1:] != doc[:-1]
+        ends[-1] = True
+        cut = ends.copy()
+        if n >= WINDOW:
+            sentence = np.cumsum(ends) - ends
+            m = n - WINDOW + 1
+            inside = sentence[:m] == sentence[WINDOW - 1 :]
+            least = h[:m].copy()
+            for k in range(1, WINDOW):
+                np.minimum(least, h[k : k + m], out=least)
+            for k in range(WINDOW):
+                cut[k : k + m] |= inside & (h[k : k + m] == least)
+        self._at = start = np.flatnonzero(np.concatenate([[True], cut[:-1]]))
+        solo = kind[at] & _SOLO > 0
+        gap = np.ones(n, np.int64)
+        gap[:-1] -= solo[1:] & solo[:-1]
+        upto = np.concatenate([[0], np.cumsum(np.add.reduceat(word.astype(np.int64), at) + gap)])
+        bound = np.append(start, n)
+        self._from, self._to = upto[bound], upto[bound] - np.concatenate([[0], gap])[bound]
+        own, low = doc[start], at[start]
+        leading = np.concatenate([[True], own[1:] != own[:-1]])
+        low = np.where(leading, 0, low - begin[own])
+        bare = np.setdiff1d(np.flatnonzero(sizes), own)  # blanks only: one part without words
+        self._known = own
+        order = np.argsort(np.concatenate([own, bare]), kind="stable")
+        self.doc, self.low = np.concatenate([own, bare])[order], np.concatenate([low, np.zeros(len(bare), np.int64)])[order]
+        self.first = np.searchsorted(self.doc, np.arange(len(texts) + 1))
 
+    def spans(self, span: int, least_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, first part, part after the last, hash) of the shortest runs from each part and to each part that are long enough."""
+        if not self.words:
+            return (np.zeros(0, np.int64),) * 4
+        n, doc = len(self._at), self._known
+        first = np.searchsorted(doc, doc)
+        end = np.searchsorted(doc, doc, side="right")
+        each = np.arange(n)
+        on = np.maximum(each + span, np.searchsorted(self._to, self._from[:-1] + least_chars))
+        back = np.minimum(each + 1 - span, np.searchsorted(self._from, self._to[1:] - least_chars, side="right") - 1)
+        pairs = np.concatenate([((each << 32) | on)[on <= end], ((back << 32) | (each + 1))[back >= first]])
+        pairs = np.unique(pairs)
+        low, high = pairs >> 32, pairs & 0xFFFFFFFF
+        bound = np.append(self._at, self.words)
+        a, b = bound[low], bound[high]
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self._hash * _powers(_STEP, self.words)[: self.words], dtype=np.uint64)])
+        h = _mixed((total[b] - total[a]) * _powers(_BACK, self.words)[a] + (b - a).astype(np.uint64))
+        return doc[low], low - first[low], high - first[low], h.view(np.int64)
 
-def _spans(span: int, least_chars: int) -> Column:
-    """(hash, at) of every run of `span` consecutive sentences that is long enough."""
-    trimmed = F.transform("parts", lambda s: F.trim(F.regexp_replace(s, r"[ \t\r\n]+", " ")))
-    runs = F.transform(F.sequence(F.lit(0), F.size("parts") - span), lambda i: F.struct(F.array_join(F.slice("trim", i + 1, F.lit(span)), "\n").alias("run"), i.cast("int").alias("at")))
-    return trimmed, F.when(F.size("parts") >= span, F.filter(runs, lambda r: F.length(r["run"]) >= least_chars)).otherwise(F.array().cast("array<struct<run:string,at:int>>"))
+
+def sentences(text: str) -> list[str]:
+    """The parts of a text."""
+    return [text[a:b] for a, b in pairwise([*Parts([text]).low.tolist(), len(text)])]
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Stretches of rows with their texts ("" for null), of about CHARACTERS."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
+        low = held = 0
+        for i, n in enumerate(sizes):
+            if held and held + n > CHARACTERS:
+                part = batch.slice(low, i - low)
+                yield part, [t or "" for t in part.column("text").to_pylist()]
+                low, held = i, 0
+            held += n
+        if low < len(batch):
+            part = batch.slice(low)
+            yield part, [t or "" for t in part.column("text").to_pylist()]
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, least_chars: int = LEAST_CHARS) -> DataFrame:
     """Each text without the sentences that a repeated span covers, except where the span comes first.
 
-    Long sentences are cut at commas, so that a passage of some 50 words holds
-    several whole parts. Every run of `span` consecutive ones (blanks made alike) of at
-    least `least_chars` characters is hashed. Its first place, by id and then
-    position, is found over all documents with partial aggregates, and only
-    hashes with several places meet the spans again. Sentences of any other place are removed.
+    Sentences are cut at commas and, where they are long, at words that the words
+    around choose (Parts). A run of parts is long enough with `span` of them and
+    `least_chars` characters (blanks made alike); from each part, and to each part, the shortest
+    such run is hashed. So a passage of 50 words that repeats, wherever
+    it begins, holds such a run (21 words in whole parts at least, of three characters each with
+    the blank). Hashes are counted first, and a sketch of
+    the repeated ones, of bounded size, spares most others the way with their places. The first
+    place of a hash, by id and then position, is found over all documents with partial aggregates,
+    and only hashes with several places meet the spans again. Parts of any other place are removed.
 
     Returns doc_id, n_sentences, n_removed, removed (their positions, in order), kept_text.
     Null text has no sentence and stays null. A null id comes before all
@@ -39,16 +165,46 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     was read first keeps it. An empty table gives no rows.
     """
     rows = narrowed(docs, doc_id=id_col, text=text_col).withColumn("row", F.monotonically_increasing_id())
-    parts = F.coalesce(sentences(F.col("text")), F.array().cast("array<string>"))
-    parted = rows.withColumn("parts", parts)
-    trimmed, runs = _spans(span, least_chars)
-    spans = parted.withColumn("trim", trimmed).select("doc_id", "row", F.explode(runs).alias("s")).select(F.xxhash64("s.run").alias("hash"), F.struct("doc_id", "row", "s.at").alias("place"))
-    spans = save(spans, "spans")
-    first = spans.groupBy("hash").agg(F.min("place").alias("first"), F.count("*").alias("places")).where("places > 1").select("hash", "first")
-    later = spans.join(first, "hash").where("place <> first").select("place.row", "place.at")
-    covered = later.groupBy("row").agg(F.collect_set("at").alias("starts"))
-    covered = covered.select("row", F.array_sort(F.array_distinct(F.flatten(F.transform("starts", lambda i: F.sequence(i, i + span - 1))))).alias("removed"))
-    none = F.array().cast("array<int>")
-    out = rows.join(covered, "row", "left").withColumn("parts", parts).withColumn("removed", F.coalesce("removed", none))
-    kept = F.when(F.size("removed") == 0, F.col("text")).otherwise(F.array_join(F.filter("parts", lambda s, i: ~F.array_contains("removed", i)), ""))
-    return out.select("doc_id", F.size("parts").alias("n_sentences"), F.size("removed").alias("n_removed"), "removed", kept.alias("kept_text"))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in _slices(batches):
+            h, n = np.unique(Parts(texts).spans(span, least_chars)[3], return_counts=True)
+            yield pa.RecordBatch.from_pydict({"hash": pa.array(h, pa.int64()), "n": pa.array(n, pa.int64())})
+
+    again = rows.select("text").mapInArrow(tidy(counted), "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1")
+    bit = again.select(F.shiftrightunsigned("hash", 64 - SKETCH).alias("bit"))
+    words = bit.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow()
+    sketch = np.zeros(1 << (SKETCH - 6), np.int64)
+    sketch[words["word"].to_numpy()] = words["bits"].to_numpy()
+    sketch = sketch.view(np.uint64)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in _slices(batches):
+            doc, at, to, h = Parts(texts).spans(span, least_chars)
+            bit = h.astype(np.int64).view(np.uint64) >> np.uint64(64 - SKETCH)
+            hit = np.flatnonzero((sketch[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1))
+            if len(hit):
+                own = part.select(["doc_id", "row"]).take(pa.array(doc[hit]))
+                yield pa.RecordBatch.from_pydict({"hash": pa.array(h[hit]), "doc_id": own.column("doc_id"), "row": own.column("row"), "at": pa.array(at[hit], pa.int32()), "to": pa.array(to[hit], pa.int32())})
+
+    def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in _slices(batches):
+            parts = Parts(texts)
+            removed, kept = [[]] * len(part), part.column("text").to_pylist()
+            for i, covered in enumerate(part.column("covered").to_pylist()):
+                if covered:
+                    low = parts.low[parts.first[i] : parts.first[i + 1]].tolist()
+                    gone = np.zeros(len(low), bool)
+                    for s in covered:
+                        gone[s["at"] : s["to"]] = True
+                    removed[i] = np.flatnonzero(gone).tolist()
+                    kept[i] = "".join(texts[i][a:b] for (a, b), out in zip(pairwise([*low, len(texts[i])]), gone, strict=True) if not out)
+            yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "n_sentences": pa.array(np.diff(parts.first), pa.int32()), "n_removed": pa.array(map(len, removed), pa.int32()), "removed": pa.array(removed, pa.list_(pa.int32())), "kept_text": pa.array(kept, pa.string())})
+
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+    spans = save(rows.mapInArrow(tidy(hashed), f"hash bigint, doc_id {id_type}, row bigint, at int, to int"), "spans")
+    first = spans.groupBy("hash").agg(F.min(F.struct("doc_id", "row", "at")).alias("first"), F.count("*").alias("places")).where("places > 1").select("hash", F.col("first.row").alias("first_row"), F.col("first.at").alias("first_at"))
+    later = spans.select("hash", "row", "at", "to").join(first, "hash").where("row <> first_row or at <> first_at")
+    covered = later.groupBy("row").agg(F.collect_set(F.struct("at", "to")).alias("covered"))
+    out = rows.join(covered, "row", "left").select("doc_id", "text", "covered")
+    return out.mapInArrow(tidy(cleaned), f"doc_id {id_type}, n_sentences int, n_removed int, removed array<int>, kept_text string")

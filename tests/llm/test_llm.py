@@ -172,6 +172,38 @@ def test_substring_dedup(spark, empty):
     assert substring_dedup.substring_dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["short", "long", "same", "sentences", "japanese"])
+def test_substring_dedup_finds_any_passage(spark, kind):
+    """A passage of 50 words loses nearly all of its later copies, whatever its clauses and wherever it starts."""
+    w = words(40, 50).split()
+    blank = "" if kind == "japanese" else " "
+    if kind == "short":
+        w = [f"{x}!!" for x in w]
+    elif kind == "same":
+        w = ["word"] * 50
+    elif kind == "sentences":
+        w = [x + "." * (i % 24 == 23) for i, x in enumerate(w)]
+    elif kind == "japanese":
+        w = [chr(c) + "。" * (i % 50 == 9) for i, c in enumerate(np.random.default_rng(41).integers(0x4E00, 0x9000, 100))]
+    passage = blank.join(w)
+    rows = [(i, blank.join([words(50 + i, 3 + i), passage, words(80 + i, 11 - i)])) for i in range(10)]
+    out = substring_dedup.substring_dedup(spark.createDataFrame([*rows, (10, None), (11, ""), (12, " \n")], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.kept_text for r in out if r.doc_id >= 10} == {10: None, 11: "", 12: " \n"}
+    got = {r.doc_id: r for r in out}
+    assert got[0].n_removed == 0 or kind == "same"
+    for i, text in rows[1:]:
+        assert len(text) - len(got[i].kept_text) >= 0.4 * len(passage)
+        for c in (words(50 + i, 3 + i), words(80 + i, 11 - i)):
+            assert c in got[i].kept_text
+
+
+def test_parts_are_the_text():
+    texts = ["", " ", "a", " a,b ..c!!\nd  e", words(7, 100), "字 字。\n字", "x" * 400_000]
+    parts = substring_dedup.Parts(texts)
+    assert ["".join(substring_dedup.sentences(t)) for t in texts] == texts
+    assert np.diff(parts.first).tolist() == [len(substring_dedup.sentences(t)) for t in texts]
+
+
 def test_mixing_meets_marginals(spark, empty):
     import pyspark.sql.functions as F
 
