@@ -91,7 +91,7 @@ def nearest_cell(df: DataFrame, size: int) -> DataFrame:
     return df.join(F.broadcast(box), "t").select("t", "zsid", (at("n", "n0", "n1") * size + at("e", "e0", "e1")).cast("long").alias("p"))
 
 
-def density_per_node(df: DataFrame, size: int = 50, h: float = 0.3) -> DataFrame:
+def density_per_node(df: DataFrame, size: int = 200, h: float = 0.3) -> DataFrame:
     """Each station's surface value, scaled so that a snapshot keeps its total."""
     cells = nearest_cell(df, size)
     where = grid(df, size).join(cells.select("t", "p").distinct(), ["t", "p"], "left_semi")
@@ -100,23 +100,26 @@ def density_per_node(df: DataFrame, size: int = 50, h: float = 0.3) -> DataFrame
     return at.join(F.broadcast(sums), "t").select("t", "zsid", (F.col("weight") * F.col("total") / F.col("all")).alias("density"))
 
 
-def hub_costs(edges: DataFrame, hubs: DataFrame, rounds: int, keep=None) -> DataFrame:
+def hub_costs(edges: DataFrame, hubs: DataFrame, rounds: int | None = None, keep=None) -> DataFrame:
     """Cheapest cost from each station to a hub and which hub: (t, zsid, cost, hub); the smaller hub id on ties.
 
     Relaxes backwards from all hubs of all snapshots at once, until nothing
-    changes or after so many rounds. keep(frame) materialises a round. Unreachable stations have no row.
+    changes. A cheapest path has fewer hops than the largest snapshot has stations (or `rounds`); if
+    costs still change after so many, an error is raised. keep(frame) materialises a round. Unreachable stations have no row.
     """
     keep = keep or (lambda df: df.checkpoint())
     best = keep(hubs.select("t", F.col("zsid"), F.lit(0.0).alias("cost"), F.col("zsid").alias("hub")))
+    if rounds is None:
+        at = edges.select("t", F.explode(F.array("src", "dst")).alias("zsid")).union(hubs.select("t", "zsid")).distinct()
+        rounds = at.groupBy("t").count().agg(F.max("count")).first()[0] or 1
     for _ in range(rounds):
         step = edges.join(best.withColumnRenamed("zsid", "dst").withColumnRenamed("cost", "rest"), ["t", "dst"]).select("t", F.col("src").alias("zsid"), (F.col("cost") + F.col("rest")).alias("cost"), "hub")
         both = best.unionByName(step).groupBy("t", "zsid").agg(F.min(F.struct("cost", "hub")).alias("m"))
         new = keep(both.select("t", "zsid", "m.cost", "m.hub"))
-        changed = not new.exceptAll(best).isEmpty()
+        if new.exceptAll(best).isEmpty():
+            return new
         best = new
-        if not changed:
-            break
-    return best
+    raise ValueError(f"costs still change after {rounds} rounds: a cycle of negative cost, or too few rounds")
 
 
 def lv95_to_wgs84(e: Column, n: Column) -> tuple[Column, Column]:

@@ -437,6 +437,13 @@ def nearest_station(spark, sf_dir):
     return spatial.nearest_station(spatial.grid(full, 30), full)
 
 
+@query()
+def nearest_station_raster(spark, sf_dir):
+    """nearest_station over the whole raster of 200 x 200 cells."""
+    full = _full(spark, sf_dir)
+    return spatial.nearest_station(spatial.grid(full), full)
+
+
 @query()
 def kde_surface(spark, sf_dir):
     full = _full(spark, sf_dir)
@@ -465,7 +472,7 @@ def _write(spark):
 def _assigned(spark, sf_dir):
     _write(spark)
     full = _full(spark, sf_dir)
-    return full, spatial.hub_costs(spatial.knn_edges(full).checkpoint(), _hubs(full), 40)
+    return full, spatial.hub_costs(spatial.knn_edges(full).checkpoint(), _hubs(full))
 
 
 @query(MEDIAN.replace("WITH st", "WITH RECURSIVE st") + ", hub AS (SELECT t, unnest(list_distinct([min(zsid), max(zsid)])) AS zsid FROM full_ GROUP BY t), it(i, t, zsid, cost, hub) AS (SELECT 0, t, zsid, CAST(0 AS DOUBLE), zsid FROM hub UNION ALL SELECT i + 1, t, zsid, m.c, m.h FROM (SELECT i, t, zsid, min({'c': cost, 'h': hub}) AS m FROM (SELECT i, t, zsid, cost, hub FROM it WHERE i < 30 UNION ALL SELECT it.i, k.t, k.src, k.cost + it.cost, it.hub FROM it JOIN knn k ON k.t = it.t AND k.dst = it.zsid WHERE it.i < 30) GROUP BY ALL)) SELECT t, zsid, round(cost, 6) AS cost, hub FROM it WHERE i = 30")
@@ -482,9 +489,9 @@ def hub_counts(spark, sf_dir):
 def hub_share_exact(spark, sf_dir):
     """Share of all cells of the raster whose nearest station goes to each hub."""
     full, best = _assigned(spark, sf_dir)
-    near = spatial.nearest_station(spatial.grid(full, 50), full)
+    near = spatial.nearest_station(spatial.grid(full), full)
     share = near.join(best, ["t", "zsid"], "left").groupBy("t", "hub").agg(F.count("*").alias("cells"))
-    return share.withColumn("share", 100 * F.col("cells") / F.lit(2500))
+    return share.withColumn("share", 100 * F.col("cells") / F.lit(200 * 200))
 
 
 # spectra and models

@@ -34,3 +34,20 @@ def test_models_follow_a_sine(name):
 def test_hub_shares_sum_to_100(spark):
     rows = catalog.QUERIES["hub_share_exact"](spark, SF).groupBy("t").sum("share").collect()
     assert rows and all(abs(r[1] - 100) < 1e-3 for r in rows)
+
+
+def test_hub_shares_count_the_whole_raster(spark):
+    rows = catalog.QUERIES["hub_share_exact"](spark, SF).groupBy("t").sum("cells").collect()
+    assert rows and all(r[1] == 200 * 200 for r in rows)
+
+
+def test_hub_costs_reach_the_end_of_a_long_path(spark):
+    from tarnflow.operators import spatial
+
+    catalog._write(spark)
+    edges = spark.createDataFrame([(0, i + 1, i, 1.0) for i in range(45)], "t long, src long, dst long, cost double").checkpoint()
+    hubs = spark.createDataFrame([(0, 0)], "t long, zsid long")
+    got = {r.zsid: r.cost for r in spatial.hub_costs(edges, hubs).collect()}
+    assert got == {i: float(i) for i in range(46)}
+    with pytest.raises(ValueError):
+        spatial.hub_costs(edges, hubs, 3)
