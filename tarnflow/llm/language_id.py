@@ -19,8 +19,8 @@ from tarnflow.llm.shared import narrowed, tidy, unit
 SAMPLE, LANGUAGES, GRAMS = 2_500, 200, 60_000
 #: Longest n-gram; n-grams of a word overlap, so its likelihood is taken to this power; cost of a language in the set, times half a log of the words.
 ORDER, POWER, PENALTY = 3, 0.4, 2.0
-#: Languages that a document's mixture starts with, of the highest likelihood alone; rounds of a fit; share that settles a document at once; words that a worker remembers; characters of new words summed at once.
-START, ROUNDS, SURE, REMEMBERED, CHARACTERS = 6, 10, 0.99, 150_000, 100_000
+#: What a fit may lack in log likelihood, provably; rounds after which it is left all the same; words that a worker remembers; characters of new words summed at once.
+LACK, ROUNDS, REMEMBERED, CHARACTERS = 0.1, 1_000, 150_000, 100_000
 UNKNOWN = "und"
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -143,49 +143,69 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
 
 
-def _fit(c: np.ndarray, like: np.ndarray, doc: np.ndarray, first: np.ndarray, shares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Shares after ROUNDS of expectation-maximisation, and their log likelihood less what the words' scale adds."""
-    n = np.add.reduceat(c, first)
-    for _ in range(ROUNDS):
-        joint = like * shares[doc]
-        joint *= (c / np.maximum(joint.sum(axis=1), 1e-300))[:, None]
-        shares = np.add.reduceat(joint, first) / n[:, None]
-    return shares, np.add.reduceat(c * np.log(np.maximum((like * shares[doc]).sum(axis=1), 1e-300)), first)
+def _part(sizes: np.ndarray, own: np.ndarray, *rows: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of rows by document, those of some documents."""
+    mine = np.repeat(own, sizes)
+    return tuple(r[mine] for r in rows)
+
+
+def _fit(sizes: np.ndarray, c: np.ndarray, like: np.ndarray, shares: np.ndarray, enough: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shares by expectation-maximisation among the languages that have one, their log likelihood, and what the best lacks to it at most.
+
+    The likelihood is concave, so its slopes bound what any other shares can gain. A document is
+    done when that is under LACK, or when no shares can reach `enough`.
+    """
+    shares, at, lack, left = shares.copy(), np.zeros(len(sizes)), np.zeros(len(sizes)), np.arange(len(sizes))
+    for i in range(ROUNDS):
+        first, doc = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)
+        own, n = shares[left], np.add.reduceat(c, first)
+        p = np.maximum((like * own[doc]).sum(axis=1), 1e-300)
+        slope = np.add.reduceat(like * (c / p)[:, None], first)
+        at[left] = np.add.reduceat(c * np.log(p), first)
+        lack[left] = np.where(own > 0, slope, 0).max(axis=1) - n
+        more = lack[left] > LACK
+        if enough is not None:
+            more &= at[left] + lack[left] > enough[left]
+        if not more.any() or i == ROUNDS - 1:
+            break
+        own = own * slope
+        shares[left[more]] = (own / own.sum(axis=1, keepdims=True))[more]
+        if not more.all():
+            c, like = _part(sizes, more, c, like)
+            sizes, left = sizes[more], left[more]
+    return shares, at, lack
 
 
 def mixtures(sizes: np.ndarray, c: np.ndarray, ll: np.ndarray) -> np.ndarray:
     """For each document (of so many distinct words; their counts; their log likelihoods) the proportions of the languages; all at once.
 
-    Starts from the languages that are likeliest alone. A document that one of
-    them fills to SURE has that language. From the others the one of the least share is
-    dropped, as long as the likelihood less PENALTY / 2 * log(words) for each language gets better.
+    Starts from all languages. A document has one language if no mixture can gain
+    what a second one costs. From the others the one of the least share is
+    dropped, and the set of the best likelihood less PENALTY / 2 * log(words) for each language is taken.
     """
-    first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    doc = np.repeat(np.arange(len(sizes)), sizes)
+    first = np.cumsum(sizes) - sizes
     like = np.exp(np.maximum(ll - ll.max(axis=1, keepdims=True), -50))
-    alone = np.add.reduceat(c[:, None] * ll, first)
-    on = np.argsort(np.argsort(-alone, axis=1, kind="stable"), axis=1, kind="stable") < START
-    shares, fit = _fit(c, like, doc, first, on / on.sum(axis=1, keepdims=True))
-    out = np.where(shares == shares.max(axis=1, keepdims=True), 1.0, 0.0)
-    open_ = np.flatnonzero(shares.max(axis=1) < SURE)
-    if not len(open_):
-        return out
-    mine = np.isin(doc, open_)
-    c, like, sizes, on, shares, fit = c[mine], like[mine], sizes[open_], on[open_], shares[open_], fit[open_]
-    first, doc = np.concatenate([[0], np.cumsum(sizes)[:-1]]), np.repeat(np.arange(len(sizes)), sizes)
+    alone = np.add.reduceat(c[:, None] * np.log(like), first)
     words = np.log(np.add.reduceat(c, first) + 1)
-    best, chosen = np.full(len(sizes), -np.inf), shares
+    enough = alone.max(axis=1) + PENALTY / 2 * words
+    shares, fit, lack = _fit(sizes, c, like, np.full(alone.shape, 1 / alone.shape[1]), enough)
+    out = np.eye(alone.shape[1])[alone.argmax(axis=1)]
+    open_ = fit + lack > enough
+    if not open_.any():
+        return out
+    c, like = _part(sizes, open_, c, like)
+    sizes, shares, fit, words, alone = sizes[open_], shares[open_], fit[open_], words[open_], alone[open_]
+    on, single = np.ones(shares.shape, bool), out[open_]
+    best, chosen = alone.max(axis=1), single
     while True:
         score = fit - PENALTY / 2 * words * (on.sum(axis=1) - 1)
         chosen = np.where((score > best)[:, None], shares, chosen)
         best = np.maximum(best, score)
-        more = on.sum(axis=1) > 1
-        if not more.any():
+        if on[0].sum() <= 2:
             break
-        least = np.where(on, shares, np.inf).argmin(axis=1)
-        on[more, least[more]] = False
+        on[np.arange(len(on)), np.where(on, shares, np.inf).argmin(axis=1)] = False
         shares = np.where(on, shares + 1e-6, 0)
-        shares, fit = _fit(c, like, doc, first, shares / shares.sum(axis=1, keepdims=True))
+        shares, fit, _ = _fit(sizes, c, like, shares / shares.sum(axis=1, keepdims=True))
     out[open_] = chosen
     return out
 

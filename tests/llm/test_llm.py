@@ -111,6 +111,19 @@ def test_language(spark, empty):
     assert language_id.predict(docs, language_id.fit(empty)).where("lang_pred <> 'und'").count() == 0
 
 
+def test_mixture_keeps_a_small_second_language():
+    ll = np.log(np.array([[0.9, 0.1, 0.01], [0.001, 0.9, 0.01]]))
+    shares = language_id.mixtures(np.array([2, 1]), np.array([19_900.0, 100.0, 50.0]), np.concatenate([ll, ll[:1]]))
+    assert shares[0, 0] == pytest.approx(0.995, abs=1e-3) and shares[0, 1] == pytest.approx(0.005, abs=1e-3)
+    assert shares[1].tolist() == [1, 0, 0]
+
+
+def test_mixture_starts_from_all_languages():
+    ll = np.log(np.array([[0.9, 0.8, 0.8, 0.8, 0.8, 0.8, 0.8, 0.01], [0.001] * 7 + [0.9]]))
+    shares = language_id.mixtures(np.array([2]), np.array([9_000.0, 900.0]), ll)
+    assert shares[0].argmax() == 0 and shares[0, 7] == pytest.approx(1 / 11, abs=0.01)
+
+
 def test_word_likelihoods(monkeypatch):
     rng = np.random.default_rng(4)
     words = [*dict.fromkeys("".join(rng.choice(list("abñ中"), n)) for n in rng.integers(1, 9, 400))]
