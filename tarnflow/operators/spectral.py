@@ -14,11 +14,12 @@ def acf(df: DataFrame, lags: int = 30) -> DataFrame:
     return back.join(rows.select("series_id", "idx", "d"), ["series_id", "idx"]).groupBy("series_id", "lag").agg(F.try_divide(F.sum(F.col("d") * F.col("d0")), F.nullif(F.first("ss"), F.lit(0.0))).alias("acf"))
 
 
-def dft(df: DataFrame, bins: int) -> DataFrame:
-    """Amplitudes of the first Fourier bins: (series_id, k, amplitude). Every row meets each bin once and is summed before the shuffle."""
+def dft(df: DataFrame, bins: int | None = None) -> DataFrame:
+    """Amplitudes of the first Fourier bins, n // 2 of a series of n if not given: (series_id, k, amplitude). Every row meets each bin once and is summed before the shuffle."""
     n = df.groupBy("series_id").agg(F.count("*").alias("n"))
+    last = F.greatest(F.lit(0), F.floor(F.col("n") / 2) - 1).cast("long") if bins is None else F.lit(bins - 1).cast("long")
     a = -2 * F.pi() * ((F.col("k") * F.col("idx")) % F.col("n")) / F.col("n")
-    rows = df.join(F.broadcast(n), "series_id").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))))
+    rows = df.join(F.broadcast(n), "series_id").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     s = rows.groupBy("series_id", "k").agg(F.sum(F.col("y") * F.cos(a)).alias("re"), F.sum(F.col("y") * F.sin(a)).alias("im"))
     return s.select("series_id", "k", F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("amplitude"))
 

@@ -507,6 +507,12 @@ def dft_spectrum(spark, sf_dir):
     return spectral.dft(tables.hourly_count(spark, sf_dir), 60).withColumn("amplitude", F.round("amplitude", 4))
 
 
+@query()
+def dft_half_spectrum(spark, sf_dir):
+    """The first half of all bins of each series."""
+    return spectral.dft(tables.hourly_count(spark, sf_dir)).withColumn("amplitude", F.round("amplitude", 4))
+
+
 _LS = HOURLY + ", x AS (SELECT series_id, p AS period, y, cos(2 * pi() * idx / p) AS c, sin(2 * pi() * idx / p) AS s FROM h, (SELECT CAST(unnest([6, 8, 12, 24, 48, 84, 168]) AS DOUBLE) AS p)), m AS (SELECT series_id, period, avg(y*y)-avg(y)*avg(y) AS yy, avg(y*c)-avg(y)*avg(c) AS yc, avg(y*s)-avg(y)*avg(s) AS ys, avg(c*c)-avg(c)*avg(c) AS cc, avg(s*s)-avg(s)*avg(s) AS ss, avg(c*s)-avg(c)*avg(s) AS cs FROM x GROUP BY ALL) SELECT series_id, period, round((ss*yc*yc + cc*ys*ys - 2*cs*yc*ys) / nullif(yy*(cc*ss-cs*cs), 0), 6) AS power FROM m"
 
 

@@ -51,3 +51,16 @@ def test_hub_costs_reach_the_end_of_a_long_path(spark):
     assert got == {i: float(i) for i in range(46)}
     with pytest.raises(ValueError):
         spatial.hub_costs(edges, hubs, 3)
+
+
+def test_dft_returns_half_of_all_bins(spark):
+    import numpy as np
+
+    from tarnflow.operators import spectral
+
+    y = {"a": np.random.default_rng(1).normal(size=50), "b": np.sin(2 * np.pi * np.arange(24) / 3)}
+    df = spark.createDataFrame([(k, i, float(v)) for k, x in y.items() for i, v in enumerate(x)], "series_id string, idx long, y double")
+    got = spectral.dft(df).toPandas()
+    for k, x in y.items():
+        own = got[got["series_id"] == k].sort_values("k")
+        assert np.allclose(own["amplitude"], np.abs(np.fft.fft(x))[: len(x) // 2], atol=1e-6)
