@@ -24,14 +24,31 @@ def dft(df: DataFrame, bins: int | None = None) -> DataFrame:
     return s.select("series_id", "k", F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("amplitude"))
 
 
-def lomb_scargle(df: DataFrame, periods: list[float], time: str = "idx") -> DataFrame:
-    """Normalised generalised periodogram with a floating mean, at the given periods: (series_id, period, power)."""
-    rows = df.withColumn("period", F.explode(F.array(*(F.lit(float(p)) for p in periods))))
+def frequency_grid(df: DataFrame, time: str = "idx", per_peak: int = 5, nyquist: int = 5) -> DataFrame:
+    """(series_id, base, step, last): frequencies base + step * (0..last) of each series, `per_peak` to a peak's width, up to `nyquist` times half of the mean rate."""
+    span = F.max(time) - F.min(time)
+    g = df.groupBy("series_id").agg(span.cast("double").alias("span"), F.count("*").alias("n")).where("span > 0")
+    step = 1 / F.col("span") / per_peak
+    return g.select("series_id", (step / 2).alias("base"), step.alias("step"), F.bround((nyquist * 0.5 * F.col("n") / F.col("span") - step / 2) / step).cast("long").alias("last"))
+
+
+def lomb_scargle(df: DataFrame, periods: list[float] | None = None, time: str = "idx") -> DataFrame:
+    """Normalised generalised periodogram with a floating mean: (series_id, period, power), at the given periods or over frequency_grid().
+
+    On the grid, power is null where the sampled sine and cosine can't be told apart.
+    """
+    if periods is None:
+        rows = df.join(F.broadcast(frequency_grid(df, time)), "series_id").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
+        rows = rows.withColumn("period", 1 / (F.col("base") + F.col("step") * F.col("i")))
+    else:
+        rows = df.withColumn("period", F.explode(F.array(*(F.lit(float(p)) for p in periods))))
     a = 2 * F.pi() * F.col(time) / F.col("period")
     c, s, y = F.cos(a), F.sin(a), F.col("y")
     m = rows.groupBy("series_id", "period").agg(F.avg(y).alias("my"), F.avg(c).alias("mc"), F.avg(s).alias("ms"), F.avg(y * y).alias("yy"), F.avg(y * c).alias("yc"), F.avg(y * s).alias("ys"), F.avg(c * c).alias("cc"), F.avg(s * s).alias("ss"), F.avg(c * s).alias("cs"))
     less = {n: F.col(n) - F.col(f"m{n[0]}") * F.col(f"m{n[1]}") for n in ("yy", "yc", "ys", "cc", "ss", "cs")}
     m = m.select("series_id", "period", *(v.alias(n) for n, v in less.items()))
     det = F.col("cc") * F.col("ss") - F.col("cs") * F.col("cs")
+    if periods is None:
+        det = F.when(det > 1e-9, det)
     top = F.col("ss") * F.col("yc") * F.col("yc") + F.col("cc") * F.col("ys") * F.col("ys") - 2 * F.col("cs") * F.col("yc") * F.col("ys")
     return m.select("series_id", "period", F.try_divide(top, F.nullif(F.col("yy") * det, F.lit(0.0))).alias("power"))

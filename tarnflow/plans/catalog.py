@@ -527,6 +527,18 @@ def periodogram_top(spark, sf_dir):
     return p.groupBy("series_id").agg(F.max_by("period", "power").alias("period"), F.max("power").alias("power"))
 
 
+@query()
+def lomb_scargle_grid(spark, sf_dir):
+    """The periodogram over the whole frequency grid of each series."""
+    return spectral.lomb_scargle(tables.hourly_count(spark, sf_dir))
+
+
+@query()
+def periodogram_grid_top(spark, sf_dir):
+    p = spectral.lomb_scargle(tables.hourly_count(spark, sf_dir)).where("power is not null")
+    return p.groupBy("series_id").agg(F.max_by("period", "power").alias("period"), F.max("power").alias("power"))
+
+
 @query()
 def detect_periodicity(spark, sf_dir):
     return models.detect_periodicity(tables.hourly_count(spark, sf_dir))

@@ -64,3 +64,17 @@ def test_dft_returns_half_of_all_bins(spark):
     for k, x in y.items():
         own = got[got["series_id"] == k].sort_values("k")
         assert np.allclose(own["amplitude"], np.abs(np.fft.fft(x))[: len(x) // 2], atol=1e-6)
+
+
+def test_lomb_scargle_finds_any_period(spark):
+    import numpy as np
+
+    from tarnflow.operators import spectral
+
+    t = np.sort(np.random.default_rng(2).choice(400, 121, replace=False))
+    df = spark.createDataFrame([("a", int(i), float(np.sin(2 * np.pi * i / 17.3))) for i in t], "series_id string, idx long, y double")
+    got = spectral.lomb_scargle(df).toPandas()
+    span = t.max() - t.min()
+    assert len(got) == 1 + round((2.5 * 121 / span - 0.1 / span) * 5 * span)
+    best = got[got["period"] > 2].sort_values("power").iloc[-1]
+    assert abs(best["period"] - 17.3) < 0.5 and best["power"] > 0.9
