@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -12,11 +13,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnflow.llm.shared import give_back, narrowed, tidy
-from tarnflow.llm.tokens import TOKENIZER, ids_of, runs, tokenizer_path
+from tarnflow.llm.shared import give_back, narrowed, slices, tidy
+from tarnflow.llm.tokens import TOKENIZER, encoded, ids, tokenizer_path
 
-#: Bytes of text whose pieces are packed together, in one task.
-GROUP_BYTES = 6_000_000
+#: Bytes of text whose pieces are packed together, in one task; and that are encoded at once.
+GROUP_BYTES, AT_ONCE = 6_000_000, 4_000_000
 #: Weights of residual tokens, documents and attention cost.
 WEIGHTS = (1.0, 0.01, 0.01)
 
@@ -58,24 +59,22 @@ def best_fit(lengths: np.ndarray, tokens: int, documents: int, attention: int, w
 
 def _pieces(path: str, tokens: int, end_id: int, groups: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, row = runs(path), TaskContext.get().partitionId() << 40
+        known, row = ids(path), TaskContext.get().partitionId() << 40
         for batch in batches:
-            for low in range(0, len(batch), 512):
-                part = batch.slice(low, 512)
+            for part in slices(batch, 1, AT_ONCE):
+                flat, bounds = encoded(part.column(1), known)
+                raw = np.insert(flat, bounds[1:], np.uint32(end_id)).tobytes()
                 out: list[tuple] = []
-                whose = []
-                for k, ids in enumerate(ids_of(part.column(1).to_pylist(), known)):
-                    ids += end_id.to_bytes(4, "little")
-                    for piece, start in enumerate(range(0, len(ids) // 4, tokens)):
-                        own = ids[4 * start : 4 * (start + tokens)]
-                        whose.append(k)
-                        out.append((piece, start, len(own) // 4, zlib.crc32(own), row, own))
-                        row += 1
-                if out:
-                    piece, start, length, crc, number, raw = zip(*out, strict=True)
-                    spread = (np.array(number, np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-                    rows = {"doc_id": part.column(0).take(pa.array(whose)), "piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64()), "pack": pa.array((spread % groups).astype(np.int64)), "row": pa.array(number, pa.int64())}
-                    yield pa.RecordBatch.from_pydict(rows | ({"ids": pa.array(raw, pa.binary())} if with_ids else {}))
+                for k, (low, high) in enumerate(pairwise((bounds + np.arange(len(bounds))).tolist())):
+                    for piece, at in enumerate(range(low, high, tokens)):
+                        own = raw[4 * at : 4 * min(at + tokens, high)]
+                        out.append((k, piece, at - low, len(own) // 4, zlib.crc32(own), own))
+                whose, piece, start, length, crc, own = zip(*out, strict=True)
+                number = np.arange(row, row + len(out))
+                row += len(out)
+                spread = (number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+                rows = {"doc_id": part.column(0).take(pa.array(whose)), "piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64()), "pack": pa.array((spread % np.uint64(groups)).astype(np.int64)), "row": pa.array(number, pa.int64())}
+                yield pa.RecordBatch.from_pydict(rows | ({"ids": pa.array(own, pa.binary())} if with_ids else {}))
 
     return tidy(run, keeps=True)
 
@@ -87,7 +86,8 @@ def pack(docs: DataFrame, tokens: int = 2048, documents: int | None = None, atte
     pieces are dealt at random to groups of a fixed expected size (GROUP_BYTES of
     text), so that each has the mixture of the whole, and each group is packed
     by best_fit(); it leaves about half a sequence more than one packing
-    of all. documents and attention default to what tokens imply.
+    of all. documents and attention default to what tokens imply, and then never bind; a piece whose own
+    attention cost exceeds `attention` has a sequence to itself.
 
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset (and
     ids, little-endian unsigned 32-bit, if with_ids). Null and empty texts are

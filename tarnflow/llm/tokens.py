@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import os
-import string
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from tarnflow.llm.shared import kept
 
 #: File of the tokenizer that the queries use; its pre-tokens never span white space, so texts can be cut there.
 TOKENIZER = "word_bpe_49k.json"
-#: Runs whose ids a worker remembers before it starts anew.
-REMEMBERED = 250_000
+#: Words whose ids a worker remembers before it starts anew.
+REMEMBERED = 400_000
+#: A run that ends with a plain letter or digit and then ASCII punctuation: nothing joins the two, so each has its own tokens.
+PARTED = r"(?s)^(?P<word>.*[0-9A-Za-zÀ-ÖØ-öø-ÿ])(?P<end>[[:punct:]]*)$"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -21,12 +24,8 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return name if os.path.isabs(name) else public_tokenizers.path(name)
 
 
-class Runs(dict):
-    """white-space run -> its ids as little-endian unsigned 32-bit numbers. Bounded: ids_of() empties it when it is full.
-
-    Runs that differ by A-Z in upper case or by punctuation at the end share
-    the work of their word, and new words are encoded many at a time.
-    """
+class Ids(dict):
+    """word -> its ids as little-endian unsigned 32-bit numbers. Bounded: many() empties it when it is full."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
@@ -46,49 +45,82 @@ class Runs(dict):
     def _ids(self, text: str, plain: bool = False) -> np.ndarray:
         return np.array((self._encode_plain if plain else self._encode)([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def __missing__(self, run: str) -> bytes:
-        if "<|" not in run:
-            word = run.rstrip(string.punctuation)
-            if word != run and word[-1:].isalnum():
-                return self._kept(run, self[word] + self[run[len(word) :]])
-            low = run.encode().lower().decode()
-            if low != run:
-                return self._kept(run, self[low])
-        return self._kept(run, self._ids(run).tobytes())
-
-    def _kept(self, run: str, ids: bytes) -> bytes:
-        if len(run) <= 64:
-            self[run] = ids
-        return ids
-
-    def learn(self, new: list[str]) -> None:
-        """Encode the words behind new runs, those of letters only many in one go: each ends with its first token that ends a word."""
-        words = {w for r in new if (w := r.rstrip(string.punctuation).encode().lower().decode()).isalpha() and len(w) <= 64 and w not in self}
-        ascii_ = [w for w in words if w.isascii()]
-        for plain, own in ((True, ascii_), (False, [*words.difference(ascii_)])):
-            for low in range(0, len(own), 1000):
-                part = own[low : low + 1000]
+    def many(self, words: list[str]) -> list[bytes]:
+        """The ids of some words. New ones of letters only are encoded many in one go: each ends with its first token that ends a word."""
+        if len(self) > REMEMBERED:
+            self.clear()
+        found = [*map(self.get, words)]
+        gaps = [i for i, x in enumerate(found) if x is None]
+        new = [words[i] for i in gaps]
+        letters = [w for w in new if w.isalpha() and len(w) <= 64]
+        ascii_ = [w for w in letters if w.isascii()]
+        own: dict[str, bytes] = {"": b""}
+        for plain, some in ((True, ascii_), (False, [w for w in letters if not w.isascii()])):
+            for low in range(0, len(some), 1000):
+                part = some[low : low + 1000]
                 ids = self._ids(" ".join(part), plain)
                 cuts = (4 * np.flatnonzero(self._ends[ids]) + 4).tolist()
                 if len(cuts) == len(part):
                     raw = ids.tobytes()
-                    self.update(zip(part, map(raw.__getitem__, map(slice, [0, *cuts], cuts)), strict=True))
+                    own.update(zip(part, map(raw.__getitem__, map(slice, [0, *cuts], cuts)), strict=True))
+        for w in new:
+            if w not in own:
+                own[w] = self._ids(w).tobytes()
+        self.update((w, ids) for w, ids in own.items() if len(w) <= 64)
+        for i in gaps:
+            found[i] = own[words[i]]
+        return found
 
 
-def runs(path: str) -> Runs:
+def ids(path: str) -> Ids:
     """One per Python worker."""
-    return kept(("runs", path), lambda: Runs(path))
-
-
-def ids_of(texts: list[str | None], known: Runs) -> list[bytes]:
-    """Ids of each text: those of its runs between blanks, tabs and line ends, one after the other."""
-    parts = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-    if len(known) > REMEMBERED:
-        known.clear()
-    known[""] = b""
-    found = [[*map(known.get, own)] for own in parts]
-    gaps = [(own, ids, i) for own, ids in zip(parts, found, strict=True) if None in ids for i, x in enumerate(ids) if x is None]
-    known.learn([*{own[i] for own, _, i in gaps}])
-    for own, ids, i in gaps:
-        ids[i] = known[own[i]]
-    return [b"".join(ids) for ids in found]
+    return kept(("ids", path), lambda: Ids(path))
+
+
+class Words:
+    """The words of some texts and the punctuation after each: `names` (each once), `which` (of all, in order), `first` (those of each text, and their number last).
+
+    Words stand between blanks, tabs and line ends; A-Z are lower-cased. Null is an empty text.
+    """
+
+    def __init__(self, texts: pa.Array | list[str | None]):
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        for blank in "\n\t\r":
+            texts = pc.replace_substring(texts, blank, " ")
+        parts = pc.split_pattern(texts, " ")
+        runs = pc.dictionary_encode(parts.values)
+        each = runs.dictionary
+        found = pc.extract_regex(each, PARTED)
+        whole = pc.or_(pc.match_substring(each, "<|"), pc.is_null(found))  # may be a special token, or can't be parted
+        word = pc.if_else(whole, each, pc.struct_field(found, "word"))
+        word = pc.if_else(pc.match_substring(word, "<|"), word, pc.ascii_lower(word))
+        end = pc.if_else(whole, "", pc.struct_field(found, "end"))
+        word, end = pc.dictionary_encode(word), pc.dictionary_encode(end)
+        self.names: list[str] = word.dictionary.to_pylist() + end.dictionary.to_pylist()
+        both = np.stack([word.indices.to_numpy(), end.indices.to_numpy() + len(word.dictionary)], axis=1)
+        self.which = both[runs.indices.to_numpy()].ravel()
+        self.first = 2 * parts.offsets.to_numpy().astype(np.int64)
+
+    def sums(self, of_name: np.ndarray) -> np.ndarray:
+        """For each text the sum of a number that each name has."""
+        return np.add.reduceat(of_name[self.which], self.first[:-1]) if len(self.first) > 1 else np.zeros(0, np.int64)
+
+
+def _sizes(raw: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+
+
+def encoded(texts: pa.Array | list[str | None], known: Ids) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts, one after the other; and where each begins, and their number last."""
+    words = Words(texts)
+    raw = known.many(words.names)
+    flat, size = np.frombuffer(b"".join(raw), "<u4"), _sizes(raw)
+    n, begin = size[words.which], (np.cumsum(size) - size)[words.which]
+    upto = np.concatenate([[0], np.cumsum(n)])
+    return flat[np.repeat(begin - upto[:-1], n) + np.arange(upto[-1])], upto[words.first]
+
+
+def counts(texts: pa.Array | list[str | None], known: Ids) -> np.ndarray:
+    """The number of ids of each text."""
+    words = Words(texts)
+    return words.sums(_sizes(known.many(words.names)))
