@@ -40,8 +40,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     Learns from rows whose text and label aren't null: about `sample` documents
     of each language, drawn by a hash of the id. n-grams are counted where
-    the documents are; the most frequent GRAMS reach the driver. Without
-    labelled rows both are empty.
+    the documents are; the most frequent GRAMS reach the driver, with a count for each
+    language. Labels are any strings, told apart by every character. Without
+    labelled rows both are empty. Rows of a null id are drawn like others, repeated rows count each.
     """
     rows = narrowed(docs, doc_id=id_col, text=text_col, lang=lang_col).where("text is not null and lang is not null")
     langs = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
@@ -62,11 +63,14 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                     grams[g] += n
             yield pd.DataFrame({"lang": lang, "gram": list(grams), "n": list(grams.values())})
 
-    counts = drawn.mapInPandas(tidy(count), "lang string, gram string, n bigint").groupBy("gram").pivot("lang", sorted(langs)).sum("n")
-    total = sum((F.coalesce(F.col(f"`{lang}`"), F.lit(0)) for lang in sorted(langs)), F.lit(0))
-    top = counts.withColumn("total", total).orderBy(F.desc("total"), "gram").limit(GRAMS).toPandas()
     names = sorted(langs)
-    table = top[names].fillna(0).to_numpy(float) + 0.5
+    place = F.create_map(*(F.lit(x) for i, lang in enumerate(names) for x in (lang, i)))
+    counts = drawn.mapInPandas(tidy(count), "lang string, gram string, n bigint").groupBy("gram", F.try_element_at(place, "lang").alias("at")).agg(F.sum("n").alias("n"))
+    top = counts.groupBy("gram").agg(F.sum("n").alias("total"), F.collect_list(F.struct("at", "n")).alias("held")).orderBy(F.desc("total"), "gram").limit(GRAMS).select("gram", "held").toPandas()
+    table = np.full((len(top), len(names)), 0.5)
+    for k, held in enumerate(top["held"]):
+        for at, n in held:
+            table[k, at] += n
     order = top["gram"].str.len().to_numpy()
     for n in range(1, ORDER + 1):
         table[order == n] /= table[order == n].sum(axis=0, keepdims=True)
@@ -216,7 +220,8 @@ def predict(docs: DataFrame, model: tuple[list[str], dict[str, np.ndarray]], id_
     With keep, these columns of the row come instead of doc_id, so that no join is needed.
 
     "und" with score 0 where the text is null or has no letter, or no language
-    was learned. Each row is judged by its text only, so repeated rows agree.
+    was learned. Each row is judged by its whole text only, so repeated rows agree; of languages
+    that fit equally the first by name wins. Other columns never matter, and an empty table gives no rows.
     """
     names, grams = model
     rows = docs.select(docs[text_col].alias("text"), *([docs[c].alias(f"kept_{c}") for c in keep] if keep else [docs[id_col].alias("doc_id")]))
@@ -250,5 +255,5 @@ def predict(docs: DataFrame, model: tuple[list[str], dict[str, np.ndarray]], id_
 
 
 def held_out(doc_id: Column) -> Column:
-    """A quarter of all ids, by a checksum: never learned from."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
+    """A quarter of all ids, by a checksum: never learned from. A null id isn't one of them."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
