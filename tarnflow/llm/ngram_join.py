@@ -12,12 +12,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnflow.llm.shared import components, give_back, save, tidy
+from tarnflow.llm.shared import components, discard, give_back, heavy, labelled, salted, save, tidy
 
 #: Words of an n-gram; links need 100 * common >= PERCENT * union.
 WORDS, PERCENT = 5, 80
-#: n-grams of a chunk of documents, and of a hash range, at about; documents of a block; rows of a product task.
-CHUNK, RANGE, BLOCK, TASK_ROWS = 400_000, 1_000_000, 128, 4_096
+#: n-grams of a chunk of documents, at about (with very many ranges more, up to MOST), and of a hash range; documents of a block; rows of a product task.
+CHUNK, MOST, RANGE, BLOCK, TASK_ROWS = 400_000, 4_000_000, 1_000_000, 128, 4_096
+#: Groups of blocks that meet in one cell of an n-gram's grid.
+GRID = 256
 #: Documents in the sample that finds very common n-grams, and the hits that make one; columns of a dense product at once.
 SAMPLE, COMMON_HITS, COLUMNS = 2_000, 8, 16_384
 #: Words whose hash a worker remembers.
@@ -72,8 +74,23 @@ def _common(docs: DataFrame, words: int) -> np.ndarray:
     return np.sort(found.select("hash").toPandas()["hash"].to_numpy(np.int64).view(np.uint64))
 
 
+def _packed(owner: np.ndarray, docs: int) -> bytes:
+    """Whose n-grams these are, in order: how many each document has, or each one's document where that is shorter."""
+    if 4 * docs <= 2 * len(owner):
+        return b"\0" + np.bincount(owner, minlength=docs).astype(np.uint32).tobytes()
+    return b"\1" + owner.astype(np.uint16).tobytes()
+
+
+def _owners(packed: bytes) -> tuple[np.ndarray, int]:
+    if packed[0]:
+        return np.frombuffer(packed, np.uint16, offset=1).astype(np.int64), 1 << 16
+    counts = np.frombuffer(packed, np.uint32, offset=1)
+    return np.repeat(np.arange(len(counts)), counts), len(counts)
+
+
 def _chunks(bits: int, common: np.ndarray, words: int):
     """Rows (chunk, range, kind, doc data): for each chunk of documents its n-grams by hash range, and what is known of its documents."""
+    full = min(MOST, max(CHUNK, 8 << bits))
 
     def flush(chunk: int, ids: list, sets: list[np.ndarray]) -> list[dict]:
         sizes = np.array([len(s) for s in sets], np.int64)
@@ -86,10 +103,10 @@ def _chunks(bits: int, common: np.ndarray, words: int):
         where = (rest >> np.uint64(64 - bits)).astype(np.int64)
         order = np.argsort(where, kind="stable")
         rest, owner, where = rest[order] << np.uint64(bits), owner[order], where[order]
-        for r, (low, high) in enumerate(zip(np.searchsorted(where, np.arange(1 << bits)), np.searchsorted(where, np.arange(1 << bits), side="right"), strict=True)):
-            if high > low:
-                h = rest[low:high]
-                out.append({"chunk": chunk, "range": r, "meta": False, "a": None, "b": np.bincount(owner[low:high], minlength=len(sets)).astype(np.uint32).tobytes(), "c": (h >> np.uint64(32)).astype(np.uint32).tobytes(), "d": ((h >> np.uint64(24)) & np.uint64(255)).astype(np.uint8).tobytes(), "e": None})
+        ranges, low = np.unique(where, return_index=True)
+        for r, a, b in zip(ranges.tolist(), low.tolist(), [*low[1:].tolist(), len(where)], strict=True):
+            h = rest[a:b]
+            out.append({"chunk": chunk, "range": r, "meta": False, "a": None, "b": _packed(owner[a:b], len(sets)), "c": (h >> np.uint64(32)).astype(np.uint32).tobytes(), "d": ((h >> np.uint64(24)) & np.uint64(255)).astype(np.uint8).tobytes(), "e": None})
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +119,7 @@ def _chunks(bits: int, common: np.ndarray, words: int):
                     ids.append(id_)
                     sets.append(shingles(text.as_py(), known, words))
                     held += len(sets[-1])
-                    if held >= CHUNK or len(sets) >= 60_000:
+                    if held >= full or len(sets) >= 60_000:
                         yield pa.RecordBatch.from_pylist(flush(chunk, ids, sets), types)
                         chunk, ids, sets, held = chunk + 1, [], [], 0
         if sets:
@@ -129,10 +146,8 @@ def _repeated(pdf: pd.DataFrame) -> pd.DataFrame:
         low += len(own)
         again = df > 1
         if again.any():
-            counts = np.frombuffer(row["b"], np.uint32)
-            owner = np.repeat(np.arange(len(counts)), counts)[again]
-            kept = np.bincount(owner, minlength=len(counts)).astype(np.uint32)
-            out.append({"chunk": row["chunk"], "range": row["range"], "meta": False, "a": None, "b": kept.tobytes(), "c": np.frombuffer(row["c"], np.uint32)[again].tobytes(), "d": np.frombuffer(row["d"], np.uint8)[again].tobytes(), "e": df[again].tobytes()})
+            owner, docs = _owners(row["b"])
+            out.append({"chunk": row["chunk"], "range": row["range"], "meta": False, "a": None, "b": _packed(owner[again], docs), "c": np.frombuffer(row["c"], np.uint32)[again].tobytes(), "d": np.frombuffer(row["d"], np.uint8)[again].tobytes(), "e": df[again].tobytes()})
     return pd.concat([meta, pd.DataFrame(out, columns=list(meta.columns))], ignore_index=True) if out else meta
 
 
@@ -149,8 +164,7 @@ def _assembled(bits: int, percent: int):
         for _, row in pdf[~pdf["meta"]].iterrows():
             low = (np.frombuffer(row["c"], np.uint32).astype(np.uint64) << np.uint64(32)) | (np.frombuffer(row["d"], np.uint8).astype(np.uint64) << np.uint64(24))
             hashes.append((low >> np.uint64(bits)) | (np.uint64(row["range"]) << np.uint64(64 - bits)))
-            counts = np.frombuffer(row["b"], np.uint32)
-            owners.append(np.repeat(np.arange(len(counts)), counts))
+            owners.append(_owners(row["b"])[0])
             dfs.append(np.frombuffer(row["e"], np.uint16))
         h, owner, df = np.concatenate(hashes), np.concatenate(owners), np.concatenate(dfs)
         order = np.lexsort((h, owner))
@@ -221,16 +235,21 @@ def _product(percent: int):
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Documents linked by the Jaccard similarity of their word n-grams, exactly.
 
-    1. n-grams are hashed and counted over all documents, range by range. A
-       document takes part if enough of its n-grams occur elsewhere (the size
-       bound of a link), with one row for all documents of an equal set.
+    1. n-grams are hashed and counted over all documents, range by range; the number of ranges
+       grows with the input. A document takes part if enough of its n-grams occur elsewhere (the
+       size bound of a link), with one row for all documents of an equal set.
     2. Two linked sets must share one of their rarest n-grams, as many as the
        bound allows to miss (a prefix). Sets that do are brought together: each is
-       dealt to a block of the most typical set among those it shares with.
-    3. Pairs of blocks that share an n-gram of a prefix are multiplied,
-       incidence by incidence, so that overlaps of all their pairs are summed.
-       Sets linked to the block's typical set need no product among themselves.
-    4. Links, no more from a product than connect its documents, give components.
+       dealt to a block of the most typical set among those it shares with. Blocks of
+       sets that are linked to it make its star.
+    3. Stars that share an n-gram of a prefix are held against each other by their typical sets.
+       These may be linked, and then so are the stars. Jaccard distance is a metric, so stars whose
+       typical sets are further apart than three links can't be linked at all.
+    4. Blocks of the other pairs of stars, and of sets in no star, that share an n-gram of a prefix are
+       multiplied, incidence by incidence, so that overlaps of all their pairs are summed.
+    5. Links, no more from a product than connect its documents, give components.
+
+    n-grams, typical sets, blocks and labels of very many rows are dealt to several tasks.
 
     Returns doc_id, n_shingles, class_id (equal for equal sets; null if empty),
     component_id (smallest doc_id of the component). Null and empty texts have
@@ -240,41 +259,80 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(16, max(6, int(np.ceil(np.log2(max(1, size / 6 / RANGE))))))
+    bits = max(6, int(np.ceil(np.log2(max(1, size / 6 / RANGE)))))
     chunks = rows.mapInArrow(tidy(_chunks(bits, _common(rows, words), words)), _CHUNK)
     again = chunks.groupBy("range").applyInPandas(_repeated, _CHUNK)
     whole = save(again.groupBy("chunk").applyInPandas(_assembled(bits, percent), "doc_id bigint, n bigint, cls bigint, grams array<bigint>, prefix array<bigint>, weight double"), "sets")
-    cls = F.when(F.col("n") > 0, F.col("cls"))
-    all_rows = whole.select("doc_id", "n", cls.alias("cls"))
-
     sets = save(whole.where("grams is not null").dropDuplicates(["cls"]).select("cls", "n", "grams", "prefix", "weight"), "classes")
-    entry = sets.select("cls", "weight", F.explode("prefix").alias("gram"))
-    post = entry.groupBy("gram").agg(F.max(F.struct("weight", "cls")).alias("lead"), F.count("*").alias("held")).where("held > 1").select("gram", "lead")
-    entry = save(entry.join(post, "gram").select("gram", "cls", "lead"), "entries")
-    home = entry.groupBy("cls").agg(F.max("lead.cls").alias("any"), F.max("lead").alias("lead")).select("cls", F.col("lead.cls").alias("home"))
-    own = sets.select("cls", "n", "grams").join(home, "cls")
-    lead = sets.select(F.col("cls").alias("home"), F.col("n").alias("m"), F.col("grams").alias("theirs"))
-    common = F.size(F.array_intersect("grams", "theirs"))
-    own = save(own.join(lead, "home").select("cls", "n", "grams", "home", ((F.col("cls") == F.col("home")) | (100 * common >= percent * (F.col("n") + F.col("m") - common))).alias("near")), "homes")
-    many = own.groupBy("home", "near").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
-    block = F.xxhash64("home", "near", F.pmod(F.xxhash64("cls", F.lit(5)), "blocks"))
-    own = save(own.join(many, ["home", "near"]).withColumn("block", block).drop("blocks"), "blocks")
 
-    star = F.when(F.col("near"), F.col("home"))
-    meet = entry.select("gram", "cls").join(own.select("cls", "block", star.alias("star")), "cls").select("gram", "block", "star").distinct()
-    meet = meet.groupBy("gram").agg(F.sort_array(F.collect_list(F.struct("block", "star"))).alias("at"))
-    pairs = F.flatten(F.transform("at", lambda x, i: F.transform(F.slice("at", i + 1, F.size("at")), lambda y: F.struct(x["block"].alias("a"), y["block"].alias("b"), (x["star"] == y["star"]).alias("same")))))
-    pairs = save(meet.select(F.explode(pairs).alias("p")).where("not coalesce(p.same, false)").select("p.a", "p.b").distinct(), "pairs")
+    own, entry = _blocks(sets, percent)
+    pairs, links = _pairs(own, entry, sets, percent)
     sides = pairs.select("a", "b", F.col("a").alias("block"), F.lit(0).alias("side")).union(pairs.where("a <> b").select("a", "b", "b", F.lit(1)))
-    shipped = sides.join(own.select("block", "cls", "n", "grams"), "block")
-    sized = sides.join(own.groupBy("block").count(), "block").agg(F.sum("count")).first()[0] or 0
-    pair = F.xxhash64("a", "b").alias("pair")
-    shipped = shipped.select(pair, F.pmod(F.xxhash64("a", "b", F.lit(3)), F.lit(max(1, -(-sized // TASK_ROWS)))).alias("task"), "side", "cls", "n", "grams")
-    links = shipped.groupBy("task").applyInPandas(_product(percent), "src bigint, dst bigint")
-    links = links.union(own.where("near and cls <> home").select("cls", "home"))
+    asked = save(sides.groupBy("block").agg(F.count("*").alias("n")), "asked")
+    sized = asked.join(own.groupBy("block").count(), "block").agg(F.sum(F.col("n") * F.col("count"))).first()[0] or 0
+    shipped = salted(sides, own.select("block", "cls", "n", "grams"), ["block"], heavy(asked, ["block"], 2 * pairs.count()), ["a", "b"])
+    shipped = shipped.select(F.xxhash64("a", "b").alias("pair"), F.pmod(F.xxhash64("a", "b", F.lit(3)), F.lit(max(1, -(-sized // TASK_ROWS)))).alias("task"), "side", "cls", "n", "grams")
+    links = links.union(shipped.groupBy("task").applyInPandas(_product(percent), "src bigint, dst bigint")).union(own.where("near and cls <> home").select("cls", "home"))
 
     root = components(links)
-    labelled = save(all_rows.join(root, all_rows["cls"] == root["node"], "left").select("doc_id", "n", "cls", F.coalesce("root", "cls").alias("label")), "labels")
-    least = labelled.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    out = labelled.join(least, "label", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("cls").alias("class_id"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    all_rows = whole.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("cls")).alias("cls"))
+    hot = heavy(all_rows.where("cls is not null").groupBy("cls").agg(F.count("*").alias("n")), ["cls"], whole.count())
+    rows = salted(all_rows, root.withColumnRenamed("node", "cls"), ["cls"], hot, ["doc_id"], "left").withColumn("label", F.coalesce("root", "cls"))
+    rows = save(rows.drop("root"), "labelled")
+    discard(whole, sets, own, entry, pairs, asked, root)
+    out = labelled(rows, "label", "doc_id", "least")
+    return out.select("doc_id", "n_shingles", F.col("cls").alias("class_id"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+
+
+def _blocks(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Saved: sets (cls, n, grams) with their home, whether they are linked to it (near), and their block; and the n-grams of all prefixes that several sets have (gram, cls)."""
+    entry = sets.select("cls", "weight", F.explode("prefix").alias("gram"))
+    post = save(entry.groupBy("gram").agg(F.max(F.struct("weight", "cls")).alias("lead"), F.count("*").alias("n")).where("n > 1"), "prefixes")
+    total = sets.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    entry = save(salted(entry.select("gram", "cls"), post.select("gram", "lead"), ["gram"], heavy(post, ["gram"], total), ["cls"]), "entries")
+    homes = save(entry.groupBy("cls").agg(F.max("lead").alias("lead")).select("cls", F.col("lead.cls").alias("home")), "homes")
+    held = save(homes.groupBy("home").agg(F.count("*").alias("n")), "held")
+    typical = sets.select(F.col("cls").alias("home"), F.col("n").alias("m"), F.col("grams").alias("theirs")).join(held.select("home", F.ceil(F.col("n") / BLOCK).alias("blocks")), "home")
+    own = salted(sets.select("cls", "n", "grams").join(homes, "cls"), typical, ["home"], heavy(held, ["home"], homes.count()), ["cls"])
+    both = F.size(F.array_intersect("grams", "theirs"))
+    own = own.withColumn("near", (F.col("cls") == F.col("home")) | (100 * both >= percent * (F.col("n") + F.col("m") - both)))
+    block = F.xxhash64("home", "near", F.pmod(F.xxhash64("cls", F.lit(5)), "blocks"))
+    own = save(own.select("cls", "n", "grams", "home", "near", block.alias("block")), "blocks")
+    discard(post, homes, held)
+    return own, entry.select("gram", "cls")
+
+
+def _pairs(own: DataFrame, entry: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Saved: pairs of blocks (a, b) to multiply, and links (src, dst) between typical sets of stars.
+
+    An n-gram's stars (and blocks outside of stars) meet in the cells of a grid, each of about GRID
+    x GRID of them, so that no task takes all of a common n-gram, and those of one star don't meet at all.
+    """
+    star = F.when(F.col("near"), F.col("home")).otherwise(F.col("block")).alias("star")
+    meet = save(entry.join(own.select("cls", "block", "near", star), "cls").select("gram", "block", "star", "near").distinct(), "meet")
+    stars = meet.select("gram", "star", "near").distinct()
+    held = save(stars.groupBy("gram").agg(F.count("*").alias("n"), F.bool_and("near").alias("all_near")).where("n > 1 or not all_near"), "grams")
+    cells = held.select("gram", F.ceil(F.col("n") / GRID).cast("int").alias("cells"))
+    at = save(salted(stars, cells, ["gram"], heavy(held, ["gram"], meet.count()), ["star"]).withColumn("cell", F.pmod(F.xxhash64("star", F.lit(7)), "cells").cast("int")), "stars")
+    lane = F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
+    left = at.select("gram", F.col("cell").alias("r"), lane.alias("c"), F.col("star").alias("a"), F.col("near").alias("a_near"))
+    right = at.select("gram", lane.alias("r"), F.col("cell").alias("c"), F.col("star").alias("b"), F.col("near").alias("b_near"))
+    met = save(left.join(right, ["gram", "r", "c"]).where("a < b or (a = b and not a_near)").select("gram", "a", "b", (F.col("a_near") & F.col("b_near")).alias("stars")), "met")
+
+    close = save(met.where("stars").select("a", "b").distinct(), "star-pairs")
+    total, typical = close.count(), sets.select("cls", "n", "grams")
+    both = close
+    for c in ("a", "b"):
+        hot = heavy(close.groupBy(c).agg(F.count("*").alias("n")), [c], total)
+        both = salted(both, typical.withColumnsRenamed({"cls": c, "n": f"n_{c}", "grams": f"grams_{c}"}), [c], hot, ["a" if c == "b" else "b"])
+    common = F.size(F.array_intersect("grams_a", "grams_b"))
+    close = save(both.select("a", "b", (100 * common).alias("common"), (F.col("n_a") + F.col("n_b") - common).alias("union")), "close")
+    links = close.where(F.col("common") >= percent * F.col("union")).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    open_ = close.where((F.col("common") < percent * F.col("union")) & (F.col("common") >= (3 * percent - 200) * F.col("union"))).select("a", "b")
+
+    todo = met.where("not stars").select("gram", "a", "b").union(met.where("stars").select("gram", "a", "b").join(open_, ["a", "b"], "left_semi").select("gram", "a", "b"))
+    for c, name in (("a", "x"), ("b", "y")):
+        todo = todo.join(meet.select("gram", F.col("star").alias(c), F.col("block").alias(name)), ["gram", c])
+    pairs = save(todo.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
+    discard(meet, held, at, met)
+    return pairs, links
