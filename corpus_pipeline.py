@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnflow.llm import exact_dedup, language_id, mixing, ngram_join, packing
-from tarnflow.llm.queries import topic
-from tarnflow.llm.shared import save
+from tarnflow.llm.queries import WEIGHTS
+from tarnflow.llm.shared import save, without
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -20,29 +20,31 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one of the largest doc_id stays. The newer half of the ids meets the snapshot of the older one."""
+    """Of equal texts the one of the largest doc_id stays, and of rows that repeat id and text one. The newer half of the ids meets the snapshot of the older one."""
     half = docs.agg(F.percentile_approx("doc_id", 0.5)).first()[0] or 0
     old = F.coalesce(F.col("doc_id") <= half, F.lit(True))
-    kept = save(exact_dedup.exact_dedup(docs.where(~old), docs.where(old)).where("kept").select("doc_id", "text_key"), "kept").withColumnRenamed("doc_id", "kept_id")
-    out = docs.withColumn("own_key", F.xxhash64("text"))
-    out = out.join(kept.distinct(), (out["own_key"] == kept["text_key"]) & out["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").select(*COLUMNS)
-    repeated = docs.groupBy("doc_id").count().where("count > 1")
-    return out if repeated.isEmpty() else out.dropDuplicates(["doc_id", "text"])
+    who = F.xxhash64("doc_id", F.lit(1)).alias("who")
+    judged = exact_dedup.exact_dedup(docs.where(~old), docs.where(old)).select(who, "text_key", "kept")
+    judged = save(judged.groupBy("who", "text_key").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n")), "judged")
+    rows = docs.select(*COLUMNS).withColumns({"who": who, "text_key": F.xxhash64("text")})
+    out = without(rows, ["who", "text_key"], judged.where("not kept")).select(*COLUMNS)
+    return out if judged.where("kept and n > 1").isEmpty() else out.dropDuplicates(["doc_id", "text"])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that are near copies, directly or through others, the one of the smallest doc_id stays. Rows that share a doc_id stay or go together."""
+    """Of documents that are near copies, directly or through others, the one of the smallest doc_id stays. Rows that share a doc_id stay or go together, those of a null id stay."""
     gone = ngram_join.near_duplicates(docs).where("doc_id > component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return without(docs.select(*COLUMNS), ["doc_id"], save(gone, "gone"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Draws documents that hold nine tenths of the words, at rates that move sources, languages and topics towards tempered shares."""
-    rows = docs.withColumn("topic", topic())
-    return mixing.mix(rows, ["source", "lang", "topic"], mixing.word_count(F.col("text")), keep=0.9).where("mix_keep").select(*COLUMNS)
+    """Draws documents that hold nine tenths of the tokens, at rates that move sources, languages and topics towards their target weights. Documents without tokens aren't drawn; rows that share a doc_id share their draw."""
+    rows = save(mixing.profiled(docs, mixing.fit_topics(docs), keep=list(COLUMNS)), "profiles")
+    return mixing.mix(rows, ["source", "lang", "mix_topic"], F.col("mix_tokens"), keep=0.9, given=WEIGHTS).where("mix_keep").select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of all pieces in sequences of at most 2048 tokens."""
     return packing.pack(docs, tokens=2048)
 
 
@@ -50,6 +52,7 @@ STAGES = [("language_id", identify_language), ("exact_dedup", drop_exact_copies)
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in turn over the documents; what the last one returns. Nulls in any column, repeated rows and an empty table pass through as each stage says."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = save(stage(spark, docs, sf_dir), name)
