@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,17 +19,18 @@ def squared(a: str, b: str) -> Column:
     return dx * dx + dy * dy
 
 
-def station_agg(df: DataFrame) -> DataFrame:
-    """One row for each snapshot and station: means of count and place."""
-    return df.groupBy(SNAP, "zsid").agg(F.avg("cnt").alias("cnt"), F.avg("e").alias("e"), F.avg("n").alias("n"))
+def station_agg(df: DataFrame, first: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each snapshot and station: means of count and place, and of other columns (name, height, time) the first that isn't null, in the order of their values."""
+    return df.groupBy(SNAP, "zsid").agg(F.avg("cnt").alias("cnt"), F.avg("e").alias("e"), F.avg("n").alias("n"), *(F.min(c).alias(c) for c in first))
 
 
-def knn_impute(df: DataFrame, k: int = 4, how: str = "median") -> DataFrame:
-    """Missing counts from the k nearest stations of the snapshot that have one; ties go to the smaller id."""
+def knn_impute(df: DataFrame, k: int = 4, how: str = "median", seed: int = 42) -> DataFrame:
+    """Missing counts from the k nearest stations of the snapshot that have one: their median, mean, or one of them (sample: the first by a checksum); ties go to the smaller id."""
     gaps, known = df.where("cnt is null").alias("a"), df.where("cnt is not null").alias("b")
     near = gaps.join(known, F.col("a.t") == F.col("b.t")).select(F.col("a.t").alias("t"), F.col("a.zsid").alias("zsid"), F.col("b.zsid").alias("other"), F.col("b.cnt").alias("c"), squared("a", "b").alias("d"))
     near = near.withColumn("rn", F.row_number().over(Window.partitionBy("t", "zsid").orderBy("d", "other"))).where(F.col("rn") <= k)
-    fill = near.groupBy("t", "zsid").agg((F.median("c") if how == "median" else F.avg("c")).alias("filled"))
+    drawn = F.min_by("c", F.md5(F.concat_ws("|", F.lit(str(seed)), "t", "zsid", "other")))
+    fill = near.groupBy("t", "zsid").agg({"median": F.median("c"), "mean": F.avg("c"), "sample": drawn}[how].alias("filled"))
     return df.join(fill, ["t", "zsid"], "left").withColumn("cnt", F.coalesce("cnt", "filled")).drop("filled")
 
 
@@ -32,7 +38,7 @@ def pair_distances(df: DataFrame) -> DataFrame:
     """(t, src, dst, dist): squared distances within a snapshot over the largest."""
     pairs = df.alias("a").join(df.alias("b"), F.col("a.t") == F.col("b.t")).select(F.col("a.t").alias("t"), F.col("a.zsid").alias("src"), F.col("b.zsid").alias("dst"), F.col("b.cnt").alias("cnt"), squared("a", "b").alias("d"))
     top = pairs.groupBy("t").agg(F.max("d").alias("top"), F.max("cnt").alias("most"))
-    return pairs.join(F.broadcast(top), "t").withColumns({"dist": F.try_divide("d", F.nullif("top", F.lit(0.0))), "traffic": F.try_divide("cnt", F.nullif("most", F.lit(0.0)))})
+    return pairs.join(top, "t").withColumns({"dist": F.try_divide("d", F.nullif("top", F.lit(0.0))), "traffic": F.try_divide("cnt", F.nullif("most", F.lit(0.0)))})
 
 
 def cost_edges(df: DataFrame, a: float = 0.5, b: float = 0.5) -> DataFrame:
@@ -46,10 +52,39 @@ def knn_edges(df: DataFrame, k: int = 8) -> DataFrame:
     return cost_edges(df).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).where("src <> dst").drop("rn")
 
 
+#: Cells of a tile, stations of a block, and cells of a tile that meet a block at once.
+TILE, BLOCK, STEP = 4_096, 2_048, 512
+
+
+def _tiled(points: DataFrame, df: DataFrame, work: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """Points (t, p, e, n) against the stations of their snapshot: a task for each tile of points and block of stations, so that pairs stay inside of it and no snapshot has to fit into one task."""
+    blocks = df.groupBy("t").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    tiled = points.select("t", "p", "e", "n", F.floor(F.col("p") / TILE).alias("tile"))
+    left = tiled.join(blocks, "t").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    right = df.join(blocks, "t").withColumn("block", F.pmod(F.xxhash64("zsid"), "blocks").cast("int")).drop("blocks").join(tiled.select("t", "tile").distinct(), "t")
+    keys = ("t", "tile", "block")
+    left, right = (side.select(*(F.col(c).alias(c) for c in side.columns)) for side in (left, right))  # both may come from one frame
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(work, schema)
+
+
 def nearest_station(points: DataFrame, df: DataFrame) -> DataFrame:
-    """For each point (t, p, e, n) the nearest station of its snapshot."""
-    near = points.alias("a").join(df.alias("b"), F.col("a.t") == F.col("b.t"))
-    return near.groupBy(F.col("a.t").alias("t"), F.col("a.p").alias("p")).agg(F.min_by(F.col("b.zsid"), F.struct(squared("a", "b").alias("d"), F.col("b.zsid").alias("z"))).alias("zsid"))
+    """For each point (t, p, e, n) the nearest station of its snapshot; the smaller id on ties. Points of a snapshot without stations have no row."""
+
+    def work(points: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(own):
+            own = own.sort_values("zsid")
+            e, n, ids = (own[c].to_numpy() for c in ("e", "n", "zsid"))
+            for low in range(0, len(points), STEP):
+                part = points.iloc[low : low + STEP]
+                dx, dy = part["e"].to_numpy()[:, None] - e, part["n"].to_numpy()[:, None] - n
+                d = dx * dx + dy * dy
+                best = d.argmin(axis=1)
+                out.append(pd.DataFrame({"t": part["t"], "p": part["p"], "d": d[np.arange(len(d)), best], "zsid": ids[best]}))
+        return pd.concat(out) if out else pd.DataFrame({"t": [], "p": [], "d": [], "zsid": []})
+
+    near = _tiled(points, df.select("t", "zsid", "e", "n"), work, "t bigint, p bigint, d double, zsid bigint")
+    return near.groupBy("t", "p").agg(F.min(F.struct("d", "zsid"))["zsid"].alias("zsid"))
 
 
 def grid(df: DataFrame, size: int = 200) -> DataFrame:
@@ -74,21 +109,68 @@ def _kde_terms(df: DataFrame, weight: Column, h: float, name: str) -> DataFrame:
 
 
 def kde_surface(points: DataFrame, df: DataFrame, h: float = 0.3) -> DataFrame:
-    """Weighted over plain density at each point, times the sum of counts. Exponents are taken relative to the nearest station's."""
+    """Weighted over plain density at each point, times the sum of counts: (t, p, weight, log_weight). Exponents are taken relative to the nearest station's."""
     terms = _kde_terms(df, F.col("cnt"), h, "1").join(_kde_terms(df, F.lit(1.0), h, "2"), "t")
-    pairs = points.alias("a").join(df.alias("b"), F.col("a.t") == F.col("b.t")).select(F.col("a.t").alias("t"), "a.p", F.col("b.cnt").alias("cnt"), (F.col("a.e") - F.col("b.e")).alias("x"), (F.col("a.n") - F.col("b.n")).alias("y"))
-    q = lambda s: (F.col("x") * F.col("x") * F.col(f"a{s}") + 2 * F.col("x") * F.col("y") * F.col(f"b{s}") + F.col("y") * F.col("y") * F.col(f"d{s}")) / 2
-    pairs = pairs.join(F.broadcast(terms), "t").withColumns({"q1": q("1"), "q2": q("2")})
-    least = pairs.groupBy("t", "p").agg(F.min("q1").alias("m1"), F.min("q2").alias("m2"))
-    sums = pairs.join(least, ["t", "p"]).groupBy("t", "p").agg(F.sum(F.col("cnt") / F.col("total1") * F.exp(F.col("m1") - F.col("q1"))).alias("s1"), F.sum(1 / F.col("total2") * F.exp(F.col("m2") - F.col("q2"))).alias("s2"), F.first("m1").alias("m1"), F.first("m2").alias("m2"), F.first("norm1").alias("n1"), F.first("norm2").alias("n2"), F.first("total1").alias("total"))
-    return sums.select("t", "p", (F.col("total") * F.col("s1") * F.col("n1") / (F.col("s2") * F.col("n2")) * F.exp(F.least(F.col("m2") - F.col("m1"), F.lit(300.0)))).alias("weight"))
+
+    def work(points: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(own):
+            e, n, w1 = (own[c].to_numpy(float) for c in ("e", "n", "cnt"))
+            forms = [[own[f"{c}{k}"].iloc[0] for c in "abd"] for k in "12"]
+            for low in range(0, len(points), STEP):
+                part = points.iloc[low : low + STEP]
+                x, y = part["e"].to_numpy()[:, None] - e, part["n"].to_numpy()[:, None] - n
+                row = {"t": part["t"], "p": part["p"]}
+                for k, (a, b, d), w in (("1", forms[0], w1), ("2", forms[1], np.ones(len(e)))):
+                    q = (x * x * a + 2 * x * y * b + y * y * d) / 2
+                    row[f"m{k}"] = least = q.min(axis=1)
+                    row[f"s{k}"] = np.exp(least[:, None] - q) @ w
+                out.append(pd.DataFrame(row))
+        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("t", "p", "m1", "s1", "m2", "s2")})
+
+    rows = df.join(terms, "t").select("t", "zsid", "e", "n", "cnt", *(f"{c}{k}" for k in "12" for c in "abd"))
+    parts = _tiled(points, rows, work, "t bigint, p bigint, m1 double, s1 double, m2 double, s2 double")
+    parts = parts.groupBy("t", "p").agg(F.min("m1").alias("m1"), F.min("m2").alias("m2"), F.collect_list(F.struct("m1", "s1", "m2", "s2")).alias("of"))  # one for each block
+    total = lambda k: F.aggregate("of", F.lit(0.0), lambda acc, x: acc + x[f"s{k}"] * F.exp(F.col(f"m{k}") - x[f"m{k}"]))
+    out = parts.withColumns({"s1": total("1"), "s2": total("2")}).join(terms, "t")
+    log = F.log(F.col("s1") * F.col("norm1")) - F.log(F.col("s2") / F.col("total2") * F.col("norm2")) + F.col("m2") - F.col("m1")
+    ratio = F.col("s1") * F.col("norm1") / (F.col("s2") / F.col("total2") * F.col("norm2"))
+    return out.select("t", "p", (ratio * F.exp(F.least(F.col("m2") - F.col("m1"), F.lit(300.0)))).alias("weight"), log.alias("log_weight"))
 
 
 def nearest_cell(df: DataFrame, size: int) -> DataFrame:
     """The grid cell of each station by arithmetic: (t, zsid, p)."""
     box = df.groupBy("t").agg(F.min("e").alias("e0"), F.max("e").alias("e1"), F.min("n").alias("n0"), F.max("n").alias("n1"))
     at = lambda v, lo, hi: F.coalesce(F.floor(F.try_divide((F.col(v) - F.col(lo)) * (size - 1), F.nullif(F.col(hi) - F.col(lo), F.lit(0.0))) + 0.5), F.lit(0))
-    return df.join(F.broadcast(box), "t").select("t", "zsid", (at("n", "n0", "n1") * size + at("e", "e0", "e1")).cast("long").alias("p"))
+    return df.join(box, "t").select("t", "zsid", (at("n", "n0", "n1") * size + at("e", "e0", "e1")).cast("long").alias("p"))
+
+
+#: A Gaussian window is cut after so many deviations.
+TRUNCATE = 4.0
+
+
+def gaussian_weights(sigma: float) -> list[float]:
+    """Weights of the offsets -r to r, r = TRUNCATE * sigma rounded, that sum to 1."""
+    r = int(TRUNCATE * sigma + 0.5)
+    raw = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-r, r + 1)]
+    return [v / sum(raw) for v in raw]
+
+
+def gaussian_surface(df: DataFrame, size: int = 200, sigma: float = 3.0) -> DataFrame:
+    """The count of the nearest station in each cell (0 if it has none), blurred: (t, p, value). Two passes along rows and columns, with values mirrored at the edges; each row or column is an array of `size`."""
+    near = nearest_station(grid(df, size), df).join(df.select("t", "zsid", F.coalesce("cnt", F.lit(0.0)).alias("value")), ["t", "zsid"])
+    weights, r = F.array(*map(F.lit, gaussian_weights(sigma))), (len(gaussian_weights(sigma)) - 1) // 2
+    mirrored = lambda k: F.when(F.pmod(k, F.lit(2 * size)) < size, F.pmod(k, F.lit(2 * size))).otherwise(2 * size - 1 - F.pmod(k, F.lit(2 * size)))
+    offsets = F.sequence(F.lit(-r), F.lit(r))
+
+    def blurred(rows: DataFrame, line: str, place: str) -> DataFrame:
+        lines = rows.groupBy("t", line).agg(F.transform(F.sort_array(F.collect_list(F.struct(place, "value"))), lambda x: x["value"]).alias("v"))
+        smooth = lambda i: F.aggregate(offsets, F.lit(0.0), lambda acc, k: acc + F.get(weights, k + r) * F.get("v", mirrored(i + k).cast("int")))
+        return lines.select("t", line, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), smooth)).alias(place, "value"))
+
+    cells = near.select("t", F.floor(F.col("p") / size).cast("int").alias("j"), (F.col("p") % size).cast("int").alias("i"), "value")
+    both = blurred(blurred(cells, "j", "i"), "i", "j")
+    return both.select("t", (F.col("j") * size + F.col("i")).cast("long").alias("p"), "value")
 
 
 def density_per_node(df: DataFrame, size: int = 200, h: float = 0.3) -> DataFrame:
@@ -97,31 +179,63 @@ def density_per_node(df: DataFrame, size: int = 200, h: float = 0.3) -> DataFram
     where = grid(df, size).join(cells.select("t", "p").distinct(), ["t", "p"], "left_semi")
     at = cells.join(kde_surface(where, df, h), ["t", "p"])
     sums = at.groupBy("t").agg(F.sum("weight").alias("all")).join(df.groupBy("t").agg(F.sum("cnt").alias("total")), "t")
-    return at.join(F.broadcast(sums), "t").select("t", "zsid", (F.col("weight") * F.col("total") / F.col("all")).alias("density"))
+    return at.join(sums, "t").select("t", "zsid", (F.col("weight") * F.col("total") / F.col("all")).alias("density"))
+
+
+def with_traffic(df: DataFrame, kind: str = "count") -> DataFrame:
+    """Stations whose traffic is their raw count, or their smoothed density."""
+    if kind == "count":
+        return df
+    return df.drop("cnt").join(density_per_node(df), ["t", "zsid"]).withColumnRenamed("density", "cnt")
 
 
-def hub_costs(edges: DataFrame, hubs: DataFrame, rounds: int | None = None, keep=None) -> DataFrame:
-    """Cheapest cost from each station to a hub and which hub: (t, zsid, cost, hub); the smaller hub id on ties.
+def flagged(df: DataFrame, ids: list[int]) -> DataFrame:
+    """Stations with a flag for those of a fixed list."""
+    return df.withColumn("hub", F.col("zsid").isin(ids))
+
+
+def hub_costs(edges: DataFrame, hubs: DataFrame, rounds: int | None = None, keep: Callable[[DataFrame], DataFrame] | None = None, path: bool = False) -> DataFrame:
+    """Cheapest cost from each station to a hub and which hub: (t, zsid, cost, hub), and the path of stations if asked for; the smaller hub id, then path, on ties.
 
     Relaxes backwards from all hubs of all snapshots at once, until nothing
     changes. A cheapest path has fewer hops than the largest snapshot has stations (or `rounds`); if
     costs still change after so many, an error is raised. keep(frame) materialises a round. Unreachable stations have no row.
     """
     keep = keep or (lambda df: df.checkpoint())
-    best = keep(hubs.select("t", F.col("zsid"), F.lit(0.0).alias("cost"), F.col("zsid").alias("hub")))
+    names = ["cost", "hub", *["path"] * path]
+    best = keep(hubs.select("t", "zsid", F.lit(0.0).alias("cost"), F.col("zsid").alias("hub"), *([F.array("zsid").alias("path")] * path)).withColumn("changed", F.lit(True)))
     if rounds is None:
         at = edges.select("t", F.explode(F.array("src", "dst")).alias("zsid")).union(hubs.select("t", "zsid")).distinct()
         rounds = at.groupBy("t").count().agg(F.max("count")).first()[0] or 1
     for _ in range(rounds):
-        step = edges.join(best.withColumnRenamed("zsid", "dst").withColumnRenamed("cost", "rest"), ["t", "dst"]).select("t", F.col("src").alias("zsid"), (F.col("cost") + F.col("rest")).alias("cost"), "hub")
-        both = best.unionByName(step).groupBy("t", "zsid").agg(F.min(F.struct("cost", "hub")).alias("m"))
-        new = keep(both.select("t", "zsid", "m.cost", "m.hub"))
-        if new.exceptAll(best).isEmpty():
-            return new
-        best = new
+        if best.where("changed").isEmpty():
+            return best.drop("changed")
+        way = [F.concat(F.array("src"), "path").alias("path")] * path
+        step = edges.join(best.where("changed").select("t", F.col("zsid").alias("dst"), F.col("cost").alias("rest"), "hub", *["path"] * path), ["t", "dst"])
+        step = step.select("t", F.col("src").alias("zsid"), (F.col("cost") + F.col("rest")).alias("cost"), "hub", *way, F.lit(True).alias("new"))
+        both = best.select("t", "zsid", *names, F.lit(False).alias("new")).unionByName(step)
+        both = both.groupBy("t", "zsid").agg(F.min(F.struct(*names, "new")).alias("m"))
+        best = keep(both.select("t", "zsid", *(F.col(f"m.{c}") for c in names), F.col("m.new").alias("changed")))
+    if best.where("changed").isEmpty():
+        return best.drop("changed")
     raise ValueError(f"costs still change after {rounds} rounds: a cycle of negative cost, or too few rounds")
 
 
+def origins(df: DataFrame, count: int = 100, size: int = 200, seed: int = 42) -> DataFrame:
+    """Draws of cells with replacement, by checksums: (t, draw, p), `count` for each snapshot."""
+    draws = df.select("t").distinct().withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))))
+    text = F.concat_ws("|", F.lit(str(seed)), F.col("t").cast("string"), F.col("draw").cast("string"))
+    return draws.withColumn("p", F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % (size * size))
+
+
+def demand(df: DataFrame, costs: DataFrame, count: int = 100, size: int = 200, seed: int = 42) -> DataFrame:
+    """How many of the drawn origins go to each hub, by way of their nearest station: (t, hub, n); a null hub counts those that reach none."""
+    drawn = origins(df, count, size, seed)
+    cells = grid(df, size).join(drawn.select("t", "p").distinct(), ["t", "p"], "left_semi")
+    near = drawn.join(nearest_station(cells, df), ["t", "p"]).join(costs.select("t", "zsid", "hub"), ["t", "zsid"], "left")
+    return near.groupBy("t", "hub").agg(F.count("*").alias("n"))
+
+
 def lv95_to_wgs84(e: Column, n: Column) -> tuple[Column, Column]:
     """Longitude and latitude of Swiss LV95 metres by the published approximation (about 1 m)."""
     y, x = (e - 2_600_000) / 1_000_000, (n - 1_200_000) / 1_000_000
