@@ -1,215 +1,507 @@
-"""Iterative forecast models, one series to a task: a small NumPy fit inside a grouped map."""
+"""Forecast models that iterate: small NumPy fits in grouped maps. Every candidate of a grid is a task of its own, for all series at once."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+from itertools import product
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tarnflow.operators.stationarity import adf_p, periods_of, ridge
 
-FORECAST = "series_id string, idx bigint, y double, y_hat double, lower double, upper double"
+FORECAST = "series_id string, idx bigint, y double, y_hat double, lower double, upper double, status string"
 Z = 1.96
 
+#: A fit gives the forecast of so many hours and its band: (y_hat, lower, upper), and its score in the grid (smaller is better).
+Fit = tuple[np.ndarray, np.ndarray, np.ndarray, float]
+
+
+def flat_band(hat: np.ndarray, sd: float, score: float) -> Fit:
+    return hat, hat - Z * sd, hat + Z * sd, score
+
+
+# autoregression
+
 
-def acf_of(x: np.ndarray, lags: int) -> np.ndarray:
-    d = x - x.mean()
-    ss = d @ d
-    return np.array([d[k:] @ d[: len(d) - k] / ss if ss else 0.0 for k in range(lags + 1)])
-
-
-def periods_of(y: np.ndarray, longest: int = 365, top: int = 3) -> list[int]:
-    """Periods at strong local peaks of the spectrum that the autocorrelation confirms, strongest first."""
-    n = len(y)
-    if n < 8 or not np.ptp(y):
-        return []
-    power = np.abs(np.fft.rfft(y - y.mean()))
-    freq = np.fft.rfftfreq(n)
-    with np.errstate(divide="ignore"):
-        period = 1 / freq
-    power[(period < 2) | (period > longest) | (power < 1e-9 * power.max())] = 0  # rounding leaves no peak
-    inner = power[1:-1]
-    peaks = np.flatnonzero((inner > power[:-2]) & (inner >= power[2:])) + 1
-    if len(pos := power[power > 0]):
-        peaks = peaks[power[peaks] >= np.quantile(pos, 0.75)]
-    rho = acf_of(y, min(longest + 10, n // 2 - 1))
-    out: list[int] = []
-    for k in peaks[np.argsort(-power[peaks], kind="stable")]:
-        p = int(round(period[k]))
-        if p not in out and p < len(rho) and rho[p] > 0.1:
-            out.append(p)
-    return out[:top]
-
-
-def ridge(x: np.ndarray, y: np.ndarray, a: float = 1e-6) -> np.ndarray:
-    return np.linalg.solve(x.T @ x + a * np.eye(x.shape[1]), x.T @ y)
-
-
-def ar(y: np.ndarray, horizon: int, order: int = 24) -> tuple[np.ndarray, float]:
-    order = min(order, max(1, len(y) // 3))
+def ar(y: np.ndarray, horizon: int, order: int = 24) -> Fit:
+    """Least squares on the last `order` values with an intercept, applied step by step; the band grows with the steps."""
+    if len(y) < 3 * order:
+        raise ValueError(f"under {3 * order} values")
     rows = np.lib.stride_tricks.sliding_window_view(y, order + 1)
     x = np.column_stack([np.ones(len(rows)), rows[:, :-1]])
     b = ridge(x, rows[:, -1])
+    res = rows[:, -1] - x @ b
     past = list(y[-order:])
     for _ in range(horizon):
         past.append(b[0] + b[1:] @ np.array(past[-order:]))
-    return np.array(past[order:]), float((rows[:, -1] - x @ b).std())
-
-
-def ets(y: np.ndarray, horizon: int, season: int = 24) -> tuple[np.ndarray, float]:
-    """Additive level, damped trend and season; smoothing parameters from a grid by squared one-step error."""
-    season = season if len(y) >= 2 * season else 1
-    first = y[:season].mean()
-    best = None
-    for a in (0.05, 0.2, 0.5, 0.8):
-        for b in (0.0, 0.05, 0.2):
-            for g in (0.0, 0.1, 0.4) if season > 1 else (0.0,):
-                level, trend, s, sse = first, 0.0, list(y[:season] - first) if season > 1 else [0.0], []
-                for i, v in enumerate(y):
-                    k = i % season
-                    base = level + 0.95 * trend
-                    e = v - base - s[k]
-                    sse.append(e)
-                    level, trend = base + a * e, 0.95 * trend + a * b * e
-                    s[k] += g * e
-                score = float(np.square(sse).sum())
-                if best is None or score < best[0]:
-                    best = (score, level, trend, list(s), float(np.std(sse)))
-    _, level, trend, s, sd = best
-    damp = np.cumsum(0.95 ** np.arange(1, horizon + 1))
-    return level + trend * damp + np.array([s[(len(y) + h) % season] for h in range(horizon)]), sd
-
-
-def arima(y: np.ndarray, horizon: int, season: int = 24, most: int = 2) -> tuple[np.ndarray, float]:
-    """ARMA(p, q) on the seasonal difference by Hannan and Rissanen's regressions, orders by AIC."""
-    lag = season if len(y) > 3 * season else 1
-    d = y[lag:] - y[:-lag]
-    mu = d.mean()
-    x = d - mu
-    long = min(20, max(1, len(x) // 4))
+    sd = _spread(b[1:][::-1], np.zeros(0), horizon) * res.std()
+    hat = np.array(past[order:])
+    return hat, hat - Z * sd, hat + Z * sd, float(len(res) * np.log(max(res @ res / len(res), 1e-300)) + 2 * len(b))
+
+
+def _spread(a: np.ndarray, m: np.ndarray, horizon: int) -> np.ndarray:
+    """Deviation of each step ahead for errors of 1: root of the summed squares of the response to one error, for x_t = sum a_i x_{t-i} + e_t + sum m_j e_{t-j}."""
+    psi = np.zeros(horizon)
+    for h in range(horizon):
+        psi[h] = (1.0 if h == 0 else m[h - 1] if h <= len(m) else 0.0) + sum(a[i] * psi[h - 1 - i] for i in range(min(h, len(a))))
+    return np.sqrt(np.cumsum(np.square(psi)))
+
+
+# seasonal ARIMA
+
+
+def _lags(own: int, seasonal: int, s: int) -> list[int]:
+    """Lags of a seasonal polynomial times a plain one, but 0."""
+    return sorted({i + s * j for i in range(own + 1) for j in range(seasonal + 1)} - {0})
+
+
+def differencing(y: np.ndarray, s: int, most_d: int = 2, most_seasonal: int = 1) -> tuple[int, int]:
+    """Smallest d and D at which the lag-d and lag-D*s differences have no unit root (ADF p < 0.05), or the most."""
+    plain = next((d for d in range(most_d + 1) if adf_p(y[d:] - y[:-d] if d else y) < 0.05), most_d)
+    seasonal = next((d for d in range(most_seasonal + 1) if adf_p(y[d * s :] - y[: -d * s] if d else y) < 0.05), most_seasonal) if s > 1 else 0
+    return plain, seasonal
+
+
+def sarima(y: np.ndarray, horizon: int, order: tuple[int, int, int] = (1, 0, 1), seasonal: tuple[int, int, int, int] = (0, 0, 0, 1), reserve: int | None = None) -> Fit:
+    """Seasonal ARIMA by Hannan and Rissanen's two regressions, with a coefficient for each lag of the multiplied polynomials, scored by AIC; band from the responses to one error.
+
+    `reserve` rows are left out before the second regression, so that candidates of a grid are scored on the same rows.
+    """
+    (p, d, q), (sp, sd, sq, s) = order, seasonal
+    poly = np.array([1.0])
+    for _ in range(d):
+        poly = np.convolve(poly, [1, -1])
+    for _ in range(sd):
+        poly = np.convolve(poly, [1, *[0] * (s - 1), -1])
+    x = np.convolve(y, poly, mode="valid")
+    own_a, own_m = _lags(p, sp, s), _lags(q, sq, s)
+    long = max(20, *own_a, *own_m, 0) if own_a or own_m else 20
+    if len(x) < 2 * long + 20:
+        raise ValueError("too few values for these lags")
+    mu = x.mean() if d + sd < 2 else 0.0
+    x = x - mu
     rows = np.lib.stride_tricks.sliding_window_view(x, long + 1)
     e = np.concatenate([np.zeros(long), rows[:, -1] - rows[:, :-1] @ ridge(rows[:, :-1], rows[:, -1])])
-    best = None
-    for p in range(most + 1):
-        for q in range(most + 1):
-            m = long + max(p, q)
-            cols = [x[m - i : len(x) - i] for i in range(1, p + 1)] + [e[m - i : len(e) - i] for i in range(1, q + 1)]
-            if len(x) - m < 5:
-                continue
-            z = np.column_stack(cols) if cols else np.zeros((len(x) - m, 0))
-            b = ridge(z, x[m:]) if cols else np.zeros(0)
-            res = x[m:] - z @ b
-            aic = len(res) * np.log(max(res @ res / len(res), 1e-300)) + 2 * (p + q + 1)
-            if best is None or aic < best[0]:
-                best = (aic, p, q, b, float(res.std()))
-    if best is None:
-        return np.full(horizon, y[-1]), float(y.std())
-    _, p, q, b, sd = best
-    xs, es, full = list(x), list(e), list(y)
+    at = max(long + max([*own_m, 0]), long, reserve or 0)
+    cols = [x[at - i : len(x) - i] for i in own_a] + [e[at - i : len(e) - i] for i in own_m]
+    n = len(x) - at
+    if n < len(cols) + 10:
+        raise ValueError("too few values for these lags")
+    z = np.column_stack(cols) if cols else np.zeros((n, 0))
+    b = ridge(z, x[at:]) if cols else np.zeros(0)
+    a, m = np.zeros(max([*own_a, 0])), np.zeros(max([*own_m, 0]))
+    for i, v in zip(own_a, b, strict=False):
+        a[i - 1] = v
+    for i, v in zip(own_m, b[len(own_a) :], strict=True):
+        m[i - 1] = v
+    res = x[at:] - z @ b
+    var = max(float(res @ res / n), 1e-300)
+    for t in range(at, len(x)):
+        e[t] = res[t - at]
+    xs, es, full, roots = list(x), list(e), list(y), -poly[1:]
     for _ in range(horizon):
-        v = sum(b[i] * xs[-1 - i] for i in range(p)) + sum(b[p + i] * es[-1 - i] for i in range(q))
+        v = sum(c * xs[-1 - i] for i, c in enumerate(a) if c) + sum(c * es[-1 - i] for i, c in enumerate(m) if c)
         xs.append(v)
         es.append(0.0)
-        full.append(full[-lag] + mu + v)
-    return np.array(full[len(y) :]), sd
-
-
-def fourier(y: np.ndarray, horizon: int, knots: int = 10, order: int = 5) -> tuple[np.ndarray, float]:
-    """Piecewise-linear trend and Fourier seasons at detected periods, by ridge regression."""
-    n, at = len(y), np.arange(len(y) + horizon)
-    cols = [np.ones(n + horizon), at / n]
-    cols += [np.maximum(0, at - c) / n for c in np.linspace(0, 0.8 * n, knots + 2)[1:-1]]
-    for p in periods_of(y, min(365, n // 2)):
-        cols += [f(2 * np.pi * k * at / p) for k in range(1, min(order, p // 2) + 1) for f in (np.sin, np.cos)]
-    x = np.column_stack(cols)
-    b = ridge(x[:n], y, 0.1)
-    return x[n:] @ b, float((y - x[:n] @ b).std())
-
-
-def dlinear(y: np.ndarray, horizon: int, window: int = 48, smooth: int = 25) -> tuple[np.ndarray, float]:
-    """Linear maps from a window's moving average and remainder to the next value, applied step by step."""
-    window = min(window, max(2, len(y) // 3))
-    smooth = min(smooth, window)
+        full.append(v + mu + sum(c * full[-1 - i] for i, c in enumerate(roots) if c))
+    whole = np.convolve(np.concatenate([[1.0], -a]), poly)
+    dev = _spread(-whole[1:], m, horizon) * np.sqrt(var)
+    hat = np.array(full[len(y) :])
+    return hat, hat - Z * dev, hat + Z * dev, float(n * np.log(var) + 2 * (len(b) + 1))
+
+
+def sarima_grid(y: np.ndarray, most: int = 2, most_seasonal: int = 1, longest: int = 365) -> list[dict]:
+    """Candidates: period detected, d and D by ADF, p and q to `most`, P and Q to `most_seasonal`."""
+    s = next(iter(periods_of(y, longest)), 1)
+    s = s if 1 < s <= len(y) // 4 else 1
+    d, seasonal_d = differencing(y, s)
+    grid = product(range(most + 1), range(most + 1), range(most_seasonal + 1) if s > 1 else (0,), range(most_seasonal + 1) if s > 1 else (0,))
+    reserve = 2 * (max(20, most + most_seasonal * s))
+    return [{"order": (p, d, q), "seasonal": (sp, seasonal_d, sq, s), "reserve": reserve} for p, q, sp, sq in grid]
+
+
+def weekly_grid(y: np.ndarray) -> list[dict]:
+    """Candidates with a season of 7."""
+    d, seasonal_d = differencing(y, 7)
+    return [{"order": (p, d, q), "seasonal": (sp, seasonal_d, sq, 7), "reserve": 54} for p, q, sp, sq in product(range(3), range(3), range(2), range(2))]
+
+
+# exponential smoothing
+
+
+def _smooth(y: np.ndarray, s: int, form: tuple, par: np.ndarray) -> tuple[np.ndarray, ...]:
+    """One-step predictions of all parameter rows (alpha, beta, gamma, phi) at once, and the states at the end."""
+    error, trend, season, _ = form
+    k = len(par)
+    a, b, g, phi = par.T
+    base = y[:s].mean()
+    level = np.full(k, base)
+    slope = np.full(k, (y[s : 2 * s].mean() - base) / s if trend == "add" else (max(y[s : 2 * s].mean(), 1e-9) / max(base, 1e-9)) ** (1 / s) if trend == "mul" else 0.0)
+    first = y[:s] - base if season == "add" else y[:s] / base if season == "mul" else np.zeros(s)
+    ss = np.repeat(first[:, None], k, axis=1)
+    hats = np.empty((len(y), k))
+    with np.errstate(all="ignore"):
+        for t, v in enumerate(y):
+            moved = level + phi * slope if trend == "add" else level * slope**phi if trend == "mul" else level
+            c = ss[t % s]
+            hat = moved + c if season == "add" else moved * c if season == "mul" else moved
+            hats[t] = hat
+            e = v - hat if error == "add" else (v - hat) / hat * 1.0
+            # in terms of the additive error, with the multiplicative one scaled by the prediction
+            raw = e if error == "add" else e * hat
+            own = raw / c if season == "mul" else raw
+            new = moved + a * own
+            if trend == "add":
+                slope = phi * slope + a * b * own
+            elif trend == "mul":
+                slope = slope**phi + a * b * own / np.maximum(np.abs(level), 1e-9)
+            if season == "add":
+                ss[t % s] = c + g * raw
+            elif season == "mul":
+                ss[t % s] = c + g * raw / np.maximum(np.abs(moved), 1e-9)
+            level = new
+    return hats, level, slope, ss
+
+
+def ets_forms(positive: bool) -> list[tuple]:
+    """(error, trend, season, damped): 30 forms, or those without a multiplied part if a value isn't positive."""
+    grid = product(("add", "mul"), (None, "add", "mul"), (None, "add", "mul"), (False, True))
+    return [f for f in grid if not (f[3] and f[1] is None) and (positive or "mul" not in f[:3])]
+
+
+def ets(y: np.ndarray, horizon: int, form: tuple = ("add", "add", "add", True), s: int = 24, seed: int = 1, paths: int = 400) -> Fit:
+    """One form of exponential smoothing: parameters by two rounds of a grid on the likelihood, AIC as score, band from simulated paths."""
+    error, trend, season, damped = form
+    s = s if season else 1
+    if len(y) < 2 * max(s, 2) + 2:
+        raise ValueError(f"under {2 * max(s, 2) + 2} values")
+    values = [(0.05, 0.2, 0.5, 0.9), (0.01, 0.1, 0.4) if trend else (0.0,), (0.01, 0.1, 0.4) if season else (0.0,), (0.85, 0.97) if damped else (1.0,)]
+
+    def score(par: np.ndarray) -> np.ndarray:
+        hats = _smooth(y, s, form, par)[0]
+        with np.errstate(all="ignore"):
+            e = y[:, None] - hats if error == "add" else (y[:, None] - hats) / hats
+            out = len(y) * np.log(np.maximum((e * e).sum(axis=0), 1e-300)) + (0 if error == "add" else 2 * np.log(np.abs(hats)).sum(axis=0))
+        return np.where(np.isfinite(out), out, np.inf)
+
+    par = np.array(list(product(*values)))
+    best = par[score(par).argmin()]
+    steps = [best[i] * np.array([0.6, 0.8, 1.0, 1.3]) if len(v) > 1 and i < 3 else np.array([best[i]]) for i, v in enumerate(values)]
+    par = np.minimum(np.array(list(product(*steps))), [0.99, 0.99, 0.99, 1.0])
+    found = score(par)
+    best = par[found.argmin()]
+    hats, level, slope, ss = (x[..., 0] for x in _smooth(y, s, form, best[None]))
+    if not np.isfinite(found.min()):
+        raise ValueError("no finite likelihood")
+    with np.errstate(all="ignore"):
+        e = y - hats if error == "add" else (y - hats) / hats
+    free = (trend is not None) + (season is not None) + damped + 1
+    states = 1 + (trend is not None) + (s if season else 0)
+    sd, rng = float(np.sqrt(np.mean(e * e))), np.random.default_rng(seed)
+    draws = np.vstack([np.zeros((1, horizon)), rng.normal(0, sd, (paths, horizon))])
+    out, k = np.empty((paths + 1, horizon)), paths + 1
+    level, slope, ss = np.full(k, level), np.full(k, slope), np.repeat(ss[:, None], k, axis=1)
+    a, b, g, phi = best
+    with np.errstate(all="ignore"):
+        for h in range(horizon):
+            moved = level + phi * slope if trend == "add" else level * slope**phi if trend == "mul" else level
+            c = ss[(len(y) + h) % s]
+            hat = moved + c if season == "add" else moved * c if season == "mul" else moved
+            raw = draws[:, h] if error == "add" else draws[:, h] * hat
+            out[:, h] = hat + raw
+            own = raw / c if season == "mul" else raw
+            slope = phi * slope + a * b * own if trend == "add" else slope**phi + a * b * own / np.maximum(np.abs(level), 1e-9) if trend == "mul" else slope
+            if season == "add":
+                ss[(len(y) + h) % s] = c + g * raw
+            elif season == "mul":
+                ss[(len(y) + h) % s] = c + g * raw / np.maximum(np.abs(moved), 1e-9)
+            level = moved + a * own
+    if not np.isfinite(out[0]).all():
+        raise ValueError("the forecast isn't finite")
+    low, high = np.nanquantile(out[1:], [0.025, 0.975], axis=0)
+    return out[0], low, high, float(found.min() + 2 * (free + states + 1))
+
+
+def ets_grid(y: np.ndarray) -> list[dict]:
+    s = next(iter(periods_of(y, 365)), 1)
+    s = s if 1 < s <= len(y) // 3 else 24 if len(y) >= 72 else 1
+    return [{"form": f, "s": s} for f in ets_forms(bool((y > 0).all())) if f[2] is None or s > 1]
+
+
+# trend and Fourier terms
+
+
+def fourier(y: np.ndarray, horizon: int, trend_prior: float = 0.1, season_prior: float = 10.0, periods: tuple = (), knots: int = 25, order: int = 5) -> Fit:
+    """Piecewise-linear trend with knots in the first 80 % and Fourier terms at given periods: a ridge regression whose penalties come from the priors' scales; the band counts trend changes ahead."""
+    n, at, scale = len(y), np.arange(len(y) + horizon) / max(1, len(y) - 1), np.abs(y).max() or 1.0
+    if n < 10:
+        raise ValueError("under 10 values")
+    cuts = np.linspace(0, 0.8, knots + 2)[1:-1]
+    cols, prior = [np.ones(n + horizon), at], [np.inf, 5.0]
+    cols += [np.maximum(0, at - c) for c in cuts]
+    prior += [trend_prior] * knots
+    for p in periods:
+        own = [f(2 * np.pi * k * np.arange(n + horizon) / p) for k in range(1, min(order, p // 2) + 1) for f in (np.sin, np.cos)]
+        cols, prior = cols + own, prior + [season_prior] * len(own)
+    x, z, var = np.column_stack(cols), y / scale, 0.01
+    for _ in range(4):
+        weight = np.diag(var / np.square(prior))
+        b = np.linalg.solve(x[:n].T @ x[:n] + weight + 1e-9 * np.eye(x.shape[1]), x[:n].T @ z)
+        var = max(float(np.mean(np.square(z - x[:n] @ b))), 1e-12)
+    rate = np.abs(b[2 : 2 + knots]).mean()
+    ahead = np.arange(1, horizon + 1) / max(1, n - 1)
+    drift = 2 * rate**2 * knots / 0.8 * ahead**3 / 3
+    hat = scale * (x[n:] @ b)
+    sd = scale * np.sqrt(var + drift)
+    return hat, hat - Z * sd, hat + Z * sd, float(len(z) * np.log(var))
+
+
+def fourier_grid(y: np.ndarray) -> list[dict]:
+    periods = tuple(periods_of(y, min(365, len(y) // 2)))
+    return [{"trend_prior": a, "season_prior": b, "periods": periods} for a, b in product((0.01, 0.1, 0.5), (1.0, 10.0))]
+
+
+# decomposed linear maps
+
+
+def dlinear(y: np.ndarray, horizon: int, times: int = 2, smooth: int = 25, steps: int = 200, rate: float = 0.005) -> Fit:
+    """Linear maps from a window's moving average and from the rest to all hours ahead at once, trained by Adam; window: `times` the horizon."""
+    window = times * horizon
+    count = len(y) - window - horizon + 1
+    if count < 4:
+        raise ValueError(f"under {window + horizon + 3} values")
+    mean, sd = y.mean(), y.std() or 1.0
+    z = (y - mean) / sd
 
     def parts(w: np.ndarray) -> np.ndarray:
         pad = np.pad(w, ((0, 0), (smooth // 2, smooth - 1 - smooth // 2)), mode="edge")
-        trend = np.lib.stride_tricks.sliding_window_view(pad, smooth, axis=1).mean(axis=-1)
+        c = np.cumsum(np.pad(pad, ((0, 0), (1, 0))), axis=1)
+        trend = (c[:, smooth:] - c[:, :-smooth]) / smooth
         return np.concatenate([trend, w - trend, np.ones((len(w), 1))], axis=1)
 
-    rows = np.lib.stride_tricks.sliding_window_view(y, window + 1)
-    x = parts(rows[:, :-1])
-    b = ridge(x, rows[:, -1], 1.0)
-    past = list(y[-window:])
-    for _ in range(horizon):
-        past.append(float((parts(np.array(past[-window:])[None]) @ b)[0]))
-    return np.array(past[window:]), float((rows[:, -1] - x @ b).std())
-
-
-MODELS = {"ar": ar, "ets": ets, "sarima": arima, "prophet_like": fourier, "dlinear": dlinear}
+    rows = np.lib.stride_tricks.sliding_window_view(z, window + horizon)
+    x, goal = parts(rows[:, :window]), rows[:, window:]
+    w = np.vstack([np.full((2 * window, horizon), 1 / window), np.zeros((1, horizon))])
+    m, v = np.zeros_like(w), np.zeros_like(w)
+    for i in range(1, steps + 1):
+        grad = x.T @ (x @ w - goal) * (2 / len(x))
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
+        w -= rate * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.999**i)) + 1e-8)
+    res = (goal - x @ w) * sd
+    return flat_band(mean + sd * (parts(z[-window:][None]) @ w)[0], float(res.std()), float(np.mean(res * res)))
+
+
+def dlinear_grid(y: np.ndarray) -> list[dict]:
+    return [{"times": t, "smooth": m, "steps": s} for t, m, s in product((2, 3), (25, 49), (200, 500))]
+
+
+# detected seasons
+
+
+def detected_naive(y: np.ndarray, horizon: int, seasons: Iterable[int] = (24, 168)) -> Fit:
+    """The last season repeated: of detected periods and the given ones, at least 2 and under the length, that of the least in-sample error."""
+    each = [s for s in dict.fromkeys([*periods_of(y), *seasons]) if 2 <= s < len(y)]
+    if not each:
+        raise ValueError("no season is shorter than the series")
+    errors = [float(np.abs(y[s:] - y[:-s]).mean()) for s in each]
+    s = each[int(np.argmin(errors))]
+    return flat_band(y[-s:][np.arange(horizon) % s], float((y[s:] - y[:-s]).std()), min(errors))
+
+
+#: name -> (fit, candidates of its grid, scored on a holdout of the last fifth rather than by the fit's own score)
+MODELS: dict[str, tuple[Callable[..., Fit], Callable[[np.ndarray], list[dict]], bool]] = {
+    "ar": (ar, lambda y: [{}], False),
+    "ets": (ets, ets_grid, False),
+    "sarima": (sarima, sarima_grid, False),
+    "sarima_wide": (sarima, lambda y: sarima_grid(y, 4, 1, 50), False),
+    "prophet_like": (fourier, fourier_grid, True),
+    "dlinear": (dlinear, dlinear_grid, True),
+    "detected_naive": (detected_naive, lambda y: [{}], False),
+    "auto_weekly": (sarima, weekly_grid, False),
+    "sarimax_fixed": (sarima, lambda y: [{"order": (1, 1, 1), "seasonal": (1, 1, 1, 12)}], False),
+}
 #: Known models that need a library that isn't there.
 UNAVAILABLE = ("nhits", "tft")
 
 
-def forecast(df: DataFrame, model: str) -> DataFrame:
-    """Forecast of each series' test rows; expects series.split(). Series of under ten train rows are left out."""
+def _of(model: str) -> tuple[Callable[..., Fit], Callable[[np.ndarray], list[dict]], bool]:
     if model in UNAVAILABLE:
         raise ValueError(f"{model} is not available here")
-    fit = MODELS[model]
+    return MODELS[model]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        train, test = pdf[pdf["train"]], pdf[~pdf["train"]]
-        if len(train) < 10 or test.empty:
-            return pd.DataFrame({"series_id": [], "idx": [], "y": [], "y_hat": [], "lower": [], "upper": []})
-        hat, sd = fit(train["y"].to_numpy(float), len(test))
-        return pd.DataFrame({"series_id": test["series_id"], "idx": test["idx"], "y": test["y"], "y_hat": hat, "lower": hat - Z * sd, "upper": hat + Z * sd})
 
-    return df.select("series_id", "idx", "y", "train").groupBy("series_id").applyInPandas(run, FORECAST)
+def grid_size(model: str) -> int:
+    """Candidates of a model at most."""
+    positive, mixed = np.abs(np.sin(np.arange(480) * 2 * np.pi / 24)) + 1 + np.arange(480) % 3, np.sin(np.arange(480) * 2 * np.pi / 24)
+    return max(len(_of(model)[1](y)) for y in (positive, mixed))
 
 
-def detect_periodicity(df: DataFrame, longest: int = 365) -> DataFrame:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = periods_of(pdf.sort_values("idx")["y"].to_numpy(float), longest)
-        out = pd.DataFrame({"rank": np.arange(1, len(found) + 1), "period": np.array(found, np.int64)})
-        return out.assign(series_id=str(pdf["series_id"].iloc[0]))[["series_id", "rank", "period"]].astype({"series_id": object})
+def candidate_score(model: str, y: np.ndarray, ordinal: int, horizon: int) -> tuple[str, float]:
+    """A candidate and its score: that of the fit, or the root of the mean squared error on the last fifth."""
+    fit, grid, holdout = _of(model)
+    own = grid(y)[ordinal]
+    if not holdout:
+        return repr(own), fit(y, 1, **own)[3]
+    cut = round(0.8 * len(y))
+    hat = fit(y[:cut], len(y) - cut, **own)[0]
+    return repr(own), float(np.sqrt(np.mean(np.square(y[cut:] - hat))))
+
+
+def grid_search(df: DataFrame, model: str, horizon: int = 24) -> DataFrame:
+    """Every candidate of a model's grid on each series' train rows: (series_id, ordinal, params, score, status), a task for each. Expects series.split(); a failed fit has a null score and says why."""
+    ordinal = F.explode(F.sequence(F.lit(0), F.lit(grid_size(model) - 1))).alias("ordinal")
+    rows = df.where("train").select("series_id", "idx", "y", ordinal)
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        y = pdf.sort_values("idx")["y"].to_numpy(float)
+        try:
+            out = (*candidate_score(model, y, int(key[1]), horizon), "ok")
+        except IndexError:  # this series has a smaller grid
+            return pd.DataFrame(columns=["series_id", "ordinal", "params", "score", "status"], dtype=object)
+        except (ValueError, np.linalg.LinAlgError) as e:
+            out = (None, None, str(e))
+        return pd.DataFrame([(key[0], int(key[1]), *out)], columns=["series_id", "ordinal", "params", "score", "status"])
+
+    return rows.groupBy("series_id", "ordinal").applyInPandas(run, "series_id string, ordinal int, params string, score double, status string")
 
-    return df.select("series_id", "idx", "y").groupBy("series_id").applyInPandas(run, "series_id string, rank bigint, period bigint")
+
+def best_candidates(grid: DataFrame) -> DataFrame:
+    """The first of the smallest score of each series: (series_id, ordinal); none where every fit failed."""
+    return grid.where("score is not null").groupBy("series_id").agg(F.min_by("ordinal", F.struct("score", "ordinal")).alias("ordinal"))
+
+
+def forecast(df: DataFrame, model: str) -> DataFrame:
+    """Forecast of each series' test rows by the best candidate of the model's grid; expects series.split(). Where no candidate fits, rows have no forecast and a status that says so."""
+    fit, grid, _ = _of(model)
+    best = best_candidates(grid_search(df, model)) if grid_size(model) > 1 else df.select("series_id").distinct().withColumn("ordinal", F.lit(0))
+    rows = df.select("series_id", "idx", "y", "train").join(best, "series_id", "left")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("idx")
+        train, test = pdf[pdf["train"]], pdf[~pdf["train"]]
+        y, n = train["y"].to_numpy(float), len(test)
+        out = {"y_hat": np.full(n, np.nan), "lower": np.full(n, np.nan), "upper": np.full(n, np.nan), "status": "no candidate fits"}
+        if n and not pd.isna(pdf["ordinal"].iloc[0]):
+            try:
+                hat, low, high, _ = fit(y, n, **grid(y)[int(pdf["ordinal"].iloc[0])])
+                out = {"y_hat": hat, "lower": low, "upper": high, "status": "ok"}
+            except (ValueError, np.linalg.LinAlgError) as e:
+                out["status"] = str(e)
+        return pd.DataFrame({"series_id": test["series_id"], "idx": test["idx"], "y": test["y"]}).assign(**out)
+
+    done = rows.groupBy("series_id").applyInPandas(run, FORECAST)
+    return done.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("y_hat", "lower", "upper")})
+
+
+def walk_forward(df: DataFrame, origins: DataFrame, models: tuple[str, ...], horizon: int = 24, truth: str = "y") -> DataFrame:
+    """Forecasts of fitted models at each origin, a task for each series, origin and model: (series_id, cutoff, model, idx, y, y_hat, status). A failed fit leaves one row that says why."""
+    each = origins.select("series_id", "cutoff").withColumn("model", F.explode(F.array(*map(F.lit, models))))
+    rows = df.select("series_id", "idx", F.col("y").alias("seen"), F.col(truth).alias("y")).join(each, "series_id").where(F.expr(f"idx < cutoff + {horizon}"))
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("idx")
+        past, test = pdf[pdf["idx"] < key[1]], pdf[pdf["idx"] >= key[1]]
+        y = past["seen"].to_numpy(float)
+        try:
+            fit, grid, _ = _of(key[2])
+            scores = []
+            own = grid(y)
+            for i in range(len(own)) if len(own) > 1 else ():
+                try:
+                    scores.append((candidate_score(key[2], y, i, horizon)[1], i))
+                except (ValueError, np.linalg.LinAlgError):
+                    continue
+            hat = fit(y, len(test), **own[min(scores)[1] if scores else 0])[0]
+            return pd.DataFrame({"series_id": key[0], "cutoff": key[1], "model": key[2], "idx": test["idx"], "y": test["y"], "y_hat": hat, "status": "ok"})
+        except (ValueError, np.linalg.LinAlgError) as e:
+            return pd.DataFrame([(key[0], key[1], key[2], None, None, None, str(e))], columns=["series_id", "cutoff", "model", "idx", "y", "y_hat", "status"])
+
+    return rows.groupBy("series_id", "cutoff", "model").applyInPandas(run, "series_id string, cutoff bigint, model string, idx bigint, y double, y_hat double, status string")
 
 
 def ar_one_step(df: DataFrame, order: int = 24) -> DataFrame:
-    """One-step predictions of the test rows by an autoregression fitted on the train rows."""
+    """One-step predictions of the test rows by an autoregression fitted on the train rows; the mean so far where the train rows are too few for a fit. Expects series.split()."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("idx")
         y, n = pdf["y"].to_numpy(float), int(pdf["train"].sum())
-        if n < 3 * order:
-            return pd.DataFrame({"series_id": [], "idx": [], "y": [], "y_hat": []})
-        rows = np.lib.stride_tricks.sliding_window_view(y, order + 1)
-        x = np.column_stack([np.ones(len(rows)), rows[:, :-1]])
-        b = ridge(x[: n - order], rows[: n - order, -1])
         test = pdf.iloc[n:]
-        return pd.DataFrame({"series_id": test["series_id"], "idx": test["idx"], "y": test["y"], "y_hat": x[n - order :] @ b})
+        if n <= order:
+            hat = np.array([y[:t].mean() if t else np.nan for t in range(n, len(y))])
+        else:
+            rows = np.lib.stride_tricks.sliding_window_view(y, order + 1)
+            x = np.column_stack([np.ones(len(rows)), rows[:, :-1]])
+            hat = x[n - order :] @ np.linalg.lstsq(x[: n - order], rows[: n - order, -1], rcond=None)[0]
+        return pd.DataFrame({"series_id": test["series_id"], "idx": test["idx"], "y": test["y"], "y_hat": hat})
 
     return df.select("series_id", "idx", "y", "train").groupBy("series_id").applyInPandas(run, "series_id string, idx bigint, y double, y_hat double")
 
 
-def gbt_recursive(df: DataFrame, horizon: int = 24, trees: int = 20, depth: int = 4) -> DataFrame:
-    """Boosted trees on lags of all series, then one distributed step for each hour ahead; clipped to [0, 100]."""
+def rolling_ma1(df: DataFrame, test: int = 10) -> DataFrame:
+    """One-step predictions of first differences by an MA(1) without intercept, fitted on all but the last `test` rows, whose state takes in each new value without a refit.
+
+    The coefficient is that of the least squared errors among -0.99, -0.98, ... 0.99, the smallest on ties. Returns
+    (series_id, idx, y, train, d, d_hat): d is the difference from the row before, d_hat its prediction. Undifference with series.undifference().
+    """
+    grid = np.arange(-99, 100) / 100
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("idx")
+        y = pdf["y"].to_numpy(float)
+        d = np.diff(y)
+        cut = len(d) - test
+        e, sums, states = np.zeros(len(grid)), np.zeros(len(grid)), np.empty((len(d), len(grid)))
+        for t, v in enumerate(d):
+            states[t] = grid * e
+            e = v - states[t]
+            if t < cut:
+                sums += e * e
+        hat = states[:, sums.argmin()] if cut > 2 else np.full(len(d), np.nan)
+        return pd.DataFrame({"series_id": pdf["series_id"].iloc[1:], "idx": pdf["idx"].iloc[1:], "y": y[1:], "train": np.arange(len(d)) < cut, "d": d, "d_hat": hat})
+
+    return df.select("series_id", "idx", "y").groupBy("series_id").applyInPandas(run, "series_id string, idx bigint, y double, train boolean, d double, d_hat double")
+
+
+#: Two configurations of boosted trees: (depth, bins). The first is that of deep even trees, the second about one of 31 leaves.
+BOOSTED = {"deep": (6, 64), "leaves31": (5, 255)}
+
+
+def gbt_recursive(df: DataFrame, config: str = "deep", horizon: int = 24, trees: int = 60, rate: float = 0.1) -> DataFrame:
+    """Boosted trees on lags, rolling means and calendar of all series, then one distributed step for each hour ahead; clipped to [0, 100].
+
+    Expects series.split() with t. Series of under 170 train rows have no row with all features: they aren't learned from, and their rows come with the
+    status "under 170 train rows". Band: 1.96 population deviations of the errors on train rows of the series, clipped too.
+    """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
-    from pyspark.sql import functions as F
-
-    from tarnflow.operators.series import by
 
-    lags = (1, 2, 3, 24, 25, 48)
-    lagged = lambda d: d.select("series_id", "idx", "y", *(F.lag("y", k).over(by()).alias(f"lag_{k}") for k in lags))
-    vector = VectorAssembler(inputCols=[f"lag_{k}" for k in lags], outputCol="x")
-    train = df.where("train").select("series_id", "idx", "y", "n_train")
-    model = GBTRegressor(featuresCol="x", labelCol="y", predictionCol="y_hat", maxIter=trees, maxDepth=depth, seed=1).fit(vector.transform(lagged(train).na.drop()))
-    past = train.where("idx >= n_train - 48")
+    from tarnflow.functions.scalars import clip
+    from tarnflow.operators import series
+
+    depth, bins = BOOSTED[config]
+    names = [*(f"lag_{k}" for k in series.LAGS), "mean_24", "mean_168", "hour", "weekday", "weekend", "hour_sin", "hour_cos", "day_sin", "day_cos"]
+    vector = VectorAssembler(inputCols=names, outputCol="x")
+    train = df.where("train").select("series_id", "t", "idx", "y", "n_train")
+    learned = vector.transform(series.calendar_features(series.lag_features(train)).na.drop()).select("series_id", "y", "x").checkpoint()
+    out = df.where("idx >= n_train").where(F.col("idx") < F.col("n_train") + horizon).select("series_id", "idx", "y", "n_train")
+    if learned.isEmpty():
+        return out.select("series_id", "idx", "y", *(F.lit(None).cast("double").alias(c) for c in ("y_hat", "lower", "upper")), F.lit("under 170 train rows").alias("status"))
+    model = GBTRegressor(featuresCol="x", labelCol="y", predictionCol="y_hat", maxIter=trees, maxDepth=depth, maxBins=bins, stepSize=rate, subsamplingRate=0.9, featureSubsetStrategy="0.9", seed=1).fit(learned)
+    sd = model.transform(learned).groupBy("series_id").agg(F.stddev_pop(F.col("y") - F.col("y_hat")).alias("sd"))
+    past = train.where("idx >= n_train - 169 and n_train >= 170")
+    step = F.expr("interval 1 hour")
+    w = series.by()
     for _ in range(horizon):
-        ahead = past.groupBy("series_id").agg(F.max("idx").alias("last"), F.max("n_train").alias("n_train"))
-        at = past.join(ahead.drop("n_train"), "series_id")
-        x = at.groupBy("series_id").agg((F.max("last") + 1).alias("idx"), F.max("n_train").alias("n_train"), *(F.max(F.when(F.col("idx") == F.col("last") + 1 - k, F.col("y"))).alias(f"lag_{k}") for k in lags)).na.drop()
-        y = model.transform(vector.transform(x)).select("series_id", "idx", F.greatest(F.lit(0.0), F.least(F.lit(100.0), "y_hat")).alias("y"), "n_train")
+        ahead = past.groupBy("series_id").agg(F.max("t").alias("t"), F.max("idx").alias("idx"), F.max("n_train").alias("n_train"))
+        ahead = ahead.select("series_id", (F.col("t") + step).alias("t"), (F.col("idx") + 1).alias("idx"), F.lit(None).cast("double").alias("y"), "n_train")
+        x = series.calendar_features(series.lag_features(past.unionByName(ahead))).withColumn("next", F.lead("idx").over(w)).where("next is null")
+        y = model.transform(vector.transform(x.drop("y"))).select("series_id", "t", "idx", clip(F.col("y_hat")).alias("y"), "n_train")
         past = past.unionByName(y).checkpoint()
-    truth = df.select("series_id", "idx", F.col("y").alias("truth"))
-    return past.where("idx >= n_train").join(truth, ["series_id", "idx"]).select("series_id", "idx", F.col("truth").alias("y"), F.col("y").alias("y_hat"))
+    hat = past.where("idx >= n_train").select("series_id", "idx", F.col("y").alias("y_hat")).join(sd, "series_id")
+    out = out.join(hat, ["series_id", "idx"], "left")
+    band = {"lower": clip(F.col("y_hat") - Z * F.col("sd")), "upper": clip(F.col("y_hat") + Z * F.col("sd"))}
+    status = F.when(F.col("y_hat").isNull(), "under 170 train rows").otherwise("ok")
+    return out.withColumns(band).select("series_id", "idx", "y", "y_hat", *(F.when(F.col("y_hat").isNotNull(), F.col(c)).alias(c) for c in band), status.alias("status"))
