@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnflow.operators.series import by, full_mean
 
+#: Width of bands, windows and seasons that are tried; fixed values.
 Z = 1.96
 WINDOWS, SEASONS = (3, 6, 12, 24, 48, 168), (24, 168)
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tarnflow.operators import metrics, series
+from tarnflow.operators import metrics, models, series
 
 HORIZON = 24
 
@@ -22,7 +24,7 @@ def rolling_origins(df: DataFrame, count: int = 6, first: float = 0.65, horizon:
 
 def walk_forward(df: DataFrame, origins: DataFrame, truth: str = "y", horizon: int = HORIZON) -> DataFrame:
     """Errors of mean, naive and daily repeat at each origin: (series_id, cutoff, model, mae, rmse, smape)."""
-    rows = df.join(F.broadcast(origins.select("series_id", "cutoff")), "series_id")
+    rows = df.join(origins.select("series_id", "cutoff"), "series_id")
     past = rows.where("idx < cutoff").groupBy("series_id", "cutoff").agg(F.avg("y").alias("mean"), F.max_by("y", "idx").alias("naive"))
     day = rows.where("idx >= cutoff - 24 and idx < cutoff").select("series_id", "cutoff", (F.col("idx") - F.col("cutoff") + 24).alias("h"), F.col("y").alias("seasonal_naive"))
     test = rows.where(F.expr(f"idx >= cutoff and idx < cutoff + {horizon}")).select("series_id", "cutoff", "idx", F.col(truth).alias("truth"), ((F.col("idx") - F.col("cutoff")) % 24).alias("h"))
@@ -58,6 +60,33 @@ def sparsity_sweep(df: DataFrame, rates=(0, 20, 40, 60), count: int = 4) -> Data
     return out
 
 
+def one_step_skill_test(df: DataFrame, fitted: bool = True) -> DataFrame:
+    """One-step predictors over the test rows: the mean so far, the last value, the value a day before (else the mean), and an autoregression of a day. Expects series.split()."""
+    w = series.by()
+    rows = series.expanding_mean(df).withColumns({"mean": F.col("mean_before"), "persistence": F.lag("y", 1).over(w), "seasonal24": F.coalesce(F.lag("y", 24).over(w), "mean_before")})
+    rows = rows.where(~F.col("train"))
+    names = ["mean", "persistence", "seasonal24"]
+    long = rows.unpivot(["series_id", "idx", "y"], names, "model", "y_hat")
+    if fitted:
+        long = long.unionByName(models.ar_one_step(df).withColumn("model", F.lit("ar")))
+    return metrics.skill(metrics.error(long, ["series_id", "model"]), ["series_id"])
+
+
+def sparsity_models(df: DataFrame, names: tuple[str, ...], rates: tuple[int, ...] = (0, 20, 40, 60), count: int = 4) -> DataFrame:
+    """Walk-forward errors of fitted models on series with dropped and interpolated rows: (series_id, drop_rate, cutoff, model, mae, rmse, smape), with the plain ones."""
+    origins, thin = rolling_origins(df, count), None
+    for rate in rates:
+        part = series.interpolate_linear(series.sparsify(df, rate)).join(df.select("series_id", "idx", F.col("y").alias("true_y")), ["series_id", "idx"])
+        part = part.withColumn("series_id", F.concat_ws("|", "series_id", F.lit(str(rate))))
+        thin = part if thin is None else thin.unionByName(part)
+    own = origins.withColumn("series_id", F.explode(F.array(*(F.concat_ws("|", "series_id", F.lit(str(r))) for r in rates))))
+    keys = ["series_id", "cutoff", "model"]
+    fitted = scored(models.walk_forward(thin, own, names, truth="true_y"), keys).where("n > 0").drop("n", "failed")
+    both = walk_forward(thin, own, "true_y").unionByName(fitted)
+    rate = F.element_at(F.split("series_id", r"\|"), -1)
+    return both.withColumn("drop_rate", rate.cast("long")).withColumn("series_id", F.regexp_replace("series_id", r"\|[0-9]+$", ""))
+
+
 def leaderboard(scores: DataFrame) -> DataFrame:
     """Best model of each series but the mean, its skill, and whether that is real (over 1 %)."""
     rows = scores.where("model <> 'mean'")
@@ -80,15 +109,89 @@ def benjamini_hochberg(df: DataFrame, by: list[str], p: str = "p", alpha: float
     return rows.withColumn("p_adjusted", adj).withColumn("significant", F.col("p_adjusted") <= alpha).drop("raw")
 
 
-def mann_whitney_less(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Each group against all others: U, and the normal approximation's z of "smaller", corrected for ties and continuity."""
+#: Ranges that distinct values are dealt to when they are counted in order.
+RANGES = 200
+
+
+def count_below(df: DataFrame, value: str, ranges: int = RANGES) -> DataFrame:
+    """Each distinct value with how many rows have it and how many have a smaller one: (value, ties, below).
+
+    Distinct values are dealt to ranges between sampled quantiles; only the ranges' totals, at most `ranges` of them, are put in order in one task.
+    """
     counts = df.groupBy(value).agg(F.count("*").alias("ties"))
-    w = Window.orderBy(value)  # over distinct values
-    ranks = counts.withColumn("rank", F.sum("ties").over(w) - (F.col("ties") - 1) / 2)
+    cuts = sorted({c for c in (df.agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] or [])})
+    at = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(value))) if cuts else F.lit(0)
+    counts = counts.withColumn("range", at)
+    totals = counts.groupBy("range").agg(F.sum("ties").alias("total"))
+    before = totals.select("range", (F.sum("total").over(Window.orderBy("range")) - F.col("total")).alias("before"))
+    inside = F.sum("ties").over(Window.partitionBy("range").orderBy(value)) - F.col("ties")
+    return counts.join(F.broadcast(before), "range").select(value, "ties", (F.col("before") + inside).alias("below"))
+
+
+def normal_cdf(z: Column) -> Column:
+    """Abramowitz and Stegun's formula 7.1.26, within 1.5e-7."""
+    x = F.abs(z) / F.sqrt(F.lit(2.0))
+    t = 1 / (1 + 0.3275911 * x)
+    tail = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * F.exp(-x * x) / 2
+    return F.when(z < 0, tail).otherwise(1 - tail)
+
+
+def mann_whitney_less(df: DataFrame, group: str, value: str) -> DataFrame:
+    """Each group against all other rows: U, and the normal approximation's z of "smaller" and its p-value, corrected for ties and continuity. Null values don't count."""
+    df = df.where(F.col(value).isNotNull())
+    ranks = count_below(df, value).withColumn("rank", F.col("below") + (F.col("ties") + 1) / 2)
     total = df.agg(F.count("*").alias("n"))
-    tie = counts.agg(F.sum(F.col("ties") * F.col("ties") * F.col("ties") - F.col("ties")).alias("tie"))
+    tie = ranks.agg(F.sum(F.col("ties") * F.col("ties") * F.col("ties") - F.col("ties")).alias("tie"))
     sums = df.join(ranks, value).groupBy(group).agg(F.sum("rank").alias("r"), F.count("*").alias("m")).join(F.broadcast(total)).join(F.broadcast(tie))
     u = F.col("r") - F.col("m") * (F.col("m") + 1) / 2
-    k, n = F.col("m") * (F.col("n") - F.col("m")), F.col("n")
-    sd = F.sqrt(k / 12 * (n + 1 - F.col("tie") / (n * (n - 1))))
-    return sums.select(group, u.alias("u"), F.try_divide(u + 0.5 - k / 2, F.nullif(sd, F.lit(0.0))).alias("z"))
+    return _tested(sums.select(group, u.alias("u"), "m", (F.col("n") - F.col("m")).alias("k"), "tie"), group)
+
+
+def _tested(sums: DataFrame, group: str) -> DataFrame:
+    k, n = F.col("m") * F.col("k"), (F.col("m") + F.col("k")).cast("double")
+    sd = F.sqrt(k / 12 * (n + 1 - F.try_divide(F.col("tie").cast("double"), n * (n - 1))))
+    out = sums.select(group, "u", F.try_divide(F.col("u") + 0.5 - k / 2, F.nullif(sd, F.lit(0.0))).alias("z"))
+    return out.withColumn("p", normal_cdf(F.col("z")))
+
+
+def mann_whitney_others(df: DataFrame, group: str, value: str) -> DataFrame:
+    """Each group against all rows whose value the group doesn't have: U, z and p of "smaller". So no value is on both sides. Null values don't count."""
+    df = df.where(F.col(value).isNotNull())
+    all_ = count_below(df, value)
+    own = df.groupBy(group, value).agg(F.count("*").alias("mine")).join(all_, value)
+    below = F.sum("ties").over(Window.partitionBy(group).orderBy(value)) - F.col("ties")
+    own = own.withColumn("others", F.col("below") - below)
+    cube = lambda c: F.sum(F.col(c).cast("double") * F.col(c) * F.col(c) - F.col(c))
+    whole = all_.agg(F.sum("ties").alias("n"), cube("ties").alias("tie"))
+    sums = own.groupBy(group).agg(F.sum(F.col("mine") * F.col("others")).cast("double").alias("u"), F.sum("mine").alias("m"), F.sum("ties").alias("shared"), cube("ties").alias("theirs"), cube("mine").alias("ours")).join(F.broadcast(whole))
+    return _tested(sums.select(group, "u", "m", (F.col("n") - F.col("shared")).alias("k"), (F.col("tie") - F.col("theirs") + F.col("ours")).alias("tie")), group)
+
+
+def significant(df: DataFrame, group: str, value: str, alpha: float = 0.05) -> DataFrame:
+    """Groups whose values are smaller than all others', by adjusted p-values: (group, p, p_adjusted, significant)."""
+    tests = mann_whitney_others(df, group, value).where("p is not null").withColumn("all_", F.lit(0))
+    return benjamini_hochberg(tests, ["all_"], alpha=alpha).select(group, "p", "p_adjusted", "significant")
+
+
+def in_all(lists: list[DataFrame]) -> DataFrame:
+    """Rows that every list has."""
+    return reduce(DataFrame.intersect, lists)
+
+
+def scored(forecasts: DataFrame, by: list[str]) -> DataFrame:
+    """MAE, RMSE and sMAPE of forecasts in long form, beside the failures: (by, n, failed, mae, rmse, smape)."""
+    failed = forecasts.groupBy(*by).agg(F.count_if(F.col("y_hat").isNotNull()).alias("n"), F.count_if(F.col("status") != "ok").alias("failed"))
+    return failed.join(metrics.error(forecasts.where("y_hat is not null"), by), by, "left")
+
+
+def with_quartiles(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Least, quartiles, largest and mean of a value in each group: what a box plot shows."""
+    cut = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    out = df.groupBy(*by).agg(F.min(value).alias("low"), cut.alias("cut"), F.max(value).alias("high"), F.avg(value).alias("mean"), F.count(value).alias("n"))
+    return out.select(*by, "low", *(F.col("cut")[i].alias(q) for i, q in enumerate(("q1", "median", "q3"))), "high", "mean", "n")
+
+
+def pair_ranking(scores: DataFrame, models: list[str]) -> DataFrame:
+    """The leaderboard with the skill of every model in a column of its own."""
+    wide = scores.where("model <> 'mean'").groupBy("series_id").pivot("model", models).agg(F.max("skill"))
+    return leaderboard(scores).join(wide.select("series_id", *(F.col(m).alias(f"skill_{m}") for m in models)), "series_id")

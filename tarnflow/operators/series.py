@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+#: Lags of the features; fixed values.
 LAGS = (1, 2, 3, 24, 25, 48, 168, 169)
 
 
@@ -32,6 +33,12 @@ def split(df: DataFrame, ratio: float = 0.8, series: str = "series_id") -> DataF
     return out.withColumn("train", F.col("idx") < F.col("n_train"))
 
 
+def split_last(df: DataFrame, last: int, series: str = "series_id") -> DataFrame:
+    """Adds n_train and train: all but the last rows of each series."""
+    n = F.count("*").over(Window.partitionBy(series)) - last
+    return df.withColumn("n_train", F.greatest(n, F.lit(0))).withColumn("train", F.col("idx") < F.col("n_train"))
+
+
 def difference(df: DataFrame, lag: int = 1, series: str = "series_id") -> DataFrame:
     """y less the value `lag` rows before; the first rows are dropped."""
     return df.withColumn("dy", F.col("y") - F.lag("y", lag).over(by(series))).where("dy is not null")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def acf(df: DataFrame, lags: int = 30) -> DataFrame:
     """Biased autocorrelation (series_id, lag, acf)."""
     mean = df.groupBy("series_id").agg(F.avg("y").alias("m"), (F.var_pop("y") * F.count("y")).alias("ss"))
-    rows = df.join(F.broadcast(mean), "series_id").select("series_id", "idx", (F.col("y") - F.col("m")).alias("d"), "ss")
+    rows = df.join(mean, "series_id").select("series_id", "idx", (F.col("y") - F.col("m")).alias("d"), "ss")
     back = rows.select("series_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lags).cast("long"))).alias("lag"), "idx", F.col("d").alias("d0"), "ss").withColumn("idx", F.col("idx") + F.col("lag"))
     return back.join(rows.select("series_id", "idx", "d"), ["series_id", "idx"]).groupBy("series_id", "lag").agg(F.try_divide(F.sum(F.col("d") * F.col("d0")), F.nullif(F.first("ss"), F.lit(0.0))).alias("acf"))
 
@@ -19,7 +19,7 @@ def dft(df: DataFrame, bins: int | None = None) -> DataFrame:
     n = df.groupBy("series_id").agg(F.count("*").alias("n"))
     last = F.greatest(F.lit(0), F.floor(F.col("n") / 2) - 1).cast("long") if bins is None else F.lit(bins - 1).cast("long")
     a = -2 * F.pi() * ((F.col("k") * F.col("idx")) % F.col("n")) / F.col("n")
-    rows = df.join(F.broadcast(n), "series_id").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    rows = df.join(n, "series_id").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     s = rows.groupBy("series_id", "k").agg(F.sum(F.col("y") * F.cos(a)).alias("re"), F.sum(F.col("y") * F.sin(a)).alias("im"))
     return s.select("series_id", "k", F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("amplitude"))
 
@@ -38,7 +38,7 @@ def lomb_scargle(df: DataFrame, periods: list[float] | None = None, time: str =
     On the grid, power is null where the sampled sine and cosine can't be told apart.
     """
     if periods is None:
-        rows = df.join(F.broadcast(frequency_grid(df, time)), "series_id").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
+        rows = df.join(frequency_grid(df, time), "series_id").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
         rows = rows.withColumn("period", 1 / (F.col("base") + F.col("step") * F.col("i")))
     else:
         rows = df.withColumn("period", F.explode(F.array(*(F.lit(float(p)) for p in periods))))
