@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnflow.functions.scalars import kaprekar
-from tarnflow.operators import baselines, evaluation, metrics, models, series, spatial, spectral
+from tarnflow.operators import baselines, evaluation, metrics, series, spatial, spectral
+from tarnflow.session import checkpoints
 from tarnflow.sources import tables
 from tarnflow.streaming import hourly
 
@@ -228,7 +229,7 @@ def residual_histogram(spark, sf_dir):
     fc = baselines.seasonal_naive(_split(spark, sf_dir)).withColumn("r", F.col("y_hat") - F.col("y"))
     ends = fc.groupBy("series_id").agg(F.min("r").alias("lo"), F.max("r").alias("hi"))
     place = F.least(F.lit(24), F.floor(F.try_divide(25 * (F.col("r") - F.col("lo")), F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))))).cast("long")
-    return fc.join(F.broadcast(ends), "series_id").groupBy("series_id", place.alias("bin")).agg(F.count("*").alias("n"))
+    return fc.join(ends, "series_id").groupBy("series_id", place.alias("bin")).agg(F.count("*").alias("n"))
 
 
 # evaluation
@@ -315,7 +316,7 @@ def model_center(spark, sf_dir):
 def metrics_normalized(spark, sf_dir):
     long = _summary(spark, sf_dir).unpivot(["series_id", "model"], ["mae", "rmse", "smape"], "metric", "value")
     top = long.groupBy("series_id", "metric").agg(F.max("value").alias("top"))
-    return long.join(F.broadcast(top), ["series_id", "metric"]).select("series_id", "model", "metric", "value", F.try_divide("value", "top").alias("relative"))
+    return long.join(top, ["series_id", "metric"]).select("series_id", "model", "metric", "value", F.try_divide("value", "top").alias("relative"))
 
 
 @query("WITH p AS (SELECT c_custkey, 1.0 / (1 + c_custkey % 97) / (1 + c_custkey % 13) AS p, c_nationkey FROM customer), r AS (SELECT *, p * count(*) OVER (PARTITION BY c_nationkey) / (rank() OVER (PARTITION BY c_nationkey ORDER BY p) + count(*) OVER (PARTITION BY c_nationkey, p) - 1) AS raw FROM p), a AS (SELECT c_custkey, least(1.0, min(raw) OVER (PARTITION BY c_nationkey ORDER BY p RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM r) SELECT c_custkey, round(CAST(q AS DOUBLE), 6) AS p_adjusted, q <= 0.05 AS significant FROM a".replace("1.0 /", "CAST(1 AS DOUBLE) /"))
@@ -326,7 +327,7 @@ def bh_fdr(spark, sf_dir):
 
 @query("WITH x AS (SELECT c_mktsegment AS g, round(c_acctbal, 0) AS v FROM customer), r AS (SELECT g, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0 AS r FROM x), t AS (SELECT sum(n * n * n - n) AS tie FROM (SELECT count(*) AS n FROM x GROUP BY v)), s AS (SELECT g, CAST(sum(r) AS DOUBLE) AS r, count(*) AS m, (SELECT count(*) FROM x) AS n FROM r GROUP BY g) SELECT g, round(r - m * (m + 1) / 2.0, 6) AS u, round((r - m * (m + 1) / 2.0 + 0.5 - m * (n - m) / 2.0) / sqrt(m * (n - m) / 12.0 * (n + 1 - CAST(tie AS DOUBLE) / (CAST(n AS DOUBLE) * (n - 1)))), 6) AS z FROM s, t")
 def mann_whitney(spark, sf_dir):
-    return evaluation.mann_whitney_less(tables.read(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("g"), F.round("c_acctbal", 0).alias("v")), "g", "v")
+    return evaluation.mann_whitney_less(tables.read(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("g"), F.round("c_acctbal", 0).alias("v")), "g", "v").select("g", "u", "z")
 
 
 _LONG = SUMMARY + ", l AS (SELECT series_id, model, unnest(['mae', 'rmse', 'smape']) AS metric, unnest([mae, rmse, smape]) AS value FROM v)"
@@ -437,40 +438,56 @@ def nearest_station(spark, sf_dir):
     return spatial.nearest_station(spatial.grid(full, 30), full)
 
 
-@query()
+@query(MEDIAN + _GRID.format(s=200) + " SELECT g.t, g.p, arg_min(f.zsid, {'d': (g.e - f.e) * (g.e - f.e) + (g.n - f.n) * (g.n - f.n), 'z': f.zsid}) AS zsid FROM gr g JOIN full_ f ON g.t = f.t GROUP BY g.t, g.p")
 def nearest_station_raster(spark, sf_dir):
     """nearest_station over the whole raster of 200 x 200 cells."""
     full = _full(spark, sf_dir)
     return spatial.nearest_station(spatial.grid(full), full)
 
 
+def _kde_sql(points: str, name: str) -> str:
+    """CTEs: covariance terms of both kernels, and `name` (t, p, weight, log_weight) at `points` (t, p, e, n)."""
+    terms = ""
+    for k, w in (("1", "cnt"), ("2", "1.0")):
+        terms += f""", wt{k} AS (SELECT t, e, n, CAST({w} AS DOUBLE) / sum(CAST({w} AS DOUBLE)) OVER (PARTITION BY t) AS w, sum(CAST({w} AS DOUBLE)) OVER (PARTITION BY t) AS total FROM full_),
+mn{k} AS (SELECT t, sum(w * e) AS me, sum(w * n) AS mn, 1 - sum(w * w) AS free FROM wt{k} GROUP BY t),
+cv{k} AS (SELECT t, 0.3 * 0.3 * sum(w * (e - me) * (e - me)) / max(free) AS a, 0.3 * 0.3 * sum(w * (e - me) * (n - mn)) / max(free) AS b, 0.3 * 0.3 * sum(w * (n - mn) * (n - mn)) / max(free) AS d, max(total) AS total FROM wt{k} JOIN mn{k} USING (t) GROUP BY t),
+tm{k} AS (SELECT t, d / (a * d - b * b) AS a{k}, -b / (a * d - b * b) AS b{k}, a / (a * d - b * b) AS d{k}, 1 / sqrt(a * d - b * b) AS norm{k}, total AS total{k} FROM cv{k})"""
+    q = lambda k: f"(x * x * a{k} + 2 * x * y * b{k} + y * y * d{k}) / 2"
+    return terms + f""", kp AS (SELECT t, p, cnt, {q("1")} AS q1, {q("2")} AS q2, norm1, norm2, total1, total2 FROM (SELECT g.t, g.p, f.cnt, g.e - f.e AS x, g.n - f.n AS y FROM {points} g JOIN full_ f ON g.t = f.t) JOIN tm1 USING (t) JOIN tm2 USING (t)),
+km AS (SELECT *, min(q1) OVER c AS m1, min(q2) OVER c AS m2 FROM kp WINDOW c AS (PARTITION BY t, p)),
+ks AS (SELECT t, p, max(m2) - max(m1) AS off, sum(cnt * exp(m1 - q1)) * max(norm1) AS s1, sum(exp(m2 - q2)) / max(total2) * max(norm2) AS s2 FROM km GROUP BY t, p),
+{name} AS (SELECT t, p, s1 / s2 * exp(least(off, 300.0)) AS weight, ln(s1) - ln(s2) + off AS log_weight FROM ks)"""
+
+
 @query()
 def kde_surface(spark, sf_dir):
     full = _full(spark, sf_dir)
-    return spatial.kde_surface(spatial.grid(full, 200), full)
+    return spatial.kde_surface(spatial.grid(full, 200), full).select("t", "p", "weight")
 
 
-@query()
-def density_per_node(spark, sf_dir):
-    return spatial.density_per_node(_full(spark, sf_dir))
+@query(MEDIAN + _GRID.format(s=200) + _kde_sql("gr", "kd") + " SELECT t, p, round(log_weight, 3) AS log_weight FROM kd")
+def kde_log_surface(spark, sf_dir):
+    """Logarithm of the surface, whose values span hundreds of powers of ten."""
+    full = _full(spark, sf_dir)
+    return spatial.kde_surface(spatial.grid(full, 200), full).select("t", "p", F.round("log_weight", 3).alias("log_weight"))
 
 
-def _hubs(full):
-    return full.groupBy("t").agg(F.array_distinct(F.array(F.min("zsid"), F.max("zsid"))).alias("z")).select("t", F.explode("z").alias("zsid"))
+_CELL = ", cl AS (SELECT full_.t, zsid, CAST(coalesce(floor((n - n0) * 199 / nullif(n1 - n0, 0) + 0.5), 0) * 200 + coalesce(floor((e - e0) * 199 / nullif(e1 - e0, 0) + 0.5), 0) AS BIGINT) AS p FROM full_ JOIN bx USING (t)), atc AS (SELECT gr.* FROM gr JOIN (SELECT DISTINCT t, p FROM cl) USING (t, p))"
+DENSITY = MEDIAN + _GRID.format(s=200) + _CELL + _kde_sql("atc", "kd") + ", dn AS (SELECT t, zsid, weight * (SELECT sum(cnt) FROM full_ f WHERE f.t = cl.t) / sum(weight) OVER (PARTITION BY t) AS density FROM cl JOIN kd USING (t, p))"
 
 
-def _write(spark):
-    """Rounds of a loop go to the folder of spark.checkpoint.dir; one is made only for a local master without it."""
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        import tempfile
+@query(DENSITY + " SELECT t, zsid, round(density, 3) AS density FROM dn")
+def density_per_node(spark, sf_dir):
+    return spatial.density_per_node(_full(spark, sf_dir)).withColumn("density", F.round("density", 3))
 
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+
+def _hubs(full):
+    return full.groupBy("t").agg(F.array_distinct(F.array(F.min("zsid"), F.max("zsid"))).alias("z")).select("t", F.explode("z").alias("zsid"))
 
 
 def _assigned(spark, sf_dir):
-    _write(spark)
+    checkpoints(spark)
     full = _full(spark, sf_dir)
     return full, spatial.hub_costs(spatial.knn_edges(full).checkpoint(), _hubs(full))
 
@@ -485,7 +502,7 @@ def hub_counts(spark, sf_dir):
     return _assigned(spark, sf_dir)[1].groupBy("t", "hub").agg(F.count("*").alias("stations"), F.avg("cost").alias("mean_cost"))
 
 
-@query()
+@query(ORACLE_SQL["hub_assignment"].rsplit(" SELECT", 1)[0] + _GRID.format(s=200) + ", ns AS (SELECT g.t, g.p, arg_min(f.zsid, {'d': (g.e - f.e) * (g.e - f.e) + (g.n - f.n) * (g.n - f.n), 'z': f.zsid}) AS zsid FROM gr g JOIN full_ f ON g.t = f.t GROUP BY g.t, g.p) SELECT ns.t, hub, count(*) AS cells, round(100 * count(*) / 40000.0, 6) AS share FROM ns LEFT JOIN (SELECT * FROM it WHERE i = 30) b ON b.t = ns.t AND b.zsid = ns.zsid GROUP BY ALL")
 def hub_share_exact(spark, sf_dir):
     """Share of all cells of the raster whose nearest station goes to each hub."""
     full, best = _assigned(spark, sf_dir)
@@ -539,34 +556,6 @@ def periodogram_grid_top(spark, sf_dir):
     return p.groupBy("series_id").agg(F.max_by("period", "power").alias("period"), F.max("power").alias("power"))
 
 
-@query()
-def detect_periodicity(spark, sf_dir):
-    return models.detect_periodicity(tables.hourly_count(spark, sf_dir))
-
-
-@query()
-def ar_one_step(spark, sf_dir):
-    return models.ar_one_step(_split(spark, sf_dir))
-
-
-def _model(name: str):
-    def run(spark, sf_dir):
-        return models.forecast(_split(spark, sf_dir), name)
-
-    run.__name__ = f"forecast_{name}"
-    query()(run)
-
-
-for _name in models.MODELS:
-    _model(_name)
-
-
-@query()
-def gbt_recursive(spark, sf_dir):
-    _write(spark)
-    return models.gbt_recursive(series.split(tables.hourly_share(spark, sf_dir)), horizon=6)
-
-
 @query(HOURLY + MEAN_F + NAIVE_F.replace(", f AS", ", g AS") + f", l AS (SELECT series_id, y, 'mean' AS model, y_hat AS f FROM sp JOIN f USING (series_id) WHERE idx >= n_train UNION ALL SELECT series_id, y, 'naive', y_hat FROM sp JOIN g USING (series_id) WHERE idx >= n_train), u AS (SELECT series_id, model, avg(abs(y - f)) AS mae, sqrt(avg((y - f) * (y - f))) AS rmse, 100 * avg(coalesce(2 * abs(y - f) / nullif(abs(y) + abs(f), 0), 0)) AS smape FROM l GROUP BY ALL), v AS (SELECT *, " + _SKILL.format(b=_BASE.format(g="series_id")) + f" AS skill FROM u) SELECT series_id, model, {_r('mae', 'rmse', 'smape', 'skill')} FROM v")
 def model_comparison(spark, sf_dir):
     df = _split(spark, sf_dir)
