@@ -224,7 +224,8 @@ def predict(docs: DataFrame, model: tuple[list[str], dict[str, np.ndarray]], id_
     that fit equally the first by name wins. Other columns never matter, and an empty table gives no rows.
     """
     names, grams = model
-    rows = docs.select(docs[text_col].alias("text"), *([docs[c].alias(f"kept_{c}") for c in keep] if keep else [docs[id_col].alias("doc_id")]))
+    kept = {f"kept_{c}": c for c in keep} if keep else {"doc_id": id_col}
+    rows = docs.select(docs[text_col].alias("text"), *(docs[c].alias(k) for k, c in kept.items() if c != text_col))  # the text travels once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words(grams, len(names))
@@ -247,11 +248,11 @@ def predict(docs: DataFrame, model: tuple[list[str], dict[str, np.ndarray]], id_
                         pred[k], score[k] = names[top], float(min(1.0, s[top]))
                         mix[k] = " ".join(f"{names[j]}:{s[j]:.2f}" for j in np.argsort(-s, kind="stable") if s[j] >= 0.005)
                 new = {"lang_pred": pa.array(pred, pa.string()), "score": pa.array(score, pa.float64()), "languages": pa.array(mix, pa.string())}
-                yield pa.RecordBatch.from_pydict({f.name: part.column(f.name) for f in list(part.schema)[1:]} | new)
+                yield pa.RecordBatch.from_pydict({k: part.column("text" if c == text_col else k) for k, c in kept.items()} | new)
 
-    types = rows.drop("text").schema.add("lang_pred", "string").add("score", "double").add("languages", "string")
+    types = docs.select(*(docs[c].alias(k) for k, c in kept.items())).schema.add("lang_pred", "string").add("score", "double").add("languages", "string")
     out = rows.mapInArrow(tidy(run), types)
-    return out.withColumnsRenamed({f"kept_{c}": c for c in keep}) if keep else out
+    return out.withColumnsRenamed(kept) if keep else out
 
 
 def held_out(doc_id: Column) -> Column:
