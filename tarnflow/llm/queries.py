@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnflow.llm import exact_dedup, language_id, mixing, ngram_join, packing, sharding, substring_dedup, token_counts, twins, url_filter, vector_dedup
-from tarnflow.llm.shared import save
+from tarnflow.llm.shared import save, text_batches
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    text_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

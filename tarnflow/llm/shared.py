@@ -27,6 +27,17 @@ def work_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Rows of an Arrow batch that goes to a worker: they may hold long texts, of which JVM and worker each keep a copy.
+BATCH_ROWS = 2_000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Have the session send rows of texts to workers in small batches, unless it sends even fewer at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 #: Folders of saved frames that discard() and clean() may delete.
 _FOLDERS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 _WRITTEN: set[str] = set()
