@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnflow.llm import exact_dedup, language_id, mixing, ngram_join, packing
 from tarnflow.llm.queries import WEIGHTS
-from tarnflow.llm.shared import save, without
+from tarnflow.llm.shared import save, text_batches, without
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -48,7 +51,19 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(docs, tokens=2048)
 
 
+def _small_batches(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage whose texts go to workers in small batches, so that JVM and workers hold few of them at once."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        text_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [("language_id", identify_language), ("exact_dedup", drop_exact_copies), ("ngram_jaccard_join", drop_near_copies), ("mixing", mix_sources), ("best_fit_packing", pack_sequences)]
+STAGES = [(name, _small_batches(stage)) for name, stage in STAGES]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
