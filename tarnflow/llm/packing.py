@@ -17,7 +17,7 @@ from tarnflow.llm.shared import give_back, narrowed, slices, tidy
 from tarnflow.llm.tokens import TOKENIZER, encoded, ids, tokenizer_path
 
 #: Bytes of text whose pieces are packed together, in one task; and that are encoded at once.
-GROUP_BYTES, AT_ONCE = 6_000_000, 1_000_000
+GROUP_BYTES, AT_ONCE = 6_000_000, 2_000_000
 #: Weights of residual tokens, documents and attention cost.
 WEIGHTS = (1.0, 0.01, 0.01)
 

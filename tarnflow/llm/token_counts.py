@@ -17,7 +17,7 @@ from tarnflow.llm.tokens import TOKENIZER, Ids, counts, ids, tokenizer_path
 #: Characters of a leaf, at least; a leaf begins before white space, where no token can span.
 LEAF = 256
 #: Bytes of text whose leaves are counted at once.
-AT_ONCE = 1_000_000
+AT_ONCE = 2_000_000
 
 EDIT = "array<struct<start:bigint,stop:bigint,text:string>>"
 
