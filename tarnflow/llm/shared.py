@@ -28,7 +28,7 @@ def work_dir(spark: SparkSession) -> str:
 
 
 #: Rows of an Arrow batch that goes to a worker: they may hold long texts, of which JVM and worker each keep a copy.
-BATCH_ROWS = 2_000
+BATCH_ROWS = 1_000
 
 
 def text_batches(spark: SparkSession) -> None:
@@ -93,8 +93,9 @@ def forget() -> None:
 
 
 def give_back() -> None:
-    """Hand freed memory back to the system. Workers live on between tasks, and allocators hold what a task has freed."""
+    """Hand freed memory back to the system. Workers live on between tasks, and allocators hold what a task has freed; Arrow's is left for the system's, which can be trimmed."""
     pa.default_memory_pool().release_unused()
+    pa.set_memory_pool(pa.system_memory_pool())
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):  # not glibc
@@ -107,6 +108,7 @@ def tidy(run: Callable[[Iterator], Iterator], keeps: bool = False) -> Callable[[
     def task(batches: Iterator) -> Iterator:
         if not keeps:
             forget()
+        give_back()
         yield from run(batches)
         give_back()
 
