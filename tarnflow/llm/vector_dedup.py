@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnflow.llm.shared import components, heavy, labelled, salted, save, unit
+from tarnflow.llm.shared import components, give_back, heavy, labelled, salted, save, unit
 
 #: Vectors that centroids and codebooks are fitted on; vectors of a list at about; centroids of the upper level.
 SAMPLE, LIST, COARSE = 16_384, 1_500, 1_024
@@ -18,8 +18,8 @@ SUBSPACES, CODES, ROUNDS = 8, 256, 8
 #: Probed are the lists of the nearest borders, so many at most, and of these the ones whose border is within so much of a link's distance.
 #: With 8 of 32 to 1,024 lists, 0.997 and more of links of cosine 0.95 to 0.99 were found, in 16 to 384 dimensions.
 PROBES, REACH = 10, 0.55
-#: Vectors of a block of a list, and queries that meet it in one task; queries in one table look-up; vectors encoded at once.
-BLOCK, QUERIES, STEP, ENCODED = 2_048, 4_096, 256, 1_024
+#: Vectors of a block of a list, and queries that meet it in one task; queries in one table look-up; vectors encoded and pairs compared exactly at once.
+BLOCK, QUERIES, STEP, ENCODED, PAIRS = 2_048, 4_096, 256, 1_024, 16_384
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 10) -> np.ndarray:
@@ -164,6 +164,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id
     query = query.select("at", salt("batches", 2).alias("batch"), upto("blocks").alias("block"), F.col("cls").alias("q_cls"), F.col("vec").alias("q_vec"), F.col("n").alias("q_n"), F.col("home").alias("q_home"))
 
     def compare(key: tuple, q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         if q.empty or d.empty:
             return pd.DataFrame({"node": [], "links": [], "other": []}).astype("int64")
         at, x, y = int(key[0]), units(q["q_vec"]), units(d["vec"])
@@ -188,8 +189,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id
             for m in range(1, len(tables)):
                 far += tables[m][:, codes[:, m]]
             i, j = np.nonzero(far <= bound)
-            for part in range(0, len(i), 100_000):
-                a, b = i[part : part + 100_000] + low, j[part : part + 100_000]
+            for part in range(0, len(i), PAIRS):
+                a, b = i[part : part + PAIRS] + low, j[part : part + PAIRS]
                 real = (np.einsum("ij,ij->i", x[a], y[b]) >= cosine) & (qc[a] != dc[b])
                 for s, t in zip(a[real], b[real], strict=True):
                     u, v = int(qc[s]), int(dc[t])
