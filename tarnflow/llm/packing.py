@@ -57,11 +57,11 @@ def best_fit(lengths: np.ndarray, tokens: int, documents: int, attention: int, w
     return bins, offsets
 
 
-def _pieces(path: str, tokens: int, end_id: int, groups: int, with_ids: bool):
+def _pieces(path: str, tokens: int, end_id: int, groups: int, with_ids: bool, at_once: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, row = ids(path), TaskContext.get().partitionId() << 40
         for batch in batches:
-            for part in slices(batch, 1, AT_ONCE):
+            for part in slices(batch, 1, at_once):
                 flat, bounds = encoded(part.column(1), known)
                 raw = np.insert(flat, bounds[1:], np.uint32(end_id)).tobytes()
                 out: list[tuple] = []
@@ -79,7 +79,7 @@ def _pieces(path: str, tokens: int, end_id: int, groups: int, with_ids: bool):
     return tidy(run, keeps=True)
 
 
-def pack(docs: DataFrame, tokens: int = 2048, documents: int | None = None, attention: int | None = None, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, end_id: int = 0, weights=WEIGHTS, by: str = "norm", with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokens: int = 2048, documents: int | None = None, attention: int | None = None, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, end_id: int = 0, weights=WEIGHTS, by: str = "norm", with_ids: bool = False, at_once: int = AT_ONCE) -> DataFrame:
     """Pieces of tokenized documents and the place of each in a sequence of at most so many tokens.
 
     Every document's ids are followed by end_id; only longer ones are cut. The
@@ -99,7 +99,7 @@ def pack(docs: DataFrame, tokens: int = 2048, documents: int | None = None, atte
     groups = max(1, -(-(rows.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0) // GROUP_BYTES))
     kind = docs.schema[id_col].dataType.simpleString()
     extra = ", ids binary" if with_ids else ""
-    pieces = rows.mapInArrow(_pieces(tokenizer_path(tokenizer), tokens, end_id, groups, with_ids), f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, pack bigint, row bigint{extra}")
+    pieces = rows.mapInArrow(_pieces(tokenizer_path(tokenizer), tokens, end_id, groups, with_ids, at_once), f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, pack bigint, row bigint{extra}")
 
     def packed(pdf: pd.DataFrame) -> pd.DataFrame:
         give_back()

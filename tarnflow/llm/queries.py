@@ -9,6 +9,10 @@ from tarnflow.llm import exact_dedup, language_id, mixing, ngram_join, packing,
 from tarnflow.llm.shared import save, text_batches
 
 
+#: Bytes of text that these queries encode at once: more than in the pipeline, whose executors have less memory to spare.
+AT_ONCE = 4_000_000
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -27,7 +31,7 @@ def op2_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece's place in a sequence of at most 2048 tokens. Null text is empty: one end id."""
-    return packing.pack(_table(spark, sf_dir, "documents"), tokens=2048)
+    return packing.pack(_table(spark, sf_dir, "documents"), tokens=2048, at_once=AT_ONCE)
 
 
 def op4_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +57,7 @@ WEIGHTS = {"lang": {"en": 4.0, "de": 2.0, "fr": 2.0, "es": 2.0, "*": 1.0}, "sour
 def op6_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's calibrated weight, probability and draw. Null texts have no tokens and are never drawn; null languages and sources are values of their own."""
     docs = _table(spark, sf_dir, "documents")
-    rows = save(mixing.profiled(docs, mixing.fit_topics(docs), keep=["doc_id", "source", "lang"]), "profiles")
+    rows = save(mixing.profiled(docs, mixing.fit_topics(docs), keep=["doc_id", "source", "lang"], at_once=AT_ONCE), "profiles")
     out = mixing.mix(rows, ["source", "lang", "mix_topic"], F.col("mix_tokens"), keep=0.5, given=WEIGHTS)
     names = {"mix_topic": "topic", "mix_tokens": "tokens", "mix_weight": "weight", "mix_prob": "prob", "mix_keep": "kept", "mix_gap": "gap"}
     return out.withColumnsRenamed(names).select("doc_id", "source", "lang", *names.values())
