@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnflow.llm import exact_dedup, language_id, mixing, ngram_join, packing, sharding, substring_dedup, token_counts, twins, url_filter, vector_dedup
+from tarnflow.llm import exact_dedup, filter_audit, fim, language_id, mixing, ngram_join, packing, quality_rules, sharding, substring_dedup, token_counts, twins, url_filter, vector_dedup
 from tarnflow.llm.shared import save, text_batches
 
 
@@ -106,13 +106,32 @@ def op10_pq_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units, form and cuts of every document, with digests of its output and of the text rebuilt from that. Null text is empty: a plain one."""
+    out = fim.fill_in_middle(_table(spark, sf_dir, "documents"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(fim.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove in all 120 orders, for each language. Null text is empty, a null language the empty string."""
+    return filter_audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of every document and the verdict of the base rule and of rules learned from its labels. Null text has no words."""
+    out = quality_rules.quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows of corpus_pipeline. Nulls, empty texts and tables, repeated rows and other columns go through as each stage's docstring says."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_sampled_splitters, op3_best_fit_packing, op4_language_mixture, op5_fuse_filter_dedup, op6_raked_mixture, op7_url_filter, op8_ngram_jaccard, op9_edit_token_counts, op10_pq_near_vectors, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_sampled_splitters, op3_best_fit_packing, op4_language_mixture, op5_fuse_filter_dedup, op6_raked_mixture, op7_url_filter, op8_ngram_jaccard, op9_edit_token_counts, op10_pq_near_vectors, op11_fill_in_middle, op12_filter_audit, op13_quality_rules, pipeline)}
 
-#: Tokens, trained models, samples and packings are beyond SQL: op2, op3, op4, op6, op9 and the pipeline have tests instead.
+#: Tokens, trained models, samples and packings are beyond SQL: op2, op3, op4, op6, op9, op13 and the pipeline have tests instead.
 ORACLE_SQL: dict[str, str] = twins.ORACLE_SQL
