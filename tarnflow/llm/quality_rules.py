@@ -45,8 +45,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = rows.withColumn("lines", F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD)))
     rows = rows.withColumn("marks", F.regexp_replace("text", f"[^A-Z0-9!?{SYMBOLS}]+", ""))
     left = lambda chars: F.octet_length(F.regexp_replace("marks", f"[^{chars}]+", "")).cast("long")
-    return _repeated(rows).select(
-        "doc_id",
+    counts = F.struct(
         F.size("words").cast("long").alias("n_words"),
         F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"),
         left(SYMBOLS).alias("n_symbols"),
@@ -58,6 +57,8 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         left("0-9").alias("n_digits"),
         left("!?").alias("n_cries"),
     )
+    # a later filter isn't pushed below a generator, where it would split the text again for each word
+    return _repeated(rows).select("doc_id", F.inline(F.array(counts)))
 
 
 def base_failed() -> Column:
