@@ -9,7 +9,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from tarnflow.operators import neighbours
+from tarnflow.session import saved
 
 SNAP = "t"
 
@@ -26,9 +27,10 @@ def station_agg(df: DataFrame, first: tuple[str, ...] = ()) -> DataFrame:
 
 def knn_impute(df: DataFrame, k: int = 4, how: str = "median", seed: int = 42) -> DataFrame:
     """Missing counts from the k nearest stations of the snapshot that have one: their median, mean, or one of them (sample: the first by a checksum); ties go to the smaller id."""
-    gaps, known = df.where("cnt is null").alias("a"), df.where("cnt is not null").alias("b")
-    near = gaps.join(known, F.col("a.t") == F.col("b.t")).select(F.col("a.t").alias("t"), F.col("a.zsid").alias("zsid"), F.col("b.zsid").alias("other"), F.col("b.cnt").alias("c"), squared("a", "b").alias("d"))
-    near = near.withColumn("rn", F.row_number().over(Window.partitionBy("t", "zsid").orderBy("d", "other"))).where(F.col("rn") <= k)
+    df = saved(df, "counts")
+    gaps, known = df.where("cnt is null"), df.where("cnt is not null")
+    near = neighbours.nearest(gaps.select("t", F.col("zsid").alias("p"), "e", "n"), known, k, stored=True)
+    near = near.select("t", F.col("p").alias("zsid"), F.col("zsid").alias("other")).join(known.select("t", F.col("zsid").alias("other"), F.col("cnt").alias("c")), ["t", "other"])
     drawn = F.min_by("c", F.md5(F.concat_ws("|", F.lit(str(seed)), "t", "zsid", "other")))
     fill = near.groupBy("t", "zsid").agg({"median": F.median("c"), "mean": F.avg("c"), "sample": drawn}[how].alias("filled"))
     return df.join(fill, ["t", "zsid"], "left").withColumn("cnt", F.coalesce("cnt", "filled")).drop("filled")
@@ -46,10 +48,16 @@ def cost_edges(df: DataFrame, a: float = 0.5, b: float = 0.5) -> DataFrame:
     return pair_distances(df).select("t", "src", "dst", "dist", F.when(F.col("src") == F.col("dst"), 0.0).otherwise(a * F.col("dist") + b * F.col("traffic")).alias("cost"))
 
 
-def knn_edges(df: DataFrame, k: int = 8) -> DataFrame:
-    """The k nearest of each station, itself counted and then dropped."""
-    w = Window.partitionBy("t", "src").orderBy("dist", "dst")
-    return cost_edges(df).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).where("src <> dst").drop("rn")
+def knn_edges(df: DataFrame, k: int = 8, a: float = 0.5, b: float = 0.5) -> DataFrame:
+    """The k nearest of each station, itself counted and then dropped: (t, src, dst, dist, cost) as of cost_edges(), without the pairs that are further."""
+    df = saved(df.select("t", "zsid", "e", "n", "cnt"), "stations")
+    whole = neighbours.widest(df).join(df.groupBy("t").agg(F.max("cnt").alias("most")), "t")
+    whole = whole.select("t", "most", F.nullif("top", F.lit(0.0)).alias("scale"))
+    near = neighbours.nearest(df.join(whole, "t").select("t", F.col("zsid").alias("p"), "e", "n", "scale"), df, k, stored=True)
+    near = near.where("p <> zsid").select("t", F.col("p").alias("src"), F.col("zsid").alias("dst"), "d")
+    goals = df.join(whole, "t").select("t", F.col("zsid").alias("dst"), "scale", F.try_divide("cnt", F.nullif("most", F.lit(0.0))).alias("traffic"))
+    dist = F.try_divide("d", "scale")
+    return near.join(goals, ["t", "dst"]).select("t", "src", "dst", dist.alias("dist"), (a * dist + b * F.col("traffic")).alias("cost"))
 
 
 #: Cells of a tile, stations of a block, and cells of a tile that meet a block at once.
@@ -69,22 +77,7 @@ def _tiled(points: DataFrame, df: DataFrame, work: Callable[[pd.DataFrame, pd.Da
 
 def nearest_station(points: DataFrame, df: DataFrame) -> DataFrame:
     """For each point (t, p, e, n) the nearest station of its snapshot; the smaller id on ties. Points of a snapshot without stations have no row."""
-
-    def work(points: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(own):
-            own = own.sort_values("zsid")
-            e, n, ids = (own[c].to_numpy() for c in ("e", "n", "zsid"))
-            for low in range(0, len(points), STEP):
-                part = points.iloc[low : low + STEP]
-                dx, dy = part["e"].to_numpy()[:, None] - e, part["n"].to_numpy()[:, None] - n
-                d = dx * dx + dy * dy
-                best = d.argmin(axis=1)
-                out.append(pd.DataFrame({"t": part["t"], "p": part["p"], "d": d[np.arange(len(d)), best], "zsid": ids[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"t": [], "p": [], "d": [], "zsid": []})
-
-    near = _tiled(points, df.select("t", "zsid", "e", "n"), work, "t bigint, p bigint, d double, zsid bigint")
-    return near.groupBy("t", "p").agg(F.min(F.struct("d", "zsid"))["zsid"].alias("zsid"))
+    return neighbours.nearest(points, df, 1).select("t", "p", "zsid")
 
 
 def grid(df: DataFrame, size: int = 200) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "tarnflow", master: str | None = None, **conf: str) -> SparkSession:
@@ -31,3 +31,10 @@ def checkpoints(spark: SparkSession) -> None:
     """Make checkpoint() write to that folder, unless the session has one."""
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(shared_folder(spark, "rounds"))
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """A frame written once to the shared folder and read back: its plan isn't run again, and a lost executor costs a re-read only."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
