@@ -143,16 +143,22 @@ def adf(df: DataFrame) -> DataFrame:
 
 
 def decompose(df: DataFrame, season: int = 24) -> DataFrame:
-    """(series_id, idx, y, trend, seasonal, rest): centred moving average over one season, means of what is left by place in the season (less their mean), and the rest; all by windows."""
+    """(series_id, idx, y, trend, seasonal, rest): centred moving average over one season, means of what is left by place in the season (less their mean), and the rest; all by windows.
+
+    Means are sums divided once, and places are added in their order, so that whole numbers give the same result in any order of rows.
+    """
     w, half = by(), season // 2
 
-    def mean(low: int, high: int) -> Column:
+    def total(low: int, high: int) -> Column:
         frame = w.rowsBetween(low, high)
-        return F.when(F.count("y").over(frame) == high - low + 1, F.avg("y").over(frame))
-
-    trend = (mean(-half, season - 1 - half) + mean(1 - season + half, half)) / 2 if season % 2 == 0 else mean(-half, half)
-    rows = df.select("series_id", "idx", "y").withColumn("trend", trend).withColumns({"place": F.col("idx") % season, "off": F.col("y") - F.col("trend")})
-    means = rows.groupBy("series_id", "place").agg(F.avg("off").alias("own"))
-    level = means.groupBy("series_id").agg(F.avg("own").alias("level"))
+        return F.when(F.count("y").over(frame) == high - low + 1, F.sum("y").over(frame))
+
+    even = season % 2 == 0
+    width = 2 * season if even else season
+    held = total(-half, season - 1 - half) + total(1 - season + half, half) if even else total(-half, half)
+    rows = df.select("series_id", "idx", "y").withColumn("held", held).withColumns({"place": F.col("idx") % season, "trend": F.col("held") / width})
+    means = rows.groupBy("series_id", "place").agg((F.sum(F.col("y") * width - F.col("held")) / (width * F.count("held"))).alias("own"))
+    level = means.where("own is not null").groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct("place", "own"))).alias("all"))
+    level = level.select("series_id", (F.aggregate("all", F.lit(0.0), lambda acc, x: acc + x["own"]) / F.size("all")).alias("level"))
     seasonal = means.join(level, "series_id").select("series_id", "place", (F.col("own") - F.col("level")).alias("seasonal"))
-    return rows.join(seasonal, ["series_id", "place"]).select("series_id", "idx", "y", "trend", "seasonal", (F.col("off") - F.col("seasonal")).alias("rest"))
+    return rows.join(seasonal, ["series_id", "place"]).select("series_id", "idx", "y", "trend", "seasonal", (F.col("y") - F.col("trend") - F.col("seasonal")).alias("rest"))

@@ -524,9 +524,15 @@ def dft_spectrum(spark, sf_dir):
     return spectral.dft(tables.hourly_count(spark, sf_dir), 60).withColumn("amplitude", F.round("amplitude", 4))
 
 
-@query()
+@query(
+    HOURLY
+    + """, c AS (SELECT series_id, count(*) AS n FROM h GROUP BY 1),
+k AS (SELECT series_id, n, unnest(range(greatest(1, n // 2))) AS k FROM c),
+x AS (SELECT series_id, k, sum(y * cos(2 * pi() * ((k * idx) % n) / n)) AS re, sum(y * sin(2 * pi() * ((k * idx) % n) / n)) AS im FROM h JOIN k USING (series_id) GROUP BY ALL)
+SELECT series_id, k, round(sqrt(re * re + im * im), 4) AS amplitude FROM x"""
+)
 def dft_half_spectrum(spark, sf_dir):
-    """The first half of all bins of each series."""
+    """The first half of all bins of each series, by a fast transform."""
     return spectral.dft(tables.hourly_count(spark, sf_dir)).withColumn("amplitude", F.round("amplitude", 4))
 
 
@@ -544,15 +550,28 @@ def periodogram_top(spark, sf_dir):
     return p.groupBy("series_id").agg(F.max_by("period", "power").alias("period"), F.max("power").alias("power"))
 
 
-@query()
+_LS_GRID = (
+    HOURLY
+    + """, b AS (SELECT series_id, min(idx) AS lo, max(idx) - min(idx) AS span, count(*) AS n FROM h GROUP BY 1 HAVING max(idx) > min(idx)),
+g AS (SELECT *, 1 / CAST(span AS DOUBLE) / 5 AS step FROM b),
+f AS (SELECT *, unnest(range(1 + CAST(round_even((5 * 0.5 * n / span - step / 2) / step, 0) AS BIGINT))) AS i FROM g),
+x AS (SELECT series_id, i, step / 2 + step * i AS freq, y, 2 * pi() * (((idx - lo) * (2 * i + 1)) % (10 * span)) / (10 * span) AS a FROM h JOIN f USING (series_id)),
+m AS (SELECT series_id, 1 / freq AS period, avg(y * y) - avg(y) * avg(y) AS yy, avg(y * cos(a)) - avg(y) * avg(cos(a)) AS yc, avg(y * sin(a)) - avg(y) * avg(sin(a)) AS ys, avg(cos(a) * cos(a)) - avg(cos(a)) * avg(cos(a)) AS cc, avg(sin(a) * sin(a)) - avg(sin(a)) * avg(sin(a)) AS ss, avg(cos(a) * sin(a)) - avg(cos(a)) * avg(sin(a)) AS cs FROM x GROUP BY series_id, i, freq),
+p AS (SELECT series_id, period, CASE WHEN cc * ss - cs * cs > 1e-9 THEN (ss * yc * yc + cc * ys * ys - 2 * cs * yc * ys) / nullif(yy * (cc * ss - cs * cs), 0) END AS power FROM m)"""
+)
+
+
+@query(_LS_GRID + f" SELECT series_id, {_r('period', 'power')} FROM p")
 def lomb_scargle_grid(spark, sf_dir):
-    """The periodogram over the whole frequency grid of each series."""
+    """The periodogram over the whole frequency grid of each series, by fast transforms."""
     return spectral.lomb_scargle(tables.hourly_count(spark, sf_dir))
 
 
-@query()
+@query(_LS_GRID + ", t AS (SELECT series_id, round(power, 8) AS power, max(period) AS period FROM p WHERE power IS NOT NULL GROUP BY ALL) SELECT series_id, round(arg_max(period, power), 6) AS period, round(max(power), 6) AS power FROM t GROUP BY 1")
 def periodogram_grid_top(spark, sf_dir):
-    p = spectral.lomb_scargle(tables.hourly_count(spark, sf_dir)).where("power is not null")
+    """The period of the largest power; the longest one of equal powers (8 places), as each has its mirror images beyond half of the sampling rate."""
+    p = spectral.lomb_scargle(tables.hourly_count(spark, sf_dir)).where("power is not null").withColumn("power", F.round("power", 8))
+    p = p.groupBy("series_id", "power").agg(F.max("period").alias("period"))
     return p.groupBy("series_id").agg(F.max_by("period", "power").alias("period"), F.max("power").alias("power"))
 
 

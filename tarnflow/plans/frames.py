@@ -413,9 +413,14 @@ def mann_whitney_unrounded(spark, sf_dir):
     return out.select("g", F.round("z", 5).alias("z"))
 
 
-@query(HOURLY + """, m AS (SELECT series_id, idx, y, CASE WHEN count(y) OVER a = 24 AND count(y) OVER b = 24 THEN (avg(y) OVER a + avg(y) OVER b) / 2 END AS trend FROM h WINDOW a AS (PARTITION BY series_id ORDER BY idx ROWS BETWEEN 12 PRECEDING AND 11 FOLLOWING), b AS (PARTITION BY series_id ORDER BY idx ROWS BETWEEN 11 PRECEDING AND 12 FOLLOWING)),
-o AS (SELECT series_id, idx % 24 AS place, avg(y - trend) AS own FROM m GROUP BY ALL), s AS (SELECT series_id, place, own - avg(own) OVER (PARTITION BY series_id) AS seasonal FROM o)
-SELECT m.series_id, idx, y, round(trend, 6) AS trend, round(seasonal, 6) AS seasonal, round(y - trend - seasonal, 6) AS rest FROM m JOIN s ON s.series_id = m.series_id AND s.place = m.idx % 24""")
+@query(
+    HOURLY
+    + """, m AS (SELECT series_id, idx, y, CASE WHEN count(y) OVER a = 24 AND count(y) OVER b = 24 THEN sum(y) OVER a + sum(y) OVER b END AS held FROM h WINDOW a AS (PARTITION BY series_id ORDER BY idx ROWS BETWEEN 12 PRECEDING AND 11 FOLLOWING), b AS (PARTITION BY series_id ORDER BY idx ROWS BETWEEN 11 PRECEDING AND 12 FOLLOWING)),
+o AS (SELECT series_id, idx % 24 AS place, sum(y * 48 - held) / (48 * count(held)) AS own FROM m GROUP BY ALL),
+l AS (SELECT series_id, list_reduce(list(own ORDER BY place), lambda a, b: a + b) / count(*) AS level FROM o WHERE own IS NOT NULL GROUP BY 1),
+s AS (SELECT series_id, place, own - level AS seasonal FROM o JOIN l USING (series_id))
+SELECT m.series_id, idx, y, round(held / 48, 6) AS trend, round(seasonal, 6) AS seasonal, round(y - held / 48 - seasonal, 6) AS rest FROM m JOIN s ON s.series_id = m.series_id AND s.place = m.idx % 24"""
+)
 def seasonal_decomposition(spark, sf_dir):
     return stationarity.decompose(tables.hourly_count(spark, sf_dir))
 

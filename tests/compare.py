@@ -17,7 +17,7 @@ def tables(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def _key(row: tuple) -> tuple:
-    return tuple("" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v) for v in row)
+    return tuple("" if v is None else f"{v:.6f}" if isinstance(v, float) else str(v) for v in row)
 
 
 def same(spark_rows: list, columns: list[str], sql: str, db: duckdb.DuckDBPyConnection) -> str:
