@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tarnflow.operators import baselines, evaluation, metrics, models, series, stationarity
+from tarnflow.operators import baselines, boosting, evaluation, metrics, models, series, stationarity
 from tarnflow.plans.catalog import _SKILL, _W, HOURLY, _split, query
 from tarnflow.session import checkpoints
 from tarnflow.sources import tables
@@ -68,6 +68,19 @@ def _boosted(config: str, name: str) -> None:
 _boosted("deep", "gbt_recursive")
 _boosted("leaves31", "gbt_recursive_leaves31")
 
+
+@query()
+def forecast_boosted(spark, sf_dir):
+    """A model of 600 trees of depth 6 for each series, over all its test hours."""
+    return boosting.forecast(series.split(tables.hourly_share(spark, sf_dir)), "deep")
+
+
+@query()
+def forecast_boosted_leaves31(spark, sf_dir):
+    """A model of 600 trees of 31 leaves for each series, over all its test hours."""
+    return boosting.forecast(series.split(tables.hourly_share(spark, sf_dir)), "leaves31")
+
+
 FITTED = ("ar", "ets", "sarima", "prophet_like", "dlinear", "detected_naive")
 
 
