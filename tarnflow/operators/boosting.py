@@ -174,4 +174,7 @@ def forecast(df: DataFrame, config: str = "deep", trees: int = 600, rate: float
         return out.assign(y_hat=seen[n:], lower=np.clip(seen[n:] - band, low, high), upper=np.clip(seen[n:] + band, low, high), status="ok")
 
     rows = series.calendar_features(df.select("series_id", "t", "idx", "y", "train")).drop("t")
+    # few bytes and much work: a stated number keeps small partitions from being put together into one task
+    spark = df.sparkSession
+    rows = rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "series_id")
     return rows.groupBy("series_id").applyInPandas(run, "series_id string, idx bigint, y double, y_hat double, lower double, upper double, status string")

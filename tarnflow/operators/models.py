@@ -440,25 +440,45 @@ def ar_one_step(df: DataFrame, order: int = 24) -> DataFrame:
     return df.select("series_id", "idx", "y", "train").groupBy("series_id").applyInPandas(run, "series_id string, idx bigint, y double, y_hat double")
 
 
+#: Coefficients that an MA(1) is chosen from.
+MA_GRID = np.arange(-99, 100) / 100
+
+
+def _ma1(d: np.ndarray, cut: int) -> tuple[np.ndarray, np.ndarray]:
+    """Predictions of all differences by each coefficient, and the sums of squared errors of those before `cut`."""
+    e, sums, states = np.zeros(len(MA_GRID)), np.zeros(len(MA_GRID)), np.empty((len(d), len(MA_GRID)))
+    for t, v in enumerate(d):
+        states[t] = MA_GRID * e
+        e = v - states[t]
+        if t < cut:
+            sums += e * e
+    return states, sums
+
+
+def ma1_coefficients(df: DataFrame, test: int = 10) -> DataFrame:
+    """(series_id, theta): the coefficient that rolling_ma1() goes by; series that are too short for a fit are left out."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        d = np.diff(pdf.sort_values("idx")["y"].to_numpy(float))
+        own = pdf[["series_id"]].iloc[: int(len(d) - test > 2)]
+        return own.assign(theta=float(MA_GRID[_ma1(d, len(d) - test)[1].argmin()]))
+
+    return df.select("series_id", "idx", "y").groupBy("series_id").applyInPandas(run, "series_id string, theta double")
+
+
 def rolling_ma1(df: DataFrame, test: int = 10) -> DataFrame:
     """One-step predictions of first differences by an MA(1) without intercept, fitted on all but the last `test` rows, whose state takes in each new value without a refit.
 
     The coefficient is that of the least squared errors among -0.99, -0.98, ... 0.99, the smallest on ties. Returns
     (series_id, idx, y, train, d, d_hat): d is the difference from the row before, d_hat its prediction. Undifference with series.undifference().
     """
-    grid = np.arange(-99, 100) / 100
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("idx")
         y = pdf["y"].to_numpy(float)
         d = np.diff(y)
         cut = len(d) - test
-        e, sums, states = np.zeros(len(grid)), np.zeros(len(grid)), np.empty((len(d), len(grid)))
-        for t, v in enumerate(d):
-            states[t] = grid * e
-            e = v - states[t]
-            if t < cut:
-                sums += e * e
+        states, sums = _ma1(d, cut)
         hat = states[:, sums.argmin()] if cut > 2 else np.full(len(d), np.nan)
         return pd.DataFrame({"series_id": pdf["series_id"].iloc[1:], "idx": pdf["idx"].iloc[1:], "y": y[1:], "train": np.arange(len(d)) < cut, "d": d, "d_hat": hat})
 

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from tarnflow.operators import baselines, boosting, evaluation, metrics, models, series, stationarity
 from tarnflow.plans.catalog import _SKILL, _W, HOURLY, _split, query
-from tarnflow.session import checkpoints
+from tarnflow.session import checkpoints, saved, shared_folder
 from tarnflow.sources import tables
+from tarnflow.streaming import rolling
 
 
 @query()
@@ -145,6 +146,22 @@ def rolling_ma1_metrics(spark, sf_dir):
     return metrics.sales_metrics(fit.where(~F.col("train") & F.col("y_hat").isNotNull()), ["series_id"])
 
 
+@query()
+def streamed_ma1(spark, sf_dir):
+    """The same predictions by a stateful stream that reads the days' sales from files and appends to files; the last day waits for the watermark. (series_id, idx, y, d, d_hat, y_hat)"""
+    rows = tables.daily_sales(spark, sf_dir).select(F.col("category").alias("series_id"), "d", F.col("sales").cast("double").alias("y"))
+    rows = saved(series.indexed(rows, time="d"), "sales")
+    coefficients = saved(models.ma1_coefficients(rows), "coefficients")
+    source, out, kept = (shared_folder(spark, name) for name in ("source", "predictions", "state"))
+    feed = rows.select("series_id", F.timestamp_seconds((F.col("idx") + 1) * 86_400).alias("at"), "y")
+    feed.write.parquet(source)
+    stream = spark.readStream.schema(feed.schema).parquet(source)
+    with rolling.state_store(spark):
+        run = rolling.rolling_predictions(stream, coefficients).writeStream.format("parquet").option("path", out).option("checkpointLocation", kept).outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(rolling.OUT).parquet(out).select("series_id", (F.floor(F.unix_seconds("at") / 86_400) - 1).alias("idx"), "y", "d", "d_hat", "y_hat")
+
+
 def _errors(df, name: str):
     return metrics.error(models.forecast(df, name).where("y_hat is not null"), ["series_id"]).withColumn("model", F.lit(name))
 
