@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,9 +16,10 @@ from tarnflow.llm.shared import components, give_back, heavy, labelled, salted,
 SAMPLE, LIST, COARSE = 16_384, 1_500, 1_024
 #: Subspaces, codes of each, rounds of k-means.
 SUBSPACES, CODES, ROUNDS = 8, 256, 8
-#: Probed are the lists of the nearest borders, so many at most, and of these the ones whose border is within so much of a link's distance.
-#: With 8 of 32 to 1,024 lists, 0.997 and more of links of cosine 0.95 to 0.99 were found, in 16 to 384 dimensions.
-PROBES, REACH = 10, 0.55
+#: Probed are the lists of the nearest borders, of these the ones whose border is within so much of a link's distance (the plane between two linked vectors is within half of it of one of them).
+#: So many at most on one level, and so many more for each doubling of the lists beyond COARSE: of links of cosine 0.951 in 64 and 384 dimensions, 0.995 were found
+#: with 1,024 lists and 10 probes, 0.993 with 8,000 and 20, 0.983 and more with 100,000 and 40 (0.9 with 10).
+PROBES, MORE_PROBES, REACH = 10, 5, 0.55
 #: Vectors of a block of a list, and queries that meet it in one task; queries in one table look-up; vectors encoded and pairs compared exactly at once.
 BLOCK, QUERIES, STEP, ENCODED, PAIRS = 2_048, 4_096, 256, 1_024, 16_384
 
@@ -57,10 +59,12 @@ def units(column: pd.Series) -> np.ndarray:
 class Index:
     """Coarse centroids, below them the same finer centroids of what is left (if more lists are wanted than COARSE), and codebooks of residuals.
 
-    Fitted on a bounded sample of unit vectors; the number of lists grows with the table.
+    Fitted on a bounded sample of unit vectors; the number of lists grows with the table, and the number of probes with that of
+    the lists (`probes`: a number instead; None: every list within REACH, so that no link is missed).
     """
 
-    def __init__(self, sample: np.ndarray, lists: int, coarse: int = COARSE):
+    def __init__(self, sample: np.ndarray, lists: int, coarse: int = COARSE, probes: int | str | None = "auto"):
+        self.most = PROBES + math.ceil(MORE_PROBES * math.log2(max(1, lists / coarse))) if probes == "auto" else probes
         self.coarse = kmeans(sample, min(lists, coarse))
         rest = sample - self.coarse[nearest(sample, self.coarse)[0]]
         self.fine = kmeans(rest, -(-lists // coarse)) if lists > coarse else np.zeros((1, sample.shape[1]))
@@ -76,7 +80,7 @@ class Index:
         """The list of each vector, and the lists to probe for links within a distance, its own first."""
         rows = np.arange(len(x))
         home, plane = borders(x, self.coarse, self.gaps)
-        few = min(PROBES, len(self.coarse))
+        few = min(self.most or len(self.coarse), len(self.coarse))
         best = np.argpartition(plane, few - 1, axis=1)[:, :few]
         i, j, far = np.repeat(rows, few), best.ravel(), np.take_along_axis(plane, best, axis=1).ravel()
         near = far <= REACH * link
@@ -87,7 +91,7 @@ class Index:
             first = np.zeros(len(x), np.int64)
             first[i[mine]] = own[mine]
             home = home * len(self.fine) + first
-            few = min(PROBES, len(self.fine))
+            few = min(self.most or len(self.fine), len(self.fine))
             best = np.argpartition(plane, few - 1, axis=1)[:, :few]
             far = np.maximum(far[:, None], np.take_along_axis(plane, best, axis=1)).ravel()
             i, j = np.repeat(i, few), (j[:, None] * len(self.fine) + best).ravel()
@@ -96,7 +100,7 @@ class Index:
         far = np.where(j == home[i], -1.0, far)
         order = np.lexsort((far, i))
         cut = np.searchsorted(i[order], np.arange(len(x) + 1))
-        return home, [j[order[a : min(b, a + PROBES)]].tolist() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        return home, [j[order[a : min(b, a + (self.most or b))]].tolist() for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
     def encode(self, x: np.ndarray, link: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[int]]]:
         """List, codes, length of what the codes miss, and the lists to probe."""
@@ -112,11 +116,11 @@ class Index:
         return [nearest(rest[:, p], b)[1].astype(np.float32) for p, b in zip(self.parts, self.books, strict=True)]
 
 
-def near_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding", list_size: int = LIST, coarse: int = COARSE) -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding", list_size: int = LIST, coarse: int = COARSE, probes: int | str | None = "auto") -> DataFrame:
     """Vectors linked by a cosine of at least `cosine`, in double precision.
 
     Equal vectors are one class from the start. Each class has a coarse list, of about `list_size` vectors at any size of the table,
-    and codes of its residual. It probes its own list and those of the nearest borders, PROBES at most; table look-ups bound each distance from below, and what stays within
+    and codes of its residual. It probes its own list and those of the nearest borders, so many at most as `probes` says (see Index; None is exact); table look-ups bound each distance from below, and what stays within
     the bound is compared exactly. So a link can be missed only if neither
     vector probes the other's list. Lists and their queries are cut into
     blocks, and a task returns counts, and no more links than connect its vectors.
@@ -141,7 +145,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id
     drawn = classes.where(unit("cls", seed=6) < min(1.0, SAMPLE / count)).select("vec").limit(2 * SAMPLE).toPandas()
     if drawn.empty:
         drawn = classes.select("vec").limit(1).toPandas()
-    index = Index(units(drawn["vec"]), -(-count // list_size), min(coarse, len(drawn)))
+    index = Index(units(drawn["vec"]), -(-count // list_size), min(coarse, len(drawn)), probes)
     link = float(np.sqrt(2 - 2 * cosine))
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
