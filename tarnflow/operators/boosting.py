@@ -55,13 +55,15 @@ def cuts_of(x: np.ndarray, bins: int) -> list[np.ndarray]:
     return out
 
 
-def _best(binned: np.ndarray, wide: int, g: np.ndarray, rows: np.ndarray, shape: Shape) -> tuple[float, int, int] | None:
-    """(gain, column, bin) of the best split of some rows, from histograms of all columns at once; the first on ties."""
-    many = binned.shape[1]
-    at = (binned[rows] + np.arange(many) * wide).ravel()
+def _best(placed: np.ndarray, wide: int, g: np.ndarray, rows: np.ndarray, shape: Shape) -> tuple[float, int, int] | None:
+    """(gain, column, bin) of the best split of some rows, from histograms of all columns at once; the first on ties. placed: bins, each column's after those of the one before."""
+    all_n, many = len(rows), placed.shape[1]
+    if all_n < 2 * shape.least:
+        return None
+    at, own = placed[rows].ravel(), g[rows]
     n = np.bincount(at, minlength=many * wide).reshape(many, wide).cumsum(axis=1)[:, :-1]
-    s = np.bincount(at, np.repeat(g[rows], many), many * wide).reshape(many, wide).cumsum(axis=1)[:, :-1]
-    all_n, all_s = len(rows), g[rows].sum()
+    s = np.bincount(at, np.repeat(own, many), many * wide).reshape(many, wide).cumsum(axis=1)[:, :-1]
+    all_s = own.sum()
     fits = (n >= shape.least) & (all_n - n >= shape.least)
     with np.errstate(divide="ignore", invalid="ignore"):
         gain = s * s / (n + shape.penalty) + (all_s - s) ** 2 / (all_n - n + shape.penalty) - all_s**2 / (all_n + shape.penalty)
@@ -77,13 +79,14 @@ def grow(x: np.ndarray, cuts: list[np.ndarray], g: np.ndarray, rows: np.ndarray,
     """One tree for gradients g (second derivatives are 1): leaves are split in order of what they gain."""
     wide = max((len(cuts[c]) for c in columns), default=0) + 1
     binned = np.stack([np.searchsorted(cuts[c], x[:, c], side="left") for c in columns], axis=1)
+    placed = binned + np.arange(len(columns)) * wide
     nodes: list[list] = []
     waiting: list[tuple] = []
 
     def add(own: np.ndarray, depth: int) -> int:
         k = len(nodes)
         nodes.append([-1, 0.0, k, k, -g[own].sum() / (len(own) + shape.penalty)])
-        found = _best(binned, wide, g, own, shape) if shape.depth is None or depth < shape.depth else None
+        found = _best(placed, wide, g, own, shape) if shape.depth is None or depth < shape.depth else None
         if found:
             heapq.heappush(waiting, (-found[0], k, found[1], found[2], own, depth))
         return k
@@ -176,5 +179,5 @@ def forecast(df: DataFrame, config: str = "deep", trees: int = 600, rate: float
     rows = series.calendar_features(df.select("series_id", "t", "idx", "y", "train")).drop("t")
     # few bytes and much work: a stated number keeps small partitions from being put together into one task
     spark = df.sparkSession
-    rows = rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "series_id")
+    rows = rows.repartition(4 * max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "series_id")
     return rows.groupBy("series_id").applyInPandas(run, "series_id string, idx bigint, y double, y_hat double, lower double, upper double, status string")
