@@ -124,7 +124,7 @@ def candidates(points: DataFrame, sites: DataFrame, k: int, cap: int = CAP, tile
         return _dealt(points.select("*", *here), points.groupBy("t").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks")).select("*", *here), sites.select("*", *here))
 
     tree = Tree(sites, cap, tile)
-    tiled = tree.descended(tree.placed(points), "tile").withColumnsRenamed({"s": "ts", "cx": "tx", "cy": "ty"})
+    tiled = saved(tree.descended(tree.placed(points), "tile").withColumnsRenamed({"s": "ts", "cx": "tx", "cy": "ty"}), "tiled")
     tiles = tiled.groupBy(*TILE_KEY).agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"), *(c.alias(f"p{n}") for c, n in zip(_bounds(), ("e0", "e1", "n0", "n1"), strict=True)))
     tiles = saved(tiles, "tiles")
 
@@ -137,7 +137,7 @@ def candidates(points: DataFrame, sites: DataFrame, k: int, cap: int = CAP, tile
         opened = frontier.join(_few(below, count), ["t", "s", "cx", "cy"], "left").withColumn("cell", F.explode(F.coalesce("below", F.array(F.struct(*CELL)))))
         frontier = _pruned(opened.select(*TILE_KEY, *(f"p{c}" for c in ("e0", "e1", "n0", "n1")), "cell.*"), k)
 
-    leaves = tree.descended(tree.rows, "cap")
+    frontier, leaves = saved(frontier, "frontier"), saved(tree.descended(tree.rows, "cap"), "leaves")
     if tree.crowded():
         for key in (["t", "e", "n", F.pmod(F.xxhash64("zsid"), F.lit(64))], ["t", "e", "n"]):
             leaves = leaves.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy("zsid"))).where(F.col("rank") <= k).drop("rank")
