@@ -1,7 +1,8 @@
-"""Forecast models that iterate: small NumPy fits in grouped maps. Every candidate of a grid is a task of its own, for all series at once."""
+"""Forecast models that iterate: small NumPy fits in grouped maps. Grids are made once a series (and origin); each of their candidates is a group of its own, for all series at once."""
 
 from __future__ import annotations
 
+from ast import literal_eval
 from collections.abc import Callable, Iterable
 from itertools import product
 
@@ -10,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnflow.operators import arma
 from tarnflow.operators.stationarity import adf_p, periods_of, ridge
 
 FORECAST = "series_id string, idx bigint, y double, y_hat double, lower double, upper double, status string"
@@ -53,11 +55,6 @@ def _spread(a: np.ndarray, m: np.ndarray, horizon: int) -> np.ndarray:
 # seasonal ARIMA
 
 
-def _lags(own: int, seasonal: int, s: int) -> list[int]:
-    """Lags of a seasonal polynomial times a plain one, but 0."""
-    return sorted({i + s * j for i in range(own + 1) for j in range(seasonal + 1)} - {0})
-
-
 def differencing(y: np.ndarray, s: int, most_d: int = 2, most_seasonal: int = 1) -> tuple[int, int]:
     """Smallest d and D at which the lag-d and lag-D*s differences have no unit root (ADF p < 0.05), or the most."""
     plain = next((d for d in range(most_d + 1) if adf_p(y[d:] - y[:-d] if d else y) < 0.05), most_d)
@@ -65,68 +62,45 @@ def differencing(y: np.ndarray, s: int, most_d: int = 2, most_seasonal: int = 1)
     return plain, seasonal
 
 
-def sarima(y: np.ndarray, horizon: int, order: tuple[int, int, int] = (1, 0, 1), seasonal: tuple[int, int, int, int] = (0, 0, 0, 1), reserve: int | None = None) -> Fit:
-    """Seasonal ARIMA by Hannan and Rissanen's two regressions, with a coefficient for each lag of the multiplied polynomials, scored by AIC; band from the responses to one error.
-
-    `reserve` rows are left out before the second regression, so that candidates of a grid are scored on the same rows.
-    """
+def sarima(y: np.ndarray, horizon: int, order: tuple[int, int, int] = (1, 0, 1), seasonal: tuple[int, int, int, int] = (0, 0, 0, 1)) -> Fit:
+    """Seasonal ARIMA by the exact likelihood of the differenced values (without their mean, if differenced at most once), scored by AIC; band from the responses to one error."""
     (p, d, q), (sp, sd, sq, s) = order, seasonal
     poly = np.array([1.0])
     for _ in range(d):
         poly = np.convolve(poly, [1, -1])
     for _ in range(sd):
         poly = np.convolve(poly, [1, *[0] * (s - 1), -1])
-    x = np.convolve(y, poly, mode="valid")
-    own_a, own_m = _lags(p, sp, s), _lags(q, sq, s)
-    long = max(20, *own_a, *own_m, 0) if own_a or own_m else 20
-    if len(x) < 2 * long + 20:
+    if len(y) < len(poly) + max(p + s * sp, q + s * sq) + 20:
         raise ValueError("too few values for these lags")
+    x = np.convolve(y, poly, mode="valid")
     mu = x.mean() if d + sd < 2 else 0.0
-    x = x - mu
-    rows = np.lib.stride_tricks.sliding_window_view(x, long + 1)
-    e = np.concatenate([np.zeros(long), rows[:, -1] - rows[:, :-1] @ ridge(rows[:, :-1], rows[:, -1])])
-    at = max(long + max([*own_m, 0]), long, reserve or 0)
-    cols = [x[at - i : len(x) - i] for i in own_a] + [e[at - i : len(e) - i] for i in own_m]
-    n = len(x) - at
-    if n < len(cols) + 10:
-        raise ValueError("too few values for these lags")
-    z = np.column_stack(cols) if cols else np.zeros((n, 0))
-    b = ridge(z, x[at:]) if cols else np.zeros(0)
-    a, m = np.zeros(max([*own_a, 0])), np.zeros(max([*own_m, 0]))
-    for i, v in zip(own_a, b, strict=False):
-        a[i - 1] = v
-    for i, v in zip(own_m, b[len(own_a) :], strict=True):
-        m[i - 1] = v
-    res = x[at:] - z @ b
-    var = max(float(res @ res / n), 1e-300)
-    for t in range(at, len(x)):
-        e[t] = res[t - at]
-    xs, es, full, roots = list(x), list(e), list(y), -poly[1:]
+    u, score = arma.fit(x - mu, p, q, sp, sq, s)
+    if not np.isfinite(score):
+        raise ValueError("no finite likelihood")
+    ar, ma = arma.polynomials(u[None], p, q, sp, sq, s)
+    _, var, state, phi = arma.kalman(x - mu, ar, ma)
+    full, z = list(y), state[0]
     for _ in range(horizon):
-        v = sum(c * xs[-1 - i] for i, c in enumerate(a) if c) + sum(c * es[-1 - i] for i, c in enumerate(m) if c)
-        xs.append(v)
-        es.append(0.0)
-        full.append(v + mu + sum(c * full[-1 - i] for i, c in enumerate(roots) if c))
-    whole = np.convolve(np.concatenate([[1.0], -a]), poly)
-    dev = _spread(-whole[1:], m, horizon) * np.sqrt(var)
+        full.append(z[0] + mu - sum(c * full[-1 - i] for i, c in enumerate(poly[1:]) if c))
+        z = phi[0] * z[0] + np.append(z[1:], 0.0)
+    dev = _spread(-np.convolve(ar[0], poly)[1:], ma[0, 1:], horizon) * np.sqrt(var[0])
     hat = np.array(full[len(y) :])
-    return hat, hat - Z * dev, hat + Z * dev, float(n * np.log(var) + 2 * (len(b) + 1))
+    return hat, hat - Z * dev, hat + Z * dev, score + 2 * (len(u) + 1)
 
 
 def sarima_grid(y: np.ndarray, most: int = 2, most_seasonal: int = 1, longest: int = 365) -> list[dict]:
     """Candidates: period detected, d and D by ADF, p and q to `most`, P and Q to `most_seasonal`."""
-    s = next(iter(periods_of(y, longest)), 1)
+    s = int(next(iter(periods_of(y, longest)), 1))
     s = s if 1 < s <= len(y) // 4 else 1
     d, seasonal_d = differencing(y, s)
     grid = product(range(most + 1), range(most + 1), range(most_seasonal + 1) if s > 1 else (0,), range(most_seasonal + 1) if s > 1 else (0,))
-    reserve = 2 * (max(20, most + most_seasonal * s))
-    return [{"order": (p, d, q), "seasonal": (sp, seasonal_d, sq, s), "reserve": reserve} for p, q, sp, sq in grid]
+    return [{"order": (p, d, q), "seasonal": (sp, seasonal_d, sq, s)} for p, q, sp, sq in grid]
 
 
 def weekly_grid(y: np.ndarray) -> list[dict]:
     """Candidates with a season of 7."""
     d, seasonal_d = differencing(y, 7)
-    return [{"order": (p, d, q), "seasonal": (sp, seasonal_d, sq, 7), "reserve": 54} for p, q, sp, sq in product(range(3), range(3), range(2), range(2))]
+    return [{"order": (p, d, q), "seasonal": (sp, seasonal_d, sq, 7)} for p, q, sp, sq in product(range(3), range(3), range(2), range(2))]
 
 
 # exponential smoothing
@@ -226,7 +200,7 @@ def ets(y: np.ndarray, horizon: int, form: tuple = ("add", "add", "add", True),
 
 
 def ets_grid(y: np.ndarray) -> list[dict]:
-    s = next(iter(periods_of(y, 365)), 1)
+    s = int(next(iter(periods_of(y, 365)), 1))
     s = s if 1 < s <= len(y) // 3 else 24 if len(y) >= 72 else 1
     return [{"form": f, "s": s} for f in ets_forms(bool((y > 0).all())) if f[2] is None or s > 1]
 
@@ -260,7 +234,7 @@ def fourier(y: np.ndarray, horizon: int, trend_prior: float = 0.1, season_prior:
 
 
 def fourier_grid(y: np.ndarray) -> list[dict]:
-    periods = tuple(periods_of(y, min(365, len(y) // 2)))
+    periods = tuple(int(p) for p in periods_of(y, min(365, len(y) // 2)))
     return [{"trend_prior": a, "season_prior": b, "periods": periods} for a, b in product((0.01, 0.1, 0.5), (1.0, 10.0))]
 
 
@@ -333,93 +307,105 @@ def _of(model: str) -> tuple[Callable[..., Fit], Callable[[np.ndarray], list[dic
     return MODELS[model]
 
 
-def grid_size(model: str) -> int:
-    """Candidates of a model at most."""
-    positive, mixed = np.abs(np.sin(np.arange(480) * 2 * np.pi / 24)) + 1 + np.arange(480) % 3, np.sin(np.arange(480) * 2 * np.pi / 24)
-    return max(len(_of(model)[1](y)) for y in (positive, mixed))
-
-
-def candidate_score(model: str, y: np.ndarray, ordinal: int, horizon: int) -> tuple[str, float]:
-    """A candidate and its score: that of the fit, or the root of the mean squared error on the last fifth."""
-    fit, grid, holdout = _of(model)
-    own = grid(y)[ordinal]
+def candidate_score(model: str, y: np.ndarray, own: dict) -> float:
+    """Score of a candidate of the model's grid: that of the fit, or the root of the mean squared error on the last fifth."""
+    fit, _, holdout = _of(model)
     if not holdout:
-        return repr(own), fit(y, 1, **own)[3]
+        return fit(y, 1, **own)[3]
     cut = round(0.8 * len(y))
     hat = fit(y[:cut], len(y) - cut, **own)[0]
-    return repr(own), float(np.sqrt(np.mean(np.square(y[cut:] - hat))))
+    return float(np.sqrt(np.mean(np.square(y[cut:] - hat))))
+
+
+def _types(df: DataFrame, by: list[str]) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema if f.name in by)
 
 
-def grid_search(df: DataFrame, model: str, horizon: int = 24) -> DataFrame:
-    """Every candidate of a model's grid on each series' train rows: (series_id, ordinal, params, score, status), a task for each. Expects series.split(); a failed fit has a null score and says why."""
-    ordinal = F.explode(F.sequence(F.lit(0), F.lit(grid_size(model) - 1))).alias("ordinal")
-    rows = df.where("train").select("series_id", "idx", "y", ordinal)
+def candidates(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Grids of the series in (by, model, idx, y), made once each: (by, model, ordinal, params); null params where no grid can be made."""
+    keys = [*by, "model"]
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pdf.sort_values("idx")["y"].to_numpy(float)
         try:
-            out = (*candidate_score(model, y, int(key[1]), horizon), "ok")
-        except IndexError:  # this series has a smaller grid
-            return pd.DataFrame(columns=["series_id", "ordinal", "params", "score", "status"], dtype=object)
+            grid = [repr(own) for own in _of(key[-1])[1](pdf.sort_values("idx")["y"].to_numpy(float))]
+        except (ValueError, np.linalg.LinAlgError):
+            grid = [None]
+        return pd.DataFrame([(*key, i, own) for i, own in enumerate(grid)], columns=[*keys, "ordinal", "params"])
+
+    rows = rows.select(*keys, "idx", "y")
+    return rows.groupBy(*keys).applyInPandas(run, f"{_types(rows, keys)}, ordinal int, params string")
+
+
+def searched(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Every candidate of every series and model in (by, model, idx, y) with its score, a group for each: (by, model, ordinal, params, score, status). A failed fit has a null score and says why."""
+    keys = [*by, "model", "ordinal", "params"]
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        score, status = None, "no grid"
+        try:
+            if key[-1] is not None:
+                score, status = candidate_score(key[-3], pdf.sort_values("idx")["y"].to_numpy(float), literal_eval(key[-1])), "ok"
         except (ValueError, np.linalg.LinAlgError) as e:
-            out = (None, None, str(e))
-        return pd.DataFrame([(key[0], int(key[1]), *out)], columns=["series_id", "ordinal", "params", "score", "status"])
+            status = str(e)
+        return pd.DataFrame([(*key, score, status)], columns=[*keys, "score", "status"])
 
-    return rows.groupBy("series_id", "ordinal").applyInPandas(run, "series_id string, ordinal int, params string, score double, status string")
+    rows = rows.select(*by, "model", "idx", "y").join(candidates(rows, by), [*by, "model"])
+    return rows.groupBy(*keys).applyInPandas(run, f"{_types(rows, keys)}, score double, status string")
 
 
-def best_candidates(grid: DataFrame) -> DataFrame:
-    """The first of the smallest score of each series: (series_id, ordinal); none where every fit failed."""
-    return grid.where("score is not null").groupBy("series_id").agg(F.min_by("ordinal", F.struct("score", "ordinal")).alias("ordinal"))
+def grid_search(df: DataFrame, model: str) -> DataFrame:
+    """Every candidate of a model's grid on each series' train rows: (series_id, model, ordinal, params, score, status). Expects series.split()."""
+    return searched(df.where("train").withColumn("model", F.lit(model)), ["series_id"])
+
+
+def best_candidates(grid: DataFrame, by: list[str]) -> DataFrame:
+    """The first of the smallest score of each series: (by, ordinal, params, reason); where every fit failed they are null, and the reason is one of the failures'."""
+    first = [F.expr(f"min_by({c}, struct(score, ordinal)) FILTER (WHERE score IS NOT NULL)").alias(c) for c in ("ordinal", "params")]
+    return grid.groupBy(*by).agg(*first, F.min(F.expr("CASE WHEN score IS NULL THEN status END")).alias("reason"))
+
+
+def _fitted(model: str, own: str | None, reason: str | None, y: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, str]:
+    """Forecast of n values and its band by the candidate, and its status; no numbers where there is none or its fit fails."""
+    none = np.full(n, np.nan)
+    if own is None:
+        return none, none, none, f"no candidate fits: {reason}"
+    try:
+        return *_of(model)[0](y, n, **literal_eval(own))[:3], "ok"
+    except (ValueError, np.linalg.LinAlgError) as e:
+        return none, none, none, str(e)
 
 
 def forecast(df: DataFrame, model: str) -> DataFrame:
     """Forecast of each series' test rows by the best candidate of the model's grid; expects series.split(). Where no candidate fits, rows have no forecast and a status that says so."""
-    fit, grid, _ = _of(model)
-    best = best_candidates(grid_search(df, model)) if grid_size(model) > 1 else df.select("series_id").distinct().withColumn("ordinal", F.lit(0))
+    best = best_candidates(grid_search(df, model), ["series_id"])
     rows = df.select("series_id", "idx", "y", "train").join(best, "series_id", "left")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("idx")
         train, test = pdf[pdf["train"]], pdf[~pdf["train"]]
-        y, n = train["y"].to_numpy(float), len(test)
-        out = {"y_hat": np.full(n, np.nan), "lower": np.full(n, np.nan), "upper": np.full(n, np.nan), "status": "no candidate fits"}
-        if n and not pd.isna(pdf["ordinal"].iloc[0]):
-            try:
-                hat, low, high, _ = fit(y, n, **grid(y)[int(pdf["ordinal"].iloc[0])])
-                out = {"y_hat": hat, "lower": low, "upper": high, "status": "ok"}
-            except (ValueError, np.linalg.LinAlgError) as e:
-                out["status"] = str(e)
-        return pd.DataFrame({"series_id": test["series_id"], "idx": test["idx"], "y": test["y"]}).assign(**out)
+        hat, low, high, status = _fitted(model, pdf["params"].iloc[0], pdf["reason"].iloc[0], train["y"].to_numpy(float), len(test))
+        return test[["series_id", "idx", "y"]].assign(y_hat=hat, lower=low, upper=high, status=status)
 
     done = rows.groupBy("series_id").applyInPandas(run, FORECAST)
     return done.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("y_hat", "lower", "upper")})
 
 
 def walk_forward(df: DataFrame, origins: DataFrame, models: tuple[str, ...], horizon: int = 24, truth: str = "y") -> DataFrame:
-    """Forecasts of fitted models at each origin, a task for each series, origin and model: (series_id, cutoff, model, idx, y, y_hat, status). A failed fit leaves one row that says why."""
+    """Forecasts of fitted models at each origin: (series_id, cutoff, model, idx, y, y_hat, status). Each candidate of each series, origin and model is a group; a failed fit leaves one row that says why."""
+    keys = ["series_id", "cutoff", "model"]
     each = origins.select("series_id", "cutoff").withColumn("model", F.explode(F.array(*map(F.lit, models))))
     rows = df.select("series_id", "idx", F.col("y").alias("seen"), F.col(truth).alias("y")).join(each, "series_id").where(F.expr(f"idx < cutoff + {horizon}"))
+    past = rows.where("idx < cutoff").select(*keys, "idx", F.col("seen").alias("y"))
+    rows = rows.join(best_candidates(searched(past, keys[:2]), keys), keys, "left")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("idx")
         past, test = pdf[pdf["idx"] < key[1]], pdf[pdf["idx"] >= key[1]]
-        y = past["seen"].to_numpy(float)
-        try:
-            fit, grid, _ = _of(key[2])
-            scores = []
-            own = grid(y)
-            for i in range(len(own)) if len(own) > 1 else ():
-                try:
-                    scores.append((candidate_score(key[2], y, i, horizon)[1], i))
-                except (ValueError, np.linalg.LinAlgError):
-                    continue
-            hat = fit(y, len(test), **own[min(scores)[1] if scores else 0])[0]
-            return pd.DataFrame({"series_id": key[0], "cutoff": key[1], "model": key[2], "idx": test["idx"], "y": test["y"], "y_hat": hat, "status": "ok"})
-        except (ValueError, np.linalg.LinAlgError) as e:
-            return pd.DataFrame([(key[0], key[1], key[2], None, None, None, str(e))], columns=["series_id", "cutoff", "model", "idx", "y", "y_hat", "status"])
+        hat, _, _, status = _fitted(key[2], pdf["params"].iloc[0], pdf["reason"].iloc[0], past["seen"].to_numpy(float), len(test))
+        out = pd.DataFrame({"series_id": key[0], "cutoff": key[1], "model": key[2], "idx": test["idx"].astype("Int64"), "y": test["y"], "y_hat": hat, "status": status})
+        return out if status == "ok" else out.iloc[:1].assign(idx=None, y=None, y_hat=None)
 
-    return rows.groupBy("series_id", "cutoff", "model").applyInPandas(run, "series_id string, cutoff bigint, model string, idx bigint, y double, y_hat double, status string")
+    return rows.groupBy(*keys).applyInPandas(run, "series_id string, cutoff bigint, model string, idx bigint, y double, y_hat double, status string")
 
 
 def ar_one_step(df: DataFrame, order: int = 24) -> DataFrame:

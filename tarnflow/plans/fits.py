@@ -47,7 +47,7 @@ def _grid(name: str) -> None:
     def run(spark, sf_dir):
         found = models.grid_search(_split(spark, sf_dir), name)
         place = F.row_number().over(evaluation.Window.partitionBy("series_id").orderBy(F.asc_nulls_last("score"), "ordinal"))
-        return found.withColumn("place", place).where("place <= 5")
+        return found.drop("model").withColumn("place", place).where("place <= 5")
 
     run.__name__ = f"grid_{name}"
     query()(run)

@@ -65,9 +65,9 @@ def test_models_follow_a_sine(name):
     y = wave(528)
     fit, grid, _ = models.MODELS[name]
     scores = []
-    for i, _ in enumerate(grid(y[:504])):
+    for i, own in enumerate(grid(y[:504])):
         try:
-            scores.append((models.candidate_score(name, y[:504], i, 24)[1], i))
+            scores.append((models.candidate_score(name, y[:504], own), i))
         except ValueError:
             continue
     hat, low, high, _ = fit(y[:504], 24, **grid(y[:504])[min(scores)[1]])
@@ -98,7 +98,7 @@ def test_grid_and_forecast(spark):
     df = series.split(frame(spark, {"a": wave(400), "b": wave(400, 1) - 9, "short": wave(9)}))
     grid = models.grid_search(df, "ets").toPandas()
     assert grid[grid["series_id"] == "a"].shape[0] == 30 and (grid[grid["series_id"] == "b"]["params"].dropna().str.contains("mul") == False).all()  # noqa: E712
-    best = {r.series_id: r.ordinal for r in models.best_candidates(models.grid_search(df, "ets")).collect()}
+    best = {r.series_id: r.ordinal for r in models.best_candidates(models.grid_search(df, "ets"), ["series_id"]).collect()}
     for k in ("a", "b"):
         own = grid[(grid["series_id"] == k) & grid["score"].notna()].sort_values(["score", "ordinal"])
         assert best[k] == own["ordinal"].iloc[0]
