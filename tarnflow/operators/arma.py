@@ -83,7 +83,7 @@ def kalman(x: np.ndarray, ar: np.ndarray, ma: np.ndarray) -> tuple[np.ndarray, n
             gain = gain + moved * (m * head)[:, None]
             m = m + m * m * head * head / old
             w = moved - gain * (head / f)[:, None]
-            moves = bool(t % 16 or (np.abs(m)[:, None] * w * w).max() > 1e-13)
+            moves = bool(t % 16 or (np.abs(m)[:, None] * w * w).max() > 1e-10)
     var = np.maximum(squares / len(x), 1e-300)
     return len(x) * (np.log(2 * np.pi * var) + 1) + logs, var, state, phi
 
@@ -142,8 +142,8 @@ SEASONAL_STARTS = (-0.5, 0.0, 0.5, 0.9, 0.97)
 SEARCHES = 2
 
 
-def fit(x: np.ndarray, p: int, q: int, sp: int, sq: int, s: int) -> tuple[np.ndarray, float]:
-    """Free numbers of the largest likelihood found, and -2 log likelihood there; never less likely than the regressions or the fit without a season.
+def fit(x: np.ndarray, p: int, q: int, sp: int, sq: int, s: int, gain: float = 1e-2) -> tuple[np.ndarray, float]:
+    """Free numbers of the largest likelihood found, and -2 log likelihood there; never less likely than the regressions or the fit without a season (which ends when a round gains under 0.2, others under `gain`).
 
     Starts: plain coefficients from the regressions (with a season: from the fit without one), or either kind of them 0, with seasonal ones from SEASONAL_STARTS.
     """
@@ -154,7 +154,7 @@ def fit(x: np.ndarray, p: int, q: int, sp: int, sq: int, s: int) -> tuple[np.nda
         return np.where(np.isfinite(out), out, np.inf)
 
     own = regressions(x, p, q, sp, sq, s)
-    plain = [own[[*range(p), *range(p + sp, p + sp + q)]]] if sp + sq == 0 else [fit(x, p, q, 0, 0, 1)[0]]
+    plain = [own[[*range(p), *range(p + sp, p + sp + q)]]] if sp + sq == 0 else [fit(x, p, q, 0, 0, 1, 0.2)[0]]
     for i, j in ((1, 0), (0, 1), (0, 0)):
         plain.append(plain[0] * ([i] * p + [j] * q))
     seasonal = np.arctanh(np.array(SEASONAL_STARTS))
@@ -163,4 +163,4 @@ def fit(x: np.ndarray, p: int, q: int, sp: int, sq: int, s: int) -> tuple[np.nda
         starts.append(np.concatenate([z[:p], c, z[p:], e]))
     starts = np.unique(np.stack(starts), axis=0)
     order = value(starts).argsort(kind="stable")[: 1 if sp + sq else SEARCHES]
-    return min((least(value, starts[i]) for i in order), key=lambda found: found[1])
+    return min((least(value, starts[i], gain=gain) for i in order), key=lambda found: found[1])

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tarnflow.operators import arma
 from tarnflow.operators.stationarity import adf_p, periods_of, ridge
+from tarnflow.session import spread
 
 FORECAST = "series_id string, idx bigint, y double, y_hat double, lower double, upper double, status string"
 Z = 1.96
@@ -350,7 +351,7 @@ def searched(rows: DataFrame, by: list[str]) -> DataFrame:
         return pd.DataFrame([(*key, score, status)], columns=[*keys, "score", "status"])
 
     rows = rows.select(*by, "model", "idx", "y").join(candidates(rows, by), [*by, "model"])
-    return rows.groupBy(*keys).applyInPandas(run, f"{_types(rows, keys)}, score double, status string")
+    return spread(rows, *keys).groupBy(*keys).applyInPandas(run, f"{_types(rows, keys)}, score double, status string")
 
 
 def grid_search(df: DataFrame, model: str) -> DataFrame:

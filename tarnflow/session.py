@@ -38,3 +38,9 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by keys to four tasks for each core or shuffle partition. For groups of few bytes and much work: a stated number keeps small partitions from being put together into one task."""
+    spark = df.sparkSession
+    return df.repartition(4 * max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
