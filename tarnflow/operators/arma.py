@@ -142,8 +142,8 @@ SEASONAL_STARTS = (-0.5, 0.0, 0.5, 0.9, 0.97)
 SEARCHES = 2
 
 
-def fit(x: np.ndarray, p: int, q: int, sp: int, sq: int, s: int, gain: float = 1e-2) -> tuple[np.ndarray, float]:
-    """Free numbers of the largest likelihood found, and -2 log likelihood there; never less likely than the regressions or the fit without a season (which ends when a round gains under 0.2, others under `gain`).
+def fit(x: np.ndarray, p: int, q: int, sp: int, sq: int, s: int, gain: float = 5e-3) -> tuple[np.ndarray, float]:
+    """Free numbers of the largest likelihood found, and -2 log likelihood there; never less likely than the regressions or the fit without a season.
 
     Starts: plain coefficients from the regressions (with a season: from the fit without one), or either kind of them 0, with seasonal ones from SEASONAL_STARTS.
     """
@@ -154,7 +154,7 @@ def fit(x: np.ndarray, p: int, q: int, sp: int, sq: int, s: int, gain: float = 1
         return np.where(np.isfinite(out), out, np.inf)
 
     own = regressions(x, p, q, sp, sq, s)
-    plain = [own[[*range(p), *range(p + sp, p + sp + q)]]] if sp + sq == 0 else [fit(x, p, q, 0, 0, 1, 0.2)[0]]
+    plain = [own[[*range(p), *range(p + sp, p + sp + q)]]] if sp + sq == 0 else [fit(x, p, q, 0, 0, 1, gain)[0]]
     for i, j in ((1, 0), (0, 1), (0, 0)):
         plain.append(plain[0] * ([i] * p + [j] * q))
     seasonal = np.arctanh(np.array(SEASONAL_STARTS))
