@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnflow.functions.scalars import kaprekar
-from tarnflow.operators import baselines, evaluation, metrics, series, spatial, spectral
-from tarnflow.session import checkpoints
+from tarnflow.operators import baselines, evaluation, metrics, paths, series, spatial, spectral
+from tarnflow.session import saved
 from tarnflow.sources import tables
 from tarnflow.streaming import hourly
 
@@ -487,9 +487,8 @@ def _hubs(full):
 
 
 def _assigned(spark, sf_dir):
-    checkpoints(spark)
-    full = _full(spark, sf_dir)
-    return full, spatial.hub_costs(spatial.knn_edges(full).checkpoint(), _hubs(full))
+    full = saved(_full(spark, sf_dir), "stations")
+    return full, paths.hub_costs(spatial.knn_edges(full), _hubs(full), paths.regions(full))
 
 
 @query(MEDIAN.replace("WITH st", "WITH RECURSIVE st") + ", hub AS (SELECT t, unnest(list_distinct([min(zsid), max(zsid)])) AS zsid FROM full_ GROUP BY t), it(i, t, zsid, cost, hub) AS (SELECT 0, t, zsid, CAST(0 AS DOUBLE), zsid FROM hub UNION ALL SELECT i + 1, t, zsid, m.c, m.h FROM (SELECT i, t, zsid, min({'c': cost, 'h': hub}) AS m FROM (SELECT i, t, zsid, cost, hub FROM it WHERE i < 30 UNION ALL SELECT it.i, k.t, k.src, k.cost + it.cost, it.hub FROM it JOIN knn k ON k.t = it.t AND k.dst = it.zsid WHERE it.i < 30) GROUP BY ALL)) SELECT t, zsid, round(cost, 6) AS cost, hub FROM it WHERE i = 30")
