@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from functools import reduce
+from math import comb, factorial, sqrt
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 from tarnflow.operators import metrics, models, series
@@ -136,8 +140,44 @@ def normal_cdf(z: Column) -> Column:
     return F.when(z < 0, tail).otherwise(1 - tail)
 
 
+#: The law of U is used itself, not the normal one, if no value repeats and one side has at most so many values.
+SMALL = 8
+#: It is counted out up to this product of both sides; beyond, U is as good as a sum of uniform draws (within 1e-6 of the count at this size).
+COUNTED = 100_000
+
+
+def u_counts(m: int, k: int, most: int) -> np.ndarray:
+    """How many of the orders of m and k distinct values give U = 0 to `most`: coefficients of the product of (1 - q^(k+i)) / (1 - q^i), i = 1 to m, in whole numbers."""
+    c = np.zeros(most + 1, dtype=object)
+    c[0] = 1
+    for i in range(1, m + 1):
+        for r in range(min(i, most + 1)):
+            c[r::i] = np.cumsum(c[r::i])
+        if k + i <= most:
+            c[k + i :] = c[k + i :] - c[: most + 1 - k - i]
+    return c
+
+
+def u_at_most(u: int, m: int, k: int) -> float:
+    """Probability of U <= u for m and k values without ties, all orders alike; u is a whole number."""
+    m, k = sorted((m, k))
+    if u < 0 or u >= m * k:
+        return float(u >= 0)
+    if 2 * u + 1 > m * k:
+        return 1 - u_at_most(m * k - u - 1, m, k)
+    if m * k <= COUNTED:
+        return int(u_counts(m, k, u).sum()) / comb(m + k, m)
+    x = (u + 0.5 - m * k / 2) / sqrt(k * (m + k + 1) + 1 / m) + m / 2
+    return min(1.0, max(0.0, sum((-1) ** j * comb(m, j) * max(0.0, x - j) ** m for j in range(m + 1)) / factorial(m)))
+
+
+@F.pandas_udf(DoubleType())
+def _small_p(u: pd.Series, m: pd.Series, k: pd.Series) -> pd.Series:
+    return pd.Series([None if pd.isna(a) else u_at_most(int(a), int(b), int(c)) for a, b, c in zip(u, m, k, strict=True)], dtype="float64")
+
+
 def mann_whitney_less(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Each group against all other rows: U, and the normal approximation's z of "smaller" and its p-value, corrected for ties and continuity. Null values don't count."""
+    """Each group against all other rows: U, and the normal approximation's z of "smaller", corrected for ties and continuity, and a p-value: of that, or of U's own law (`SMALL`). Null values don't count."""
     df = df.where(F.col(value).isNotNull())
     ranks = count_below(df, value).withColumn("rank", F.col("below") + (F.col("ties") + 1) / 2)
     total = df.agg(F.count("*").alias("n"))
@@ -150,8 +190,10 @@ def mann_whitney_less(df: DataFrame, group: str, value: str) -> DataFrame:
 def _tested(sums: DataFrame, group: str) -> DataFrame:
     k, n = F.col("m") * F.col("k"), (F.col("m") + F.col("k")).cast("double")
     sd = F.sqrt(k / 12 * (n + 1 - F.try_divide(F.col("tie").cast("double"), n * (n - 1))))
-    out = sums.select(group, "u", F.try_divide(F.col("u") + 0.5 - k / 2, F.nullif(sd, F.lit(0.0))).alias("z"))
-    return out.withColumn("p", normal_cdf(F.col("z")))
+    few = (F.least("m", "k") <= SMALL) & (F.least("m", "k") > 0) & (F.col("tie") == 0)
+    args = [F.when(few, F.col(c)).cast("long") for c in ("u", "m", "k")]
+    out = sums.select(group, "u", F.try_divide(F.col("u") + 0.5 - k / 2, F.nullif(sd, F.lit(0.0))).alias("z"), _small_p(*args).alias("few"))
+    return out.select(group, "u", "z", F.coalesce("few", normal_cdf(F.col("z"))).alias("p"))
 
 
 def mann_whitney_others(df: DataFrame, group: str, value: str) -> DataFrame:

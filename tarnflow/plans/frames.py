@@ -412,6 +412,25 @@ def mann_whitney_unrounded(spark, sf_dir):
     out = evaluation.mann_whitney_less(tables.read(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("g"), F.col("c_acctbal").alias("v")), "g", "v")
     return out.select("g", F.round("z", 5).alias("z"))
 
+#: All ways to choose up to 8 of the ranks 1 to n, by how many and their sum; of them each group's rank sum or less.
+_RANK_SUMS = """WITH RECURSIVE x AS (SELECT s_nationkey AS g, s_acctbal AS v FROM supplier WHERE s_acctbal IS NOT NULL),
+r AS (SELECT g, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0 AS r, count(*) OVER () AS n FROM x),
+tie AS (SELECT CAST(sum(c * c * c - c) AS DOUBLE) AS tie FROM (SELECT count(*) AS c FROM x GROUP BY v)),
+s AS (SELECT g, CAST(sum(r) AS DOUBLE) - m * (m + 1) / 2 AS u, m, n - m AS k, n FROM (SELECT *, count(*) OVER (PARTITION BY g) AS m FROM r) GROUP BY g, m, n),
+w(i, j, total, ways) AS (SELECT 0, 0, 0, CAST(1 AS DOUBLE) UNION ALL
+    SELECT i + 1, j + d, total + d * (i + 1), sum(ways) FROM w, (SELECT unnest([0, 1]) AS d) WHERE i < (SELECT count(*) FROM x) AND j + d <= 8 GROUP BY ALL),
+e AS (SELECT g, sum(CASE WHEN total - m * (m + 1) / 2 <= u THEN ways ELSE 0 END) / sum(ways) AS few FROM s JOIN w ON i = n AND j = m, tie WHERE tie = 0 GROUP BY g),
+z AS (SELECT g, u, (u + 0.5 - m * k / 2.0) / nullif(sqrt(m * k / 12.0 * (n + 1 - tie / (n * (n - 1.0)))), 0) AS z FROM s, tie),
+y AS (SELECT *, 1 / (1 + 0.3275911 * abs(z) / sqrt(2.0)) AS t FROM z),
+q AS (SELECT *, t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * exp(-z * z / 2) / 2 AS tail FROM y)"""
+
+
+@query(_RANK_SUMS + " SELECT g, round(u, 6) AS u, round(coalesce(few, CASE WHEN z < 0 THEN tail ELSE 1 - tail END), 6) AS p FROM q LEFT JOIN e USING (g)")
+def mann_whitney_small(spark, sf_dir):
+    """The test on groups of few values, by the exact law where they are at most 8 and none repeats."""
+    rows = tables.read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("g"), F.col("s_acctbal").alias("v"))
+    return evaluation.mann_whitney_less(rows, "g", "v").select("g", "u", F.round("p", 6).alias("p"))
+
 
 @query(
     HOURLY
