@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnflow.operators import arma
+from tarnflow.operators import arma, laplace
 from tarnflow.operators.stationarity import adf_p, periods_of, ridge
 from tarnflow.session import spread
 
@@ -209,29 +209,29 @@ def ets_grid(y: np.ndarray) -> list[dict]:
 # trend and Fourier terms
 
 
+def _trend_terms(n: int, horizon: int, trend_prior: float, season_prior: float, periods: tuple, knots: int, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Columns of level, slope, changes of slope (knots even over the first 80 %) and Fourier terms, and the scales of their Gaussian and Laplace priors."""
+    at = np.arange(n + horizon) / max(1, n - 1)
+    cuts = np.unique(np.linspace(0, max(int(0.8 * n) - 1, 1), knots + 1).round()[1:]) / max(1, n - 1)
+    waves = [f(2 * np.pi * k * np.arange(n + horizon) / p) for p in periods for k in range(1, min(order, p // 2) + 1) for f in (np.sin, np.cos)]
+    x = np.column_stack([np.ones(n + horizon), at, *(np.maximum(0, at - c) for c in cuts), *waves])
+    gauss = np.r_[5.0, 5.0, np.full(len(cuts), np.inf), np.full(len(waves), season_prior)]
+    return x, gauss, np.where(np.isfinite(gauss), np.inf, trend_prior)
+
+
 def fourier(y: np.ndarray, horizon: int, trend_prior: float = 0.1, season_prior: float = 10.0, periods: tuple = (), knots: int = 25, order: int = 5) -> Fit:
-    """Piecewise-linear trend with knots in the first 80 % and Fourier terms at given periods: a ridge regression whose penalties come from the priors' scales; the band counts trend changes ahead."""
-    n, at, scale = len(y), np.arange(len(y) + horizon) / max(1, len(y) - 1), np.abs(y).max() or 1.0
+    """Piecewise-linear trend and Fourier terms at given periods, of greatest posterior density: changes of slope have a Laplace prior, so most are zero, the rest Gaussian ones; the band counts trend changes ahead."""
+    n, scale = len(y), np.abs(y).max() or 1.0
     if n < 10:
         raise ValueError("under 10 values")
-    cuts = np.linspace(0, 0.8, knots + 2)[1:-1]
-    cols, prior = [np.ones(n + horizon), at], [np.inf, 5.0]
-    cols += [np.maximum(0, at - c) for c in cuts]
-    prior += [trend_prior] * knots
-    for p in periods:
-        own = [f(2 * np.pi * k * np.arange(n + horizon) / p) for k in range(1, min(order, p // 2) + 1) for f in (np.sin, np.cos)]
-        cols, prior = cols + own, prior + [season_prior] * len(own)
-    x, z, var = np.column_stack(cols), y / scale, 0.01
-    for _ in range(4):
-        weight = np.diag(var / np.square(prior))
-        b = np.linalg.solve(x[:n].T @ x[:n] + weight + 1e-9 * np.eye(x.shape[1]), x[:n].T @ z)
-        var = max(float(np.mean(np.square(z - x[:n] @ b))), 1e-12)
-    rate = np.abs(b[2 : 2 + knots]).mean()
+    x, gauss, prior = _trend_terms(n, horizon, trend_prior, season_prior, periods, knots, order)
+    b, var = laplace.fit(x[:n], y / scale, gauss, prior)
+    changes = b[np.isfinite(prior)]
     ahead = np.arange(1, horizon + 1) / max(1, n - 1)
-    drift = 2 * rate**2 * knots / 0.8 * ahead**3 / 3
+    drift = 2 * np.abs(changes).mean() ** 2 * len(changes) / 0.8 * ahead**3 / 3
     hat = scale * (x[n:] @ b)
     sd = scale * np.sqrt(var + drift)
-    return hat, hat - Z * sd, hat + Z * sd, float(len(z) * np.log(var))
+    return hat, hat - Z * sd, hat + Z * sd, float(n * np.log(var))
 
 
 def fourier_grid(y: np.ndarray) -> list[dict]:
