@@ -147,30 +147,101 @@ def ets_forms(positive: bool) -> list[tuple]:
     return [f for f in grid if not (f[3] and f[1] is None) and (positive or "mul" not in f[:3])]
 
 
+#: Open ranges in which alpha, beta, gamma and phi are searched.
+RANGES = np.array([(1e-4, 0.9999), (1e-4, 0.9999), (1e-4, 0.9999), (0.8, 0.98)])
+
+
+def ets_score(y: np.ndarray, s: int, form: tuple, par: np.ndarray) -> np.ndarray:
+    """-2 log likelihood of each parameter row, but for a constant; inf where it isn't finite."""
+    hats = _smooth(y, s, form, par)[0]
+    with np.errstate(all="ignore"):
+        e = y[:, None] - hats if form[0] == "add" else (y[:, None] - hats) / hats
+        out = len(y) * np.log(np.maximum((e * e).sum(axis=0), 1e-300)) + (0 if form[0] == "add" else 2 * np.log(np.abs(hats)).sum(axis=0))
+    return np.where(np.isfinite(out), out, np.inf)
+
+
+def ets_coarse(form: tuple) -> np.ndarray:
+    """Rows of a coarse grid of the form's parameters; those it doesn't have are fixed."""
+    _, trend, season, damped = form
+    return np.array(list(product((0.05, 0.2, 0.5, 0.9), (0.01, 0.1, 0.4) if trend else (0.0,), (0.01, 0.1, 0.4) if season else (0.0,), (0.85, 0.97) if damped else (1.0,))))
+
+
+def ets_search(y: np.ndarray, s: int, form: tuple, starts: np.ndarray, rounds: int = 60, tol: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
+    """Quasi-Newton search from all starts at once, each step a few calls with all its rows: parameters and score of each, never above the start's.
+
+    Works on logits within RANGES; slopes are central differences, each step is the best of ten lengths, and a start rests when a step along the plain slope gains under `tol`.
+    """
+    free = np.array([True, form[1] is not None, form[2] is not None, form[3]])
+    low, wide = RANGES[free, 0], RANGES[free, 1] - RANGES[free, 0]
+    count, dim = len(starts), int(free.sum())
+
+    def par(z: np.ndarray) -> np.ndarray:
+        out = np.tile([0.0, 0.0, 0.0, 1.0], (len(z), 1))
+        out[:, free] = low + wide / (1 + np.exp(-z))
+        return out
+
+    def value(z: np.ndarray) -> np.ndarray:
+        return ets_score(y, s, form, par(z.reshape(-1, dim))).reshape(z.shape[:-1])
+
+    share = np.clip((starts[:, free] - low) / wide, 1e-4, 1 - 1e-4)
+    z = np.log(share / (1 - share))
+    best, curve, plain = value(z), np.tile(np.eye(dim), (count, 1, 1)), np.ones(count, bool)
+    rest, before = ~np.isfinite(best), None
+    lengths, shift = 2.0 ** -np.arange(-2, 8), 1e-4 * np.vstack([np.eye(dim), -np.eye(dim)])
+    for _ in range(rounds):
+        if rest.all():
+            break
+        at = value(z[:, None] + shift)
+        with np.errstate(invalid="ignore"):
+            slope = np.nan_to_num((at[:, :dim] - at[:, dim:]) / 2e-4, posinf=0.0, neginf=0.0)
+        for i in np.flatnonzero(~rest):
+            if before is not None and not plain[i]:
+                move, turn = z[i] - before[0][i], slope[i] - before[1][i]
+                if move @ turn > 1e-12:
+                    left = np.eye(dim) - np.outer(move, turn) / (move @ turn)
+                    curve[i] = left @ curve[i] @ left.T + np.outer(move, move) / (move @ turn)
+        way = -np.einsum("ijk,ik->ij", curve, slope)
+        size = np.linalg.norm(way, axis=1, keepdims=True)
+        way = way / np.maximum(size, 1.0)
+        tried = np.clip(z[:, None] + lengths[:, None] * way[:, None], -9.0, 9.0)
+        found = value(tried)
+        pick = found.argmin(axis=1)
+        before = z.copy(), slope
+        for i in np.flatnonzero(~rest):
+            gain = best[i] - found[i, pick[i]]
+            if gain > 0:
+                z[i], best[i] = tried[i, pick[i]], found[i, pick[i]]
+            if gain > tol:
+                plain[i] = False
+            elif plain[i]:
+                rest[i] = True
+            else:  # once more along the plain slope
+                curve[i], plain[i] = np.eye(dim), True
+    own = ets_score(y, s, form, starts)
+    worse = ~(best <= own)
+    return np.where(worse[:, None], starts, par(z)), np.where(worse, own, best)
+
+
+def ets_parameters(y: np.ndarray, s: int, form: tuple) -> tuple[np.ndarray, float]:
+    """Parameters of least -2 log likelihood and that: searched from the best of a coarse grid and from the best of those with another alpha."""
+    rows = ets_coarse(form)
+    score = ets_score(y, s, form, rows)
+    first = rows[score.argmin()]
+    other = rows[np.where(rows[:, 0] == first[0], np.inf, score).argmin()]
+    found, score = ets_search(y, s, form, np.array([first, other]))
+    return found[score.argmin()], float(score.min())
+
+
 def ets(y: np.ndarray, horizon: int, form: tuple = ("add", "add", "add", True), s: int = 24, seed: int = 1, paths: int = 400) -> Fit:
-    """One form of exponential smoothing: parameters by two rounds of a grid on the likelihood, AIC as score, band from simulated paths."""
+    """One form of exponential smoothing: parameters by a quasi-Newton search of the likelihood, AIC as score, band from simulated paths."""
     error, trend, season, damped = form
     s = s if season else 1
     if len(y) < 2 * max(s, 2) + 2:
         raise ValueError(f"under {2 * max(s, 2) + 2} values")
-    values = [(0.05, 0.2, 0.5, 0.9), (0.01, 0.1, 0.4) if trend else (0.0,), (0.01, 0.1, 0.4) if season else (0.0,), (0.85, 0.97) if damped else (1.0,)]
-
-    def score(par: np.ndarray) -> np.ndarray:
-        hats = _smooth(y, s, form, par)[0]
-        with np.errstate(all="ignore"):
-            e = y[:, None] - hats if error == "add" else (y[:, None] - hats) / hats
-            out = len(y) * np.log(np.maximum((e * e).sum(axis=0), 1e-300)) + (0 if error == "add" else 2 * np.log(np.abs(hats)).sum(axis=0))
-        return np.where(np.isfinite(out), out, np.inf)
-
-    par = np.array(list(product(*values)))
-    best = par[score(par).argmin()]
-    steps = [best[i] * np.array([0.6, 0.8, 1.0, 1.3]) if len(v) > 1 and i < 3 else np.array([best[i]]) for i, v in enumerate(values)]
-    par = np.minimum(np.array(list(product(*steps))), [0.99, 0.99, 0.99, 1.0])
-    found = score(par)
-    best = par[found.argmin()]
-    hats, level, slope, ss = (x[..., 0] for x in _smooth(y, s, form, best[None]))
-    if not np.isfinite(found.min()):
+    best, least = ets_parameters(y, s, form)
+    if not np.isfinite(least):
         raise ValueError("no finite likelihood")
+    hats, level, slope, ss = (x[..., 0] for x in _smooth(y, s, form, best[None]))
     with np.errstate(all="ignore"):
         e = y - hats if error == "add" else (y - hats) / hats
     free = (trend is not None) + (season is not None) + damped + 1
@@ -197,7 +268,7 @@ def ets(y: np.ndarray, horizon: int, form: tuple = ("add", "add", "add", True),
     if not np.isfinite(out[0]).all():
         raise ValueError("the forecast isn't finite")
     low, high = np.nanquantile(out[1:], [0.025, 0.975], axis=0)
-    return out[0], low, high, float(found.min() + 2 * (free + states + 1))
+    return out[0], low, high, least + 2 * (free + states + 1)
 
 
 def ets_grid(y: np.ndarray) -> list[dict]:
