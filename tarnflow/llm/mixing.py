@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from tarnflow.llm.shared import discard, heavy, narrowed, salted, save, slices, tidy, unit
 from tarnflow.llm.tokens import TOKENIZER, counts, ids, tokenizer_path
-from tarnflow.llm.vector_dedup import kmeans, nearest
 
 #: Marginals are raked in turn until all are within TOLERANCE of their targets, or so many rounds are done and a warning is given.
 ROUNDS, TOLERANCE = 200, 1e-6
@@ -24,8 +23,13 @@ ROUNDS, TOLERANCE = 200, 1e-6
 TEMPER, OTHERS = 0.8, "*"
 #: Cells are raked in the driver while there are no more than this; else by Spark.
 LOCAL = 100_000
-#: Topics, documents that they are fitted on, and bytes of text that are read at once.
-TOPICS, SAMPLE, AT_ONCE = 8, 4_000, 1_000_000
+#: Topics, and bytes of text that are read at once.
+TOPICS, AT_ONCE = 8, 1_000_000
+#: Topics start from the best of TRIES fits to the means of all documents about SEEDS of them; then all documents are gone
+#: through until no centroid moves by more than MOVED, or so often and a warning is given.
+SEEDS, TRIES, MOVED, PASSES = 256, 20, 1e-4, 100
+#: Marks are added up as whole multiples of 1 / EXACT, so that no sum depends on its order.
+EXACT = 1 << 24
 #: Marks that tell topics apart, each a kind of its own; then digits, capitals and all else (which doesn't count).
 MARKS = "\n\t" + string.punctuation
 _KINDS = len(MARKS) + 3
@@ -45,40 +49,144 @@ def marks(texts: pa.Array) -> np.ndarray:
     return seen / np.maximum(np.linalg.norm(seen, axis=1, keepdims=True), 1e-12)
 
 
-def fit_topics(docs: DataFrame, topics: int = TOPICS, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> np.ndarray:
-    """Topics are kinds of texts (prose, tables, lists, shouting, code) in any language: centroids by k-means of the marks of about `sample` documents, drawn by a hash of id and text. None without documents."""
-    rows = narrowed(docs, text=text_col, doc_id=id_col).where("text is not null")
-    rate = min(1.0, sample / max(1, rows.count()))
+def _packed(seen: np.ndarray) -> list[bytes]:
+    return [x.tobytes() for x in seen.astype(np.float32)]
+
+
+def _unpacked(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, _KINDS - 1).astype(float)
+
+
+def closest(seen: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """Number of the nearest centroid of each row; of equally near ones (to 9 digits) the first."""
+    return (seen @ (2 * centroids).T - (centroids * centroids).sum(1)).round(9).argmax(1)
+
+
+def fit_topics(docs: DataFrame, topics: int = TOPICS, text_col: str = "text") -> np.ndarray:
+    """Topics are kinds of texts (prose, tables, lists, shouting, code) in any language: centroids by k-means of the marks of all documents whose text isn't null. None without documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 0, AT_ONCE):
-                yield pa.RecordBatch.from_pydict({"seen": pa.array([x.astype(np.float32).tobytes() for x in marks(part.column(0))], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"mix_marks": pa.array(_packed(marks(part.column(0))), pa.binary())})
+
+    rows = save(narrowed(docs, text=text_col).where("text is not null").mapInArrow(tidy(run), "mix_marks binary"), "marks")
+    out = fit_marks(rows, topics)
+    discard(rows)
+    return out
+
+
+def fit_marks(rows: DataFrame, topics: int = TOPICS) -> np.ndarray:
+    """Centroids of the column mix_marks of saved rows, nulls left out: each the mean of all rows nearest to it, within MOVED. They don't depend on the order of rows or how they are spread."""
+    rows = rows.select("mix_marks").where("mix_marks is not null")
+    seeds = _seeds(rows)
+    if not len(seeds):
+        return seeds
+    n, total = _sums(rows, seeds)
+    centroids, moved = _start(total[n > 0] / n[n > 0, None], n[n > 0], topics), np.inf
+    for _ in range(PASSES):
+        n, total = _sums(rows, centroids)
+        new = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], centroids)
+        centroids, moved = new, float(np.linalg.norm(new - centroids, axis=1).max())
+        if moved <= MOVED:
+            break
+    else:
+        warnings.warn(f"after {PASSES} passes a topic still moves by {moved:.3g}", stacklevel=2)
+    return centroids
+
+
+def _seeds(rows: DataFrame) -> np.ndarray:
+    """SEEDS different rows of the least hashes: where a summary of all rows starts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, bytes] = {}
+        for batch in batches:
+            held |= zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            held = {h: held[h] for h in sorted(held)[:SEEDS]}
+        yield pa.RecordBatch.from_pydict({"hash": pa.array(list(held), pa.int64()), "mix_marks": pa.array(list(held.values()), pa.binary())})
 
-    drawn = rows.where(unit("doc_id", "text", seed=7) < rate).select("text").mapInArrow(tidy(run), "seen binary").limit(2 * sample).toPandas()["seen"]
-    x = np.stack([np.frombuffer(b, np.float32) for b in sorted(drawn)]).astype(float) if len(drawn) else np.zeros((0, _KINDS - 1))
-    return kmeans(x, topics, 20) if len(x) else x
+    few = rows.select(F.xxhash64("mix_marks").alias("hash"), "mix_marks").mapInArrow(tidy(run), "hash long, mix_marks binary")
+    return _unpacked(few.distinct().orderBy("hash", "mix_marks").limit(SEEDS).select("mix_marks").toArrow().column(0))
 
 
-def profiled(docs: DataFrame, topics: np.ndarray, text_col: str = "text", tokenizer: str = TOKENIZER, keep: list[str] | None = None, at_once: int = AT_ONCE) -> DataFrame:
-    """The columns `keep` (all but the text, if not given) with mix_tokens (ids of the tokenizer, 0 for null) and mix_topic (number of the nearest centroid; null without tokens)."""
+def _sums(rows: DataFrame, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many rows each centroid is nearest to, and their sum. A number for each centroid and kind of mark reaches the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((len(centroids), _KINDS), np.int64)
+        for batch in batches:
+            seen = _unpacked(batch.column(0))
+            own = np.eye(len(centroids))[closest(seen, centroids)]
+            sums += (own.T @ np.column_stack([np.ones(len(seen)), np.rint(seen * EXACT)])).astype(np.int64)  # whole numbers below 2 ** 53
+        yield pa.RecordBatch.from_pydict({"at": pa.array(range(len(sums))), "sums": pa.array(sums.tolist(), pa.list_(pa.int64()))})
+
+    each = rows.mapInArrow(tidy(run), "at long, sums array<long>").select("at", F.posexplode("sums").alias("kind", "sum"))
+    out = np.zeros((len(centroids), _KINDS))
+    for r in each.groupBy("at", "kind").agg(F.sum("sum").alias("sum")).collect():
+        out[r["at"], r["kind"]] = r["sum"]
+    return out[:, 0], out[:, 1:] / EXACT
+
+
+def _start(means: np.ndarray, n: np.ndarray, topics: int) -> np.ndarray:
+    """The best of TRIES weighted k-means of a few means, at most SEEDS, each from rows drawn by weight and squared distance to those before."""
+    rng, best, least = np.random.default_rng(6), means[:1], np.inf
+    off = lambda c: ((means[:, None] - c[None]) ** 2).sum(2)
+    for _ in range(TRIES):
+        c = means[[rng.choice(len(means), p=n / n.sum())]]
+        while len(c) < topics and (far := off(c).min(1) * n).sum() > 0:
+            c = np.vstack([c, means[rng.choice(len(means), p=far / far.sum())]])
+        for _ in range(PASSES):
+            own = np.eye(len(c))[closest(means, c)] * n[:, None]
+            held, was = own.sum(0)[:, None], c
+            c = np.where(held > 0, own.T @ means / np.maximum(held, 1), c)
+            if np.array_equal(c, was):
+                break
+        if (error := (off(c).min(1) * n).sum()) < least:
+            best, least = c, error
+    return best
+
+
+def profiled(docs: DataFrame, topics: np.ndarray | None, text_col: str = "text", tokenizer: str = TOKENIZER, keep: list[str] | None = None, at_once: int = AT_ONCE) -> DataFrame:
+    """The columns `keep` (all but the text, if not given) with mix_tokens (ids of the tokenizer, 0 for null) and mix_topic (number of the nearest centroid; null without tokens).
+
+    Without topics, mix_marks (null for null) stands in place of mix_topic: for fit_marks() and topical(), which then need no second pass over the texts.
+    """
     path = tokenizer_path(tokenizer)
-    keep = [c for c in keep or [c for c in docs.columns if c != text_col] if c not in ("mix_tokens", "mix_topic")]
+    last = "mix_marks" if topics is None else "mix_topic"
+    keep = [c for c in keep or [c for c in docs.columns if c != text_col] if c not in ("mix_tokens", last)]
     rows = docs.select(docs[text_col].alias("mix_text"), *(docs[c] for c in keep if c != text_col))  # the text travels once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = ids(path)
         for batch in batches:
             for part in slices(batch, 0, at_once):
-                tokens = counts(part.column(0), known)
-                topic = nearest(marks(part.column(0)), topics)[0] if len(topics) else tokens
-                new = {"mix_tokens": pa.array(tokens, pa.int64()), "mix_topic": pa.array([str(t) if n else None for t, n in zip(topic.tolist(), tokens.tolist(), strict=True)], pa.string())}
-                yield pa.RecordBatch.from_pydict({c: part.column("mix_text" if c == text_col else c) for c in keep} | new)
+                tokens, packed = counts(part.column(0), known), _packed(marks(part.column(0)))
+                if topics is None:
+                    new = pa.array([x if there else None for x, there in zip(packed, part.column(0).is_valid().to_pylist(), strict=True)], pa.binary())
+                else:
+                    new = _topics(pa.array(packed, pa.binary()), pa.array(tokens, pa.int64()), topics)
+                yield pa.RecordBatch.from_pydict({c: part.column("mix_text" if c == text_col else c) for c in keep} | {"mix_tokens": pa.array(tokens, pa.int64()), last: new})
 
-    types = docs.select(*(docs[c] for c in keep)).schema.add("mix_tokens", "long").add("mix_topic", "string")
+    types = docs.select(*(docs[c] for c in keep)).schema.add("mix_tokens", "long").add(last, "binary" if topics is None else "string")
     return rows.mapInArrow(tidy(run, keeps=True), types)
 
 
+def _topics(packed: pa.Array, tokens: pa.Array, topics: np.ndarray) -> pa.Array:
+    some = pc.and_(pc.greater(tokens, 0 if len(topics) else 1 << 62), packed.is_valid())
+    near = iter(closest(_unpacked(packed.filter(some)), topics).tolist() if len(topics) else [])
+    return pa.array([str(next(near)) if x else None for x in some.to_pylist()], pa.string())
+
+
+def topical(rows: DataFrame, topics: np.ndarray) -> DataFrame:
+    """Rows of profiled() without topics, with mix_topic in place of mix_marks."""
+
+    @F.arrow_udf("string")
+    def topic(packed: pa.Array, tokens: pa.Array) -> pa.Array:
+        return _topics(packed, tokens, topics)
+
+    return rows.withColumn("mix_topic", topic("mix_marks", "mix_tokens")).drop("mix_marks")
+
+
 def targets(cells: DataFrame, by: list[str], given: Mapping[str, Mapping[str, float]] | None = None, temper: float = TEMPER) -> DataFrame:
     """Rows (dim, value, goal): shares of the tokens of each value of each marginal. Given shares count in proportion among the values that occur; values that they don't name have that of "*", or 0."""
     out = None

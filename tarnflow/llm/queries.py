@@ -57,8 +57,8 @@ WEIGHTS = {"lang": {"en": 4.0, "de": 2.0, "fr": 2.0, "es": 2.0, "*": 1.0}, "sour
 def op6_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's calibrated weight, probability and draw. Null texts have no tokens and are never drawn; null languages and sources are values of their own."""
     docs = _table(spark, sf_dir, "documents")
-    rows = save(mixing.profiled(docs, mixing.fit_topics(docs), keep=["doc_id", "source", "lang"], at_once=AT_ONCE), "profiles")
-    out = mixing.mix(rows, ["source", "lang", "mix_topic"], F.col("mix_tokens"), keep=0.5, given=WEIGHTS)
+    rows = save(mixing.profiled(docs, None, keep=["doc_id", "source", "lang"], at_once=AT_ONCE), "profiles")
+    out = mixing.mix(mixing.topical(rows, mixing.fit_marks(rows)), ["source", "lang", "mix_topic"], F.col("mix_tokens"), keep=0.5, given=WEIGHTS)
     names = {"mix_topic": "topic", "mix_tokens": "tokens", "mix_weight": "weight", "mix_prob": "prob", "mix_keep": "kept", "mix_gap": "gap"}
     return out.withColumnsRenamed(names).select("doc_id", "source", "lang", *names.values())
 
