@@ -41,7 +41,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Draws documents that hold nine tenths of the tokens, at rates that move sources, languages and topics towards their target weights. Documents without tokens aren't drawn; rows that share a doc_id share their draw."""
+    """Draws documents that hold nine tenths of the tokens, at rates that move sources, languages and topics, fitted on all documents, towards their target weights. Documents without tokens aren't drawn; rows that share a doc_id share their draw."""
     rows = save(mixing.profiled(docs, mixing.fit_topics(docs), keep=list(COLUMNS)), "profiles")
     return mixing.mix(rows, ["source", "lang", "mix_topic"], F.col("mix_tokens"), keep=0.9, given=WEIGHTS).where("mix_keep").select(*COLUMNS)
 

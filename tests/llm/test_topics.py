@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tarnflow.llm import mixing, queries
 
 N = 9_000
@@ -54,3 +55,18 @@ def test_one_pass_is_two(spark, docs):
     few = docs[0].where("text is null")
     rows = mixing.profiled(few, None, keep=["doc_id"])
     assert mixing.fit_marks(rows).shape[0] == 0 and [r.mix_topic for r in mixing.topical(rows, mixing.fit_marks(rows)).collect()] == [None, None]
+
+
+def test_pipeline_topics_are_of_all_documents(spark, docs, texts, monkeypatch):
+    held, mix = {}, mixing.mix
+
+    def spy(rows, *args, **more):
+        held.update({r.doc_id: r.mix_topic for r in rows.select("doc_id", "mix_topic").collect()})
+        return mix(rows, *args, **more)
+
+    monkeypatch.setattr(mixing, "mix", spy)
+    dict(corpus_pipeline.STAGES)["mixing"](spark, docs[0], "").count()
+    x, own = seen(texts[:N]), np.array([int(held[i]) for i in range(N)])
+    assert len(held) == N + 3 and len(set(own)) == mixing.TOPICS
+    means = np.stack([x[own == k].mean(0) for k in range(mixing.TOPICS)])
+    assert (nearest(x, means) == own).mean() > 0.999
