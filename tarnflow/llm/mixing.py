@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnflow.llm.shared import discard, heavy, narrowed, salted, save, slices, tidy, unit
-from tarnflow.llm.tokens import TOKENIZER, counts, ids, tokenizer_path
+from tarnflow.llm.tokens import TOKENIZER, numbers, sizes, tokenizer_path
 
 #: Marginals are raked in turn until all are within TOLERANCE of their targets, or so many rounds are done and a warning is given.
 ROUNDS, TOLERANCE = 200, 1e-6
@@ -157,10 +157,10 @@ def profiled(docs: DataFrame, topics: np.ndarray | None, text_col: str = "text",
     rows = docs.select(docs[text_col].alias("mix_text"), *(docs[c] for c in keep if c != text_col))  # the text travels once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = ids(path)
+        known = sizes(path)
         for batch in batches:
             for part in slices(batch, 0, at_once):
-                tokens, packed = counts(part.column(0), known), _packed(marks(part.column(0)))
+                tokens, packed = numbers(part.column(0), known), _packed(marks(part.column(0)))
                 if topics is None:
                     new = pa.array([x if there else None for x, there in zip(packed, part.column(0).is_valid().to_pylist(), strict=True)], pa.binary())
                 else:
