@@ -10,16 +10,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tarnflow.operators import neighbours
-from tarnflow.session import saved
+from tarnflow.session import saved, spread
 
 SNAP = "t"
 
 
-def squared(a: str, b: str) -> Column:
-    dx, dy = F.col(f"{a}.e") - F.col(f"{b}.e"), F.col(f"{a}.n") - F.col(f"{b}.n")
-    return dx * dx + dy * dy
-
-
 def station_agg(df: DataFrame, first: tuple[str, ...] = ()) -> DataFrame:
     """One row for each snapshot and station: means of count and place, and of other columns (name, height, time) the first that isn't null, in the order of their values."""
     return df.groupBy(SNAP, "zsid").agg(F.avg("cnt").alias("cnt"), F.avg("e").alias("e"), F.avg("n").alias("n"), *(F.min(c).alias(c) for c in first))
@@ -36,11 +31,29 @@ def knn_impute(df: DataFrame, k: int = 4, how: str = "median", seed: int = 42) -
     return df.join(fill, ["t", "zsid"], "left").withColumn("cnt", F.coalesce("cnt", "filled")).drop("filled")
 
 
+def spans(df: DataFrame) -> DataFrame:
+    """(t, scale, most): the largest squared distance between two stations of each snapshot and the largest count; null instead of 0, and NaN if a place isn't finite. No pairs are made."""
+    gap = F.isnan((F.col("e") - F.col("e")) + (F.col("n") - F.col("n")))  # infinity less itself is NaN too; a null place has no distance
+    whole = df.groupBy("t").agg(F.max("cnt").alias("most"), F.bool_or(gap).alias("odd"))
+    whole = whole.join(neighbours.widest(df.where(~gap)), "t", "left")
+    top = F.when(F.col("odd"), F.lit(float("nan"))).otherwise(F.col("top"))
+    return whole.select("t", F.nullif(top, F.lit(0.0)).alias("scale"), F.nullif("most", F.lit(0.0)).alias("most"))
+
+
 def pair_distances(df: DataFrame) -> DataFrame:
-    """(t, src, dst, dist): squared distances within a snapshot over the largest."""
-    pairs = df.alias("a").join(df.alias("b"), F.col("a.t") == F.col("b.t")).select(F.col("a.t").alias("t"), F.col("a.zsid").alias("src"), F.col("b.zsid").alias("dst"), F.col("b.cnt").alias("cnt"), squared("a", "b").alias("d"))
-    top = pairs.groupBy("t").agg(F.max("d").alias("top"), F.max("cnt").alias("most"))
-    return pairs.join(top, "t").withColumns({"dist": F.try_divide("d", F.nullif("top", F.lit(0.0))), "traffic": F.try_divide("cnt", F.nullif("most", F.lit(0.0)))})
+    """(t, src, dst, dist, traffic): squared distances of all pairs of a snapshot over the largest, and the count of the goal over the largest.
+
+    Stations are dealt to blocks, and each two blocks of a snapshot meet in a partition of their own: what is shuffled are stations, one copy for each
+    block that they meet; pairs are made last and go straight to the result.
+    """
+    df = saved(df.select("t", "zsid", "e", "n", "cnt"), "stations")
+    blocks = df.groupBy("t").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = df.join(spans(df), "t").join(blocks, "t").withColumns({"own": F.pmod(F.xxhash64("zsid"), "blocks").cast("int"), "other": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))})
+    left = rows.select("t", F.col("own").alias("a"), F.col("other").alias("b"), F.col("zsid").alias("src"), F.col("e").alias("e1"), F.col("n").alias("n1"))
+    right = rows.select("t", F.col("other").alias("a"), F.col("own").alias("b"), F.col("zsid").alias("dst"), F.col("e").alias("e2"), F.col("n").alias("n2"), "scale", F.try_divide("cnt", "most").alias("traffic"))
+    pairs = spread(left, "t", "a", "b").hint("shuffle_hash").join(spread(right, "t", "a", "b"), ["t", "a", "b"])
+    dx, dy = F.col("e1") - F.col("e2"), F.col("n1") - F.col("n2")
+    return pairs.select("t", "src", "dst", F.try_divide(dx * dx + dy * dy, "scale").alias("dist"), "traffic")
 
 
 def cost_edges(df: DataFrame, a: float = 0.5, b: float = 0.5) -> DataFrame:
