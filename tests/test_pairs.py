@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnflow.operators import spatial
+from tarnflow.plans import catalog
 
 PLACE = "t long, zsid long, e double, n double, cnt double"
 
@@ -71,3 +72,19 @@ def test_pairs_of_a_snapshot_are_dealt_to_many_tasks_and_not_shuffled(spark, mon
     assert sum(sizes) == 300 * 300 and len(sizes) > 8 and max(sizes) < 300 * 300 / 4
     above = plan[: plan.index("Join")]
     assert "Exchange" not in above and "Sort " not in above
+
+
+def test_rounding_of_pairs(spark):
+    """As round() of Python and of Spark, but for exact halves; what isn't a number stays, and large numbers too."""
+    r = np.random.default_rng(10)
+    values = [*r.uniform(-2, 2, 5_000).tolist(), *(r.integers(0, 10**6, 2_000) / 1e6).tolist(), *(r.uniform(-1, 1, 500) * 1e8).tolist(), 0.0, 1.0, -1.0, 4e-7, 6e-7, 0.0000005, 1e300, -1e18, 2.5e9, None, math.nan, math.inf, -math.inf]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i long, v double")
+    got = {x.i: x.v for x in catalog._rounded_pairs(df).collect()}
+    want = {x.i: x.v for x in df.select("i", F.round("v", 6).alias("v")).collect()}
+    assert [i for i, v in enumerate(values) if not (got[i] == want[i] or like(got[i], want[i]) and v != v)] == []
+
+
+def test_pair_queries_round_by_doubles(spark):
+    for name in ("cost_edges", "pair_distance_norm"):
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "1000000.0" in plan
