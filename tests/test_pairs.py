@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnflow.operators import spatial
-from tarnflow.plans import catalog
+from tarnflow.plans import catalog, networks  # noqa: F401
+from tarnflow.sources import tables
 
 PLACE = "t long, zsid long, e double, n double, cnt double"
 
@@ -88,3 +89,18 @@ def test_pair_queries_round_by_doubles(spark):
     for name in ("cost_edges", "pair_distance_norm"):
         plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "1000000.0" in plan
+
+
+def test_pairs_by_density_are_dealt_by_blocks(spark, monkeypatch):
+    """Without broadcasts, each of the session's four shuffle partitions would hold whole snapshots, one of them a quarter of all pairs at least."""
+    monkeypatch.setattr(spatial, "BLOCK", 10)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = catalog.QUERIES["cost_by_density"](spark, "/root/testdata/sf0.001")
+        assert "1000000.0" in out._jdf.queryExecution().executedPlan().toString()
+        sizes = [x["count"] for x in out.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    stations = tables.stations(spark, "/root/testdata/sf0.001").groupBy("t").count().collect()
+    assert sum(sizes) == sum(r["count"] ** 2 for r in stations) and max(sizes) < sum(sizes) / 4
