@@ -13,6 +13,7 @@ from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 from tarnflow.operators import metrics, models, series
+from tarnflow.session import saved
 
 HORIZON = 24
 
@@ -117,19 +118,32 @@ def benjamini_hochberg(df: DataFrame, by: list[str], p: str = "p", alpha: float
 RANGES = 200
 
 
+def ranged(values: DataFrame, value: str, ranges: int = RANGES) -> Column:
+    """The range of a value (a number from 0) between quantiles that are sampled from a frame's column; halves are compared, so it takes some eight steps a row."""
+    cuts = sorted({c for c in (values.agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] or [])})
+
+    def half(lo: int, hi: int) -> Column:
+        mid = (lo + hi) // 2
+        return F.lit(lo) if lo == hi else F.when(F.col(value) < F.lit(cuts[mid]), half(lo, mid)).otherwise(half(mid + 1, hi))
+
+    return F.when(F.col(value).isNull(), 0).otherwise(half(0, len(cuts)))
+
+
 def count_below(df: DataFrame, value: str, ranges: int = RANGES) -> DataFrame:
     """Each distinct value with how many rows have it and how many have a smaller one: (value, ties, below).
 
     Distinct values are dealt to ranges between sampled quantiles; only the ranges' totals, at most `ranges` of them, are put in order in one task.
     """
-    counts = df.groupBy(value).agg(F.count("*").alias("ties"))
-    cuts = sorted({c for c in (df.agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] or [])})
-    at = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(value))) if cuts else F.lit(0)
-    counts = counts.withColumn("range", at)
+    counts = df.groupBy(value).agg(F.count("*").alias("ties")).withColumn("range", ranged(df, value, ranges))
+    return _with_below(counts, value).drop("range")
+
+
+def _with_below(counts: DataFrame, value: str) -> DataFrame:
+    """Distinct values (value, ties, range) with `below`."""
     totals = counts.groupBy("range").agg(F.sum("ties").alias("total"))
     before = totals.select("range", (F.sum("total").over(Window.orderBy("range")) - F.col("total")).alias("before"))
     inside = F.sum("ties").over(Window.partitionBy("range").orderBy(value)) - F.col("ties")
-    return counts.join(F.broadcast(before), "range").select(value, "ties", (F.col("before") + inside).alias("below"))
+    return counts.join(F.broadcast(before), "range").select(value, "ties", "range", (F.col("before") + inside).alias("below"))
 
 
 def normal_cdf(z: Column) -> Column:
@@ -197,12 +211,19 @@ def _tested(sums: DataFrame, group: str) -> DataFrame:
 
 
 def mann_whitney_others(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Each group against all rows whose value the group doesn't have: U, z and p of "smaller". So no value is on both sides. Null values don't count."""
-    df = df.where(F.col(value).isNotNull())
-    all_ = count_below(df, value)
-    own = df.groupBy(group, value).agg(F.count("*").alias("mine")).join(all_, value)
-    below = F.sum("ties").over(Window.partitionBy(group).orderBy(value)) - F.col("ties")
-    own = own.withColumn("others", F.col("below") - below)
+    """Each group against all rows whose value the group doesn't have: U, z and p of "smaller". So no value is on both sides. Null values don't count.
+
+    Rows are read once: equal values of a group are counted and written, and all else works on those counts, ordered by ranges of values also within a group.
+    """
+    own = saved(df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("mine")), "values")
+    counts = own.groupBy(value).agg(F.sum("mine").alias("ties"))
+    all_ = saved(_with_below(saved(counts.withColumn("range", ranged(own, value)), "ranges"), value), "below")
+    own = saved(own.join(all_, value), "values")
+    parts = own.groupBy(F.col(group).alias("of"), F.col("range").alias("part")).agg(F.sum("ties").alias("total"))
+    parts = parts.select("of", "part", (F.sum("total").over(Window.partitionBy("of").orderBy("part")) - F.col("total")).alias("before"))
+    own = own.join(parts, F.col(group).eqNullSafe(F.col("of")) & (F.col("range") == F.col("part")))
+    inside = F.sum("ties").over(Window.partitionBy(group, "range").orderBy(value)) - F.col("ties")
+    own = own.withColumn("others", F.col("below") - F.col("before") - inside)
     cube = lambda c: F.sum(F.col(c).cast("double") * F.col(c) * F.col(c) - F.col(c))
     whole = all_.agg(F.sum("ties").alias("n"), cube("ties").alias("tie"))
     sums = own.groupBy(group).agg(F.sum(F.col("mine") * F.col("others")).cast("double").alias("u"), F.sum("mine").alias("m"), F.sum("ties").alias("shared"), cube("ties").alias("theirs"), cube("mine").alias("ours")).join(F.broadcast(whole))

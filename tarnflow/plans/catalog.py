@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnflow.functions.scalars import kaprekar
+from tarnflow.functions.scalars import kaprekar, near
 from tarnflow.operators import baselines, evaluation, metrics, paths, series, spatial, spectral
 from tarnflow.session import saved
 from tarnflow.sources import tables
@@ -39,9 +39,8 @@ def _rounded(df: DataFrame, places: int = 6) -> DataFrame:
 
 
 def _rounded_pairs(df: DataFrame) -> DataFrame:
-    """Rounds as DuckDB does, by a product with 10^6, which is a double's own arithmetic: for results of all pairs, where round()'s decimal numbers take most of the time."""
-    near = lambda c: F.when(F.abs(c) < 1e9, F.signum(c) * F.floor(F.abs(c) * 1e6 + 0.5) / 1e6).otherwise(F.round(c, 6))
-    return df.select(*(near(c).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+    """For results of all pairs, where round()'s decimal numbers take most of the time."""
+    return df.select(*(near(F.col(c), 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
 def query(sql: str | None = None, rounded: Callable[[DataFrame], DataFrame] = _rounded):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnflow.functions.scalars import clip
+from tarnflow.functions.scalars import clip, near
 from tarnflow.operators import baselines, evaluation, metrics, series, spatial, stationarity
 from tarnflow.plans.catalog import _W, BOARD, HOURLY, MEAN_F, MEDIAN, NAIVE_F, SALES_ALL, SUMMARY, WALK, _r, _split, _summary, _walk, query
 from tarnflow.session import shared_folder
@@ -390,7 +390,7 @@ _VALUES = {"price": "l_extendedprice", "net": "l_extendedprice * (1 - l_discount
 
 def _tested(spark, sf_dir, name: str) -> DataFrame:
     value = {"price": F.col("l_extendedprice"), "net": F.col("l_extendedprice") * (1 - F.col("l_discount")), "gross": F.col("l_extendedprice") * (1 + F.col("l_tax"))}[name]
-    return tables.read(spark, sf_dir, "lineitem").select(F.floor(F.col("l_extendedprice") / 20000).alias("g"), F.round(value, 2).alias("v"))
+    return tables.read(spark, sf_dir, "lineitem").select(F.floor(F.col("l_extendedprice") / 20000).alias("g"), near(value, 2).alias("v"))
 
 
 @query(_tests_sql({"price": _VALUES["price"]}) + " SELECT g, round(u, 6) AS u, round(z, 5) AS z, round(p, 6) AS p FROM p_price")
